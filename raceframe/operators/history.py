@@ -242,3 +242,290 @@ def arr_count(a: Column, test) -> Column:
 def first_of(field: str, array: str = "recent") -> Column:
     """The field of the newest run, NULL if there is none."""
     return F.try_element_at(F.col(array), F.lit(1))[field]
+
+
+# --- feature blocks, date-strict -----------------------------------------------------
+
+
+def recent_form(df: DataFrame, prefix: str = "h_") -> DataFrame:
+    """Days since the last run and the means and bests of the last three and five runs."""
+    r = recent_date_strict(df, 5, ["outcome", "last3f"])
+    o3, l3, o5 = take("outcome", 3), take("last3f", 3), take("outcome", 5)
+    return r.select(
+        *df.columns,
+        (F.col("day") - first_of("day")).alias(f"{prefix}days_since_last"),
+        arr_mean(o3).alias(f"{prefix}recent3_avg_finish"),
+        F.array_min(o3).alias(f"{prefix}recent3_best_finish"),
+        arr_mean(l3).alias(f"{prefix}recent3_avg_last3f"),
+        arr_mean(o5).alias(f"{prefix}recent5_avg_finish"),
+        ratio(arr_count(o5, lambda v: v == 1), F.size(o5)).alias(f"{prefix}recent5_win_rate"),
+        ratio(arr_count(o5, lambda v: v <= 3), F.size(o5)).alias(f"{prefix}recent5_in3_rate"),
+    )
+
+
+def prize_form(df: DataFrame, prefix: str = "h_") -> DataFrame:
+    """Prize of the last three runs and its momentum against the mean of all runs."""
+    t = asof_totals(df, ["entity"], result_measures(df, ["n", "p_n", "p_sum"]))
+    r = recent_date_strict(df, 3, ["prize"]).join(t, ["entity", "day"], "left")
+    last3 = arr_sum(take("prize", 3))
+    mean = ratio("p_sum", "p_n")
+    return r.select(
+        *df.columns,
+        F.when(F.col("n") > 0, last3).alias(f"{prefix}recent3_total_prize"),
+        F.when(mean > 0, last3 / (3 * mean)).alias(f"{prefix}prize_momentum"),
+    )
+
+
+def weight_form(df: DataFrame, change: str, prefix: str = "h_") -> DataFrame:
+    """Body weight before the event: mean, last, last change, last-three mean, spread, trend, z-score."""
+    weighed = F.col("outcome").isNotNull() & F.col("weight").isNotNull()
+    t = asof_totals(df, ["entity"], result_measures(df, ["w_n", "w_sum", "w_sq"]))
+    r = recent_date_strict(df, 3, ["weight", change], valid=weighed).join(t, ["entity", "day"], "left")
+    w = take("weight", 3)
+    mean, std = ratio("w_sum", "w_n"), spread("w_n", "w_sum", "w_sq")
+    return r.select(
+        *df.columns,
+        mean.alias(f"{prefix}avg_body_weight"),
+        first_of("weight").alias(f"{prefix}last_body_weight"),
+        first_of(change).alias(f"{prefix}last_body_weight_diff"),
+        arr_mean(w).alias(f"{prefix}recent3_avg_body_weight"),
+        arr_std(w).alias(f"{prefix}recent3_std_body_weight"),
+        arr_slope(w).alias(f"{prefix}recent3_body_weight_trend"),
+        F.when(std > 0, (first_of("weight") - mean) / std).alias(f"{prefix}body_weight_z"),
+    )
+
+
+def actor_block(df: DataFrame, key: str, prefix: str, pair: str, pair_prefix: str, days: int = 30) -> DataFrame:
+    """Record of an actor or owner: overall, by condition, over the last days, and as a pair."""
+    rates = ("win_rate", "in3_rate")
+    out = conditional(df, None, [key], prefix, stats=("n_wins", *rates))
+    for condition, suffix in (("dist_cat", "_dist"), ("surface", "_surface"), ("place", "_course")):
+        out = conditional(out, condition, [key], prefix, suffix, rates)
+    out = conditional(out, None, [key], f"{prefix}recent{days}d_", stats=rates, days=days)
+    return conditional(out, None, [key, pair], pair_prefix, stats=rates)
+
+
+def base_recent_form(df: DataFrame, n: int = 3) -> DataFrame:
+    """Mean and spread of the last outcomes with defaults for an entity without history."""
+    r = recent_date_strict(df, n, ["outcome", "last3f"])
+    o, l3 = take("outcome", n), take("last3f", n)
+    return r.select(
+        *df.columns,
+        F.coalesce(arr_mean(o), F.lit(10.0)).alias("perf_finish_mean"),
+        F.coalesce(arr_std(o), F.lit(0.0)).alias("perf_finish_std"),
+        F.coalesce(arr_mean(l3), F.lit(37.0)).alias("perf_last3f_mean"),
+        F.size("recent").cast("long").alias("perf_recent_runs"),
+    )
+
+
+def speed_form(df: DataFrame, n: int) -> DataFrame:
+    """Early speed from first-corner positions and late speed from section times, 0.5 without history."""
+    r = recent_date_strict(df, n, ["corner1", "field_size", "last3f"])
+    runs = F.filter("recent", lambda x: x["corner1"].isNotNull() & (x["field_size"] > 1))
+    early = F.transform(
+        runs,
+        lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - (x["corner1"] - 1).cast("double") / (x["field_size"] - 1))),
+    )
+    t = take("last3f", n)
+    low, high = F.array_min(t), F.array_max(t)
+    return r.select(
+        *df.columns,
+        F.coalesce(arr_mean(early), F.lit(0.5)).alias("early_speed_index"),
+        F.when(high > low, 1 - (arr_mean(t) - low) / (high - low)).otherwise(0.5).alias("late_speed_index"),
+    )
+
+
+# --- feature blocks, row-strict --------------------------------------------------------
+
+
+def row_career(df: DataFrame, prefix: str = "hr_career_") -> DataFrame:
+    """Record over all earlier rows."""
+    o = F.col("outcome").cast("long")
+    p = prior_rows(
+        df,
+        {
+            "__n": ("count", F.lit(1)), "__w": ("count", F.when(o == 1, 1)),
+            "__i": ("count", F.when(o.between(1, 3), 1)), "__on": ("count", o), "__os": ("sum", o),
+            "__oq": ("sum", o * o), "__ln": ("count", F.col("last3f")), "__ls": ("sum", F.col("last3f")),
+            "__un": ("count", F.col("popularity")), "__us": ("sum", F.col("popularity")),
+            "__pn": ("count", F.col("prize")), "__ps": ("sum", F.col("prize")),
+        },
+    )
+    return p.select(
+        *df.columns,
+        F.col("__n").alias(f"{prefix}starts"), F.col("__w").alias(f"{prefix}wins"), F.col("__i").alias(f"{prefix}in3"),
+        ratio("__w", "__n").alias(f"{prefix}win_rate"), ratio("__i", "__n").alias(f"{prefix}in3_rate"),
+        ratio("__os", "__on").alias(f"{prefix}avg_finish"), spread("__on", "__os", "__oq").alias(f"{prefix}std_finish"),
+        ratio("__ls", "__ln").alias(f"{prefix}avg_last3f"), ratio("__us", "__un").alias(f"{prefix}avg_popularity"),
+        F.coalesce("__ps", F.lit(0)).alias(f"{prefix}total_prize"), ratio("__ps", "__pn").alias(f"{prefix}avg_prize"),
+    )
+
+
+def row_recent(df: DataFrame, starts: str) -> DataFrame:
+    """Means, bests and big losses of the last three and five rows, and two trends.
+
+    ``starts`` names the number of earlier rows.
+    """
+    r = recent_row_strict(df, 5, ["outcome", "last3f", "odds", "popularity"])
+    out = {}
+    for n in (3, 5):
+        o, p = take("outcome", n), f"hr_recent{n}_"
+        out[f"{p}starts"] = F.least(F.col(starts), F.lit(n)).cast("long")
+        out[f"{p}avg_finish"] = arr_mean(o)
+        out[f"{p}best_finish"] = F.array_min(o)
+        out[f"{p}avg_last3f"] = arr_mean(take("last3f", n))
+        out[f"{p}avg_popularity"] = arr_mean(take("popularity", n))
+        out[f"{p}big_loss_count"] = F.when(F.size("recent") > 0, arr_count(o, lambda v: v >= 10))
+    out["hr_recent3_avg_win_odds"] = arr_mean(take("odds", 3))
+    out["hr_days_since_prev"] = F.col("day") - first_of("day")
+    last = first_of("outcome")
+    earlier = F.filter(F.transform(F.slice("recent", 2, 2), lambda x: x["outcome"]), lambda v: v.isNotNull())
+    out["hr_recent3_finish_trend"] = F.when(F.col(starts) == 0, 0.0).otherwise(last - arr_mean(earlier))
+    out["hr_recent3_last_vs_best_diff"] = last - F.array_min(take("outcome", 3))
+    return r.select(*df.columns, *[c.alias(n) for n, c in out.items()])
+
+
+def recent_axis(df: DataFrame) -> DataFrame:
+    """Last outcome and section time against the last three; zeroed when the last outcome is unknown."""
+    r = recent_row_strict(df, 5, ["outcome", "last3f"])
+    last, last_l = first_of("outcome"), first_of("last3f")
+    o3, l3 = take("outcome", 3), take("last3f", 3)
+    none = last.isNull()
+
+    def masked(c: Column) -> Column:
+        return F.when(none, 0.0).otherwise(c.cast("double"))
+
+    return r.select(
+        *df.columns,
+        masked(last).alias("ax1_last_finish"), masked(last_l).alias("ax1_last_last3f"),
+        arr_mean(o3).alias("ax1_recent3_avg_finish"), arr_mean(l3).alias("ax1_recent3_avg_last3f"),
+        masked(arr_slope(o3)).alias("ax1_recent3_finish_slope"), masked(arr_slope(l3)).alias("ax1_recent3_last3f_slope"),
+        F.array_min(take("outcome", 5)).alias("ax1_best_finish_recent5"),
+        masked(last - arr_mean(o3)).alias("ax1_last_vs_avg3_finish"),
+        masked(last_l - arr_mean(l3)).alias("ax1_last_vs_avg3_last3f"),
+    )
+
+
+def condition_axis(df: DataFrame, name: str, condition: str, last3f: bool = False) -> DataFrame:
+    """Row-strict record under the same condition; an unknown outcome adds 0 to the outcome sum."""
+    o = F.col("outcome").cast("long")
+    measures = {
+        "__n": ("count", F.lit(1)), "__i": ("count", F.when(o.between(1, 3), 1)), "__s": ("sum", F.coalesce(o, F.lit(0)))
+    }
+    if last3f:
+        measures |= {"__ln": ("count", F.col("last3f")), "__ls": ("sum", F.col("last3f"))}
+    p = prior_rows(df, measures, ["entity", condition])
+    known = F.col(condition).isNotNull()
+    extra = [F.when(known, ratio("__ls", "__ln")).alias(f"{name}_avg_last3f")] if last3f else []
+    return p.select(
+        *df.columns, F.when(known, F.col("__n")).otherwise(0).alias(f"{name}_starts"),
+        F.when(known, ratio("__i", "__n")).alias(f"{name}_in3_rate"),
+        F.when(known, ratio("__s", "__n")).alias(f"{name}_avg_finish"), *extra,
+    )
+
+
+def change_axis(df: DataFrame, rank: str) -> DataFrame:
+    """Change of distance, surface, place and class against the previous row, and the rest since it."""
+    r = recent_row_strict(df, 1, ["distance", "surface", "place", rank])
+    prev = {f: first_of(f) for f in ("day", "distance", "surface", "place", rank)}
+    first = F.size("recent") == 0
+    dist = F.when(prev["distance"].isNull(), 0).otherwise(F.col("distance") - prev["distance"])
+    rest = F.when(first, 0).otherwise(F.col("day") - prev["day"])
+    cls = F.when(first, 0).otherwise(F.col(rank) - F.coalesce(prev[rank], F.col(rank)))
+
+    def flag(test: Column) -> Column:
+        return F.when(~first & F.coalesce(test, F.lit(False)), 1).otherwise(0)
+
+    return r.select(
+        *df.columns,
+        dist.alias("ax2_dist_change_prev"), flag(dist > 0).alias("ax2_is_dist_up"), flag(dist < 0).alias("ax2_is_dist_down"),
+        flag(~F.col("surface").eqNullSafe(prev["surface"])).alias("ax2_is_surface_change"),
+        flag(~F.col("place").eqNullSafe(prev["place"])).alias("ax2_is_course_change"),
+        rest.alias("ax4_rest_days"), (rest / 7.0).alias("ax4_rest_weeks"),
+        flag(rest <= 7).alias("ax4_is_short_turnaround"), flag(rest >= 84).alias("ax4_is_long_break_12w"),
+        cls.alias("ax4_class_diff"), flag(cls > 0).alias("ax4_is_class_up"), flag(cls < 0).alias("ax4_is_class_down"),
+    )
+
+
+def class_axis(df: DataFrame, rank: str) -> DataFrame:
+    """Class strength and prize over the last five rows; all 0 on the first row."""
+    r = recent_row_strict(df.withColumn("__prize", F.coalesce("prize", F.lit(0))), 5, [rank, "__prize"])
+    c5, p5, p3 = take(rank, 5), take("__prize", 5), take("__prize", 3)
+    trend = F.when(F.size(p5) >= 3, arr_mean(F.slice(p5, 1, 2)) - arr_mean(F.slice(p5, 3, 3)))
+    first = F.size("recent") == 0
+
+    def masked(c: Column) -> Column:
+        return F.when(first, 0.0).otherwise(c.cast("double"))
+
+    return r.select(
+        *df.columns,
+        masked(F.array_max(c5)).alias("ax3_best_class_recent5"), masked(arr_mean(c5)).alias("ax3_avg_class_recent5"),
+        masked(arr_sum(p5)).alias("ax3_total_prize_recent5"), masked(arr_mean(p3)).alias("ax3_avg_prize_recent3"),
+        masked(trend).alias("ax3_prize_trend_recent5"),
+        masked(F.col(rank) - F.coalesce(F.array_max(c5), F.lit(0))).alias("ax3_curr_vs_best_class"),
+    )
+
+
+def position_axis(df: DataFrame) -> DataFrame:
+    """Relative corner positions of the last rows and the front runners each event can expect."""
+    n = F.col("field_size")
+    rel = df.withColumns(
+        {
+            "__c1": F.col("corner1") / n,
+            "__c4": F.col("corner4") / n,
+            "__gain": (F.col("corner1") - F.col("corner4")) / n,
+        }
+    )
+    r = recent_row_strict(rel, 5, ["__c1", "__c4", "__gain"])
+    cols = {}
+    for k in (3, 5):
+        cols[f"ax6_recent{k}_c1_pos_pct_mean"] = arr_mean(take("__c1", k))
+        cols[f"ax6_recent{k}_c4_pos_pct_mean"] = arr_mean(take("__c4", k))
+        cols[f"ax6_recent{k}_pos_gain_mean"] = arr_mean(take("__gain", k))
+    rows = r.select(*df.columns, *[c.alias(n) for n, c in cols.items()])
+    # nine decimals, so that the noise of the mean does not decide a tie with the bound
+    style = F.round("ax6_recent5_c1_pos_pct_mean", 9)
+    event = rows.groupBy("event").agg(
+        F.count(style).alias("__known"),
+        F.count(F.when(style <= 0.30, 1)).alias("ax6_race_front_runner_count"),
+        F.count(F.when(style <= 0.20, 1)).alias("ax6_race_leader_count"),
+    )
+    share = F.coalesce(ratio("ax6_race_front_runner_count", "__known"), F.lit(0.0))
+    return rows.join(event.withColumn("ax6_race_front_runner_share", share).drop("__known"), "event", "left")
+
+
+def stability_axis(df: DataFrame) -> DataFrame:
+    """Spread of the last five outcomes, section times, popularities and gains; 0 below two values."""
+    gain = (F.col("corner1") - F.col("corner4")) / F.col("field_size")
+    r = recent_row_strict(df.withColumn("__gain", gain), 5, ["outcome", "last3f", "popularity", "__gain"])
+    names = {"finish": "outcome", "last3f": "last3f", "popularity": "popularity", "pos_gain": "__gain"}
+    return r.select(
+        *df.columns,
+        *[F.coalesce(arr_std(take(f, 5)), F.lit(0.0)).alias(f"ax7_{n}_std_recent5") for n, f in names.items()],
+    )
+
+
+def partner_axis(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Row-strict in-three rate of an actor or owner, 0 without earlier rows."""
+    i = F.when(F.col("outcome").between(1, 3), 1)
+    p = prior_rows(df, {"__n": ("count", F.lit(1)), "__i": ("count", i)}, [key])
+    return p.select(*df.columns, F.coalesce(ratio("__i", "__n"), F.lit(0.0)).alias(name))
+
+
+def market_axis(df: DataFrame) -> DataFrame:
+    """Past odds and past outcome against popularity over five rows; NULL becomes 0."""
+    r = recent_row_strict(df.withColumn("__diff", F.col("outcome") - F.col("popularity")), 5, ["odds", "__diff"])
+    o, d = take("odds", 5), take("__diff", 5)
+    cols = {
+        "ax9_avg_win_odds_recent5": arr_mean(o),
+        "ax9_std_win_odds_recent5": arr_std(o),
+        "ax9_finish_minus_popularity_mean_recent5": arr_mean(d),
+        "ax9_finish_minus_popularity_slope_recent5": arr_slope(d),
+    }
+    return r.select(*df.columns, *[F.coalesce(c, F.lit(0.0)).alias(n) for n, c in cols.items()])
+
+
+def start_index(df: DataFrame) -> DataFrame:
+    """1 for the first row of an entity, 2 for the next, and so on."""
+    p = prior_rows(df, {"__n": ("count", F.lit(1))})
+    return p.select(*df.columns, (F.col("__n") + 1).alias("start_index"))
