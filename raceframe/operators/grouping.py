@@ -83,7 +83,7 @@ def rank_in_group(
     kind: str = "row_number",
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Exact ``row_number`` or ``rank`` of every row in its group.
+    """Exact ``row_number``, ``rank`` or ``average`` rank of every row in its group.
 
     Groups of up to ``hot_rows`` rows form one chunk.  Larger groups are cut by
     ``value_chunk`` and each chunk starts at the row count of the chunks before.
@@ -105,10 +105,14 @@ def rank_in_group(
     lead = F.col(by).desc() if descending else F.col(by).asc()
     order = [lead, *[F.col(t).asc() for t in ties]] if kind == "row_number" else [lead]
     inside = Window.partitionBy(*keys, "__chunk").orderBy(*order)
-    position = F.row_number() if kind == "row_number" else F.rank()
-    ranked = source.withColumn("__pos", position.over(inside)).join(starts, [*keys, "__chunk"], "left")
-    value = (F.col("__pos") + F.coalesce(F.col("__start"), F.lit(0))).cast("long")
-    return ranked.select(*df.columns, value.alias(name))
+    position = (F.row_number() if kind == "row_number" else F.rank()).over(inside)
+    if kind == "average":
+        # equal values share a chunk, so their count needs no further shuffle
+        equal = Window.partitionBy(*keys, "__chunk", by)
+        position = position + (F.count(F.lit(1)).over(equal) - 1) / 2
+    ranked = source.withColumn("__pos", position).join(starts, [*keys, "__chunk"], "left")
+    value = F.col("__pos") + F.coalesce(F.col("__start"), F.lit(0))
+    return ranked.select(*df.columns, (value if kind == "average" else value.cast("long")).alias(name))
 
 
 def top_per_group(

@@ -97,7 +97,7 @@ def main():
             else:
                 why = f"rows only: {df.count()}"
         except Exception as e:  # noqa: BLE001
-            why = f"{type(e).__name__}: {str(e)[:1500]}"
+            why = f"{type(e).__name__}: {str(e)[:600]}"
         ok = why is None or why.startswith("rows only")
         bad += not ok
         print(f"{'ok ' if ok else 'BAD'} {name} {time.time() - t:.1f}s {why or ''}", flush=True)
