@@ -104,11 +104,9 @@ def aggressiveness(df: DataFrame, style: str, key: str = "actor", min_runs: int
         df.withColumn("__s", style_score(style)).filter(F.col("__s").isNotNull())
         .groupBy(key).agg(F.avg("__s").alias("__m"), F.count(F.lit(1)).alias("n"))
     )
-    # one row, so the broadcast does not grow with the data
-    overall = per.agg(F.avg("__m").alias("__g"))
-    joined = per.join(F.broadcast(overall), F.lit(True))
-    score = F.when(F.col("n") < min_runs, (1 - weight) * F.col("__m") + weight * F.col("__g")).otherwise(F.col("__m"))
-    return joined.select(key, "n", clip(score, 0.0, 1.0).alias("aggressiveness"))
+    overall = per.agg(F.avg("__m")).scalar()
+    score = F.when(F.col("n") < min_runs, (1 - weight) * F.col("__m") + weight * overall).otherwise(F.col("__m"))
+    return per.select(key, "n", clip(score, 0.0, 1.0).alias("aggressiveness"))
 
 
 def smoothed_rate(hits: Column, n: Column, alpha: float, p0: float) -> Column:

@@ -56,14 +56,14 @@ def event_zscores(spark, sf_dir):
 
 @query(
     "event_softmax_share", "W24 P18",
-    ENTRIES + """, l AS (SELECT event, entity, p, ln(greatest(least(p,0.999),0.001)/(1-greatest(least(p,0.999),0.001))) AS x, least(0.95, p * 4) AS w0 FROM entries)
+    ENTRIES + """, l AS (SELECT event, entity, p, 0.9 * ln(greatest(least(p,0.999),0.001)/(1-greatest(least(p,0.999),0.001))) AS x, least(0.95, p * 4) AS w0 FROM entries)
 SELECT event, entity, round(exp(x - max(x) OVER v) / sum(exp(x)) OVER v * exp(max(x) OVER v), 6) AS soft,
   round(w0 / sum(w0) OVER v,6) AS win, round(CASE WHEN sum(w0) OVER v > 3 THEN w0 * 3 / sum(w0) OVER v ELSE w0 END,6) AS in3,
   round(1/(1+exp(-x-0.1)),6) AS back
 FROM l WINDOW v AS (PARTITION BY event)""",
 )
 def event_softmax_share(spark, sf_dir):
-    df = entries(spark, sf_dir).select(*KEY, "p").withColumn("x", C.logit("p", 0.001))
+    df = entries(spark, sf_dir).select(*KEY, "p").withColumn("x", 0.9 * C.logit("p", 0.001))
     df = relative.softmax(df, "x", "soft")
     df = df.withColumn("win", F.least(F.lit(0.95), F.col("p") * 4)).withColumn("in3", F.col("win"))
     df = relative.normalize(df, "win", "in3").withColumn("back", C.sigmoid(F.col("x") + 0.1))
