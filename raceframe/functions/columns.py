@@ -133,7 +133,7 @@ def corner_order(c: Column | str) -> Column:
 
     Parentheses act as commas, ``=`` joins numbers that share a position.
     """
-    places = F.filter(F.transform(F.split(F.regexp_replace(_c(c), r"[()]", ","), ","), F.trim), lambda s: s != "")
+    places = F.filter(F.transform(F.split(F.regexp_replace(_c(c), r"[()]", ","), ","), lambda s: F.trim(s)), lambda s: s != "")
     return F.flatten(
         F.transform(
             places,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+def stored(spark: SparkSession, sf_dir: str, name: str, build, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write a derived table once per application and read it back.
 
     The written copy cuts the lineage, so a lost executor costs a re-read, and it
@@ -25,7 +27,7 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _tables:
         path = f"{work_dir(spark)}/{name}-{abs(hash(sf_dir)):x}"
-        build(spark, sf_dir).write.mode("overwrite").parquet(path)
+        build(spark, sf_dir).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
         _tables[key] = path
     return spark.read.parquet(_tables[key])
 
