@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["history_queries", "event_queries", "evaluate_queries", "table_queries", "scenario_queries"]
+MODULES = ["history_queries", "event_queries", "evaluate_queries", "table_queries", "scenario_queries", "model_queries"]
 
 
 def all_queries():
