@@ -42,6 +42,7 @@ def prior(
     chunk: str,
     order: Sequence[Column],
     measures: Measures,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Aggregate, for every row, over the earlier rows of its group.
 
@@ -50,7 +51,7 @@ def prior(
     chunk, rows of the same chunk from a window over that chunk only.
     """
     keys = list(keys)
-    totals = df.groupBy(*keys, chunk).agg(
+    totals = (df if source is None else source).groupBy(*keys, chunk).agg(
         *[_AGG[fn](c).alias(n) for n, (fn, c) in measures.items()]
     )
     earlier = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
@@ -82,22 +83,25 @@ def rank_in_group(
     size: str | None = None,
     kind: str = "row_number",
     hot_rows: int = HOT_ROWS,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Exact ``row_number``, ``rank`` or ``average`` rank of every row in its group.
 
     Groups of up to ``hot_rows`` rows form one chunk.  Larger groups are cut by
     ``value_chunk`` and each chunk starts at the row count of the chunks before.
     ``size`` names a column with the group size; without it the size is counted.
+    ``source`` is an earlier form of the same rows, for the counts of the chunks.
     """
     keys = list(keys)
-    source = df if size else with_group_stats(df, keys, __size=F.count(F.lit(1)))
+    rows = df if size else with_group_stats(df, keys, __size=F.count(F.lit(1)))
     n = F.col(size or "__size")
     step = value_chunk(F.col(by))
     chunk = F.when(n > hot_rows, -step if descending else step).otherwise(F.lit(0).cast("long"))
-    source = source.withColumn("__chunk", chunk)
+    rows = rows.withColumn("__chunk", chunk)
+    counted = rows if source is None else source.withColumn("__chunk", chunk)
     earlier = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        source.filter(n > hot_rows)
+        counted.filter(n > hot_rows)
         .groupBy(*keys, "__chunk")
         .agg(F.count(F.lit(1)).alias("__n"))
         .select(*keys, "__chunk", F.sum("__n").over(earlier).alias("__start"))
@@ -110,7 +114,7 @@ def rank_in_group(
         # equal values share a chunk, so their count needs no further shuffle
         equal = Window.partitionBy(*keys, "__chunk", by)
         position = position + (F.count(F.lit(1)).over(equal) - 1) / 2
-    ranked = source.withColumn("__pos", position).join(starts, [*keys, "__chunk"], "left")
+    ranked = rows.withColumn("__pos", position).join(starts, [*keys, "__chunk"], "left")
     value = F.col("__pos") + F.coalesce(F.col("__start"), F.lit(0))
     return ranked.select(*df.columns, (value if kind == "average" else value.cast("long")).alias(name))
 

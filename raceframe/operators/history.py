@@ -104,16 +104,19 @@ def conditional(
     suffix: str = "",
     stats: Sequence[str] = ("win_rate", "in3_rate"),
     days: int | None = None,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Date-strict starts and rates under the same condition value.
 
-    An unknown condition gives 0 starts and NULL rates.
+    An unknown condition gives 0 starts and NULL rates.  ``source`` is an earlier form
+    of the same rows to read the history from, so that stacked calls do not nest.
     """
+    base = df if source is None else source
     by = [*keys, condition] if condition else list(keys)
     need = {"win_rate": "wins", "in3_rate": "in3", "avg_finish": "o_sum", "avg_last3f": "l_sum", "n_wins": "wins"}
     names = ["n", *dict.fromkeys(need[s] for s in stats)] + (["l_n"] if "avg_last3f" in stats else [])
-    known = df.filter(F.col(condition).isNotNull()) if condition else df
-    t = asof_totals(known, by, result_measures(df, names), days)
+    known = base.filter(F.col(condition).isNotNull()) if condition else base
+    t = asof_totals(known, by, result_measures(base, names), days)
     value = {
         "win_rate": ratio("wins", "n"), "in3_rate": ratio("in3", "n"), "avg_finish": ratio("o_sum", "n"),
         "avg_last3f": ratio("l_sum", "l_n") if "avg_last3f" in stats else None,
@@ -201,9 +204,11 @@ def recent_row_strict(
     return joined.select(*df.columns, F.slice(F.concat("__today", "recent"), 1, n).alias("recent"))
 
 
-def prior_rows(df: DataFrame, measures: Measures, keys: Sequence[str] = ("entity",)) -> DataFrame:
+def prior_rows(
+    df: DataFrame, measures: Measures, keys: Sequence[str] = ("entity",), source: DataFrame | None = None
+) -> DataFrame:
     """Row-strict totals over all earlier rows of the key."""
-    return prior(df, keys, "day", [F.col("event"), F.col("entity")], measures)
+    return prior(df, keys, "day", [F.col("event"), F.col("entity")], measures, source)
 
 
 # --- expressions over the newest-first array of runs -------------------------------
@@ -298,11 +303,19 @@ def weight_form(df: DataFrame, change: str, prefix: str = "h_") -> DataFrame:
 def actor_block(df: DataFrame, key: str, prefix: str, pair: str, pair_prefix: str, days: int = 30) -> DataFrame:
     """Record of an actor or owner: overall, by condition, over the last days, and as a pair."""
     rates = ("win_rate", "in3_rate")
-    out = conditional(df, None, [key], prefix, stats=("n_wins", *rates))
+    out = conditional(df, None, [key], prefix, stats=("n_wins", *rates), source=df)
     for condition, suffix in (("dist_cat", "_dist"), ("surface", "_surface"), ("place", "_course")):
-        out = conditional(out, condition, [key], prefix, suffix, rates)
-    out = conditional(out, None, [key], f"{prefix}recent{days}d_", stats=rates, days=days)
-    return conditional(out, None, [key, pair], pair_prefix, stats=rates)
+        out = conditional(out, condition, [key], prefix, suffix, rates, source=df)
+    out = conditional(out, None, [key], f"{prefix}recent{days}d_", stats=rates, days=days, source=df)
+    return conditional(out, None, [key, pair], pair_prefix, stats=rates, source=df)
+
+
+def condition_block(df: DataFrame) -> DataFrame:
+    """Record of the entity by distance category, surface, going and place."""
+    out = conditional(df, "dist_cat", suffix="_dist", stats=("win_rate", "in3_rate", "avg_finish", "avg_last3f"), source=df)
+    for column, suffix in (("surface", "_surface"), ("going", "_track"), ("place", "_course")):
+        out = conditional(out, column, suffix=suffix, source=df)
+    return out
 
 
 def base_recent_form(df: DataFrame, n: int = 3) -> DataFrame:
@@ -406,7 +419,9 @@ def recent_axis(df: DataFrame) -> DataFrame:
     )
 
 
-def condition_axis(df: DataFrame, name: str, condition: str, last3f: bool = False) -> DataFrame:
+def condition_axis(
+    df: DataFrame, name: str, condition: str, last3f: bool = False, source: DataFrame | None = None
+) -> DataFrame:
     """Row-strict record under the same condition; an unknown outcome adds 0 to the outcome sum."""
     o = F.col("outcome").cast("long")
     measures = {
@@ -414,7 +429,7 @@ def condition_axis(df: DataFrame, name: str, condition: str, last3f: bool = Fals
     }
     if last3f:
         measures |= {"__ln": ("count", F.col("last3f")), "__ls": ("sum", F.col("last3f"))}
-    p = prior_rows(df, measures, ["entity", condition])
+    p = prior_rows(df, measures, ["entity", condition], source)
     known = F.col(condition).isNotNull()
     extra = [F.when(known, ratio("__ls", "__ln")).alias(f"{name}_avg_last3f")] if last3f else []
     return p.select(
@@ -505,10 +520,10 @@ def stability_axis(df: DataFrame) -> DataFrame:
     )
 
 
-def partner_axis(df: DataFrame, key: str, name: str) -> DataFrame:
+def partner_axis(df: DataFrame, key: str, name: str, source: DataFrame | None = None) -> DataFrame:
     """Row-strict in-three rate of an actor or owner, 0 without earlier rows."""
     i = F.when(F.col("outcome").between(1, 3), 1)
-    p = prior_rows(df, {"__n": ("count", F.lit(1)), "__i": ("count", i)}, [key])
+    p = prior_rows(df, {"__n": ("count", F.lit(1)), "__i": ("count", i)}, [key], source)
     return p.select(*df.columns, F.coalesce(ratio("__i", "__n"), F.lit(0.0)).alias(name))
 
 
@@ -529,3 +544,40 @@ def start_index(df: DataFrame) -> DataFrame:
     """1 for the first row of an entity, 2 for the next, and so on."""
     p = prior_rows(df, {"__n": ("count", F.lit(1))})
     return p.select(*df.columns, (F.col("__n") + 1).alias("start_index"))
+
+
+def entity_block(df: DataFrame, change: str, prefix: str = "h_") -> DataFrame:
+    """All date-strict history of the entity: one pass for totals, one for the last runs, one for weights.
+
+    The same columns as ``career``, ``recent_form``, ``measure_history``, ``prize_form``
+    and ``weight_form`` give one by one.
+    """
+    t = asof_totals(df, ["entity"], result_measures(df))
+    runs = recent_days(df, ["entity"], 5, ["outcome", "last3f", "prize"], F.col("outcome").isNotNull())
+    weighed = F.col("outcome").isNotNull() & F.col("weight").isNotNull()
+    weights = recent_days(df, ["entity"], 3, ["weight", change], weighed).withColumnRenamed("recent", "weights")
+    # the three blocks share the partitioning by (entity, day) of the totals
+    day = t.join(runs, ["entity", "day"], "left").join(weights, ["entity", "day"], "left")
+    o3, l3, o5, w3 = take("outcome", 3), take("last3f", 3), take("outcome", 5), take("weight", 3, "weights")
+    day = day.withColumns({"o3": o3, "l3": l3, "o5": o5, "w3": w3, "last3p": arr_sum(take("prize", 3))})
+    o3, l3, o5, w3, p3 = F.col("o3"), F.col("l3"), F.col("o5"), F.col("w3"), F.col("last3p")
+    wmean, wstd, pmean = ratio("w_sum", "w_n"), spread("w_n", "w_sum", "w_sq"), ratio("p_sum", "p_n")
+    ran = F.col("n") > 0
+    last_w = first_of("weight", "weights")
+    cols = {
+        "n_starts": F.col("n"), "n_wins": F.col("wins"), "n_in3": F.col("in3"), "win_rate": ratio("wins", "n"),
+        "in3_rate": ratio("in3", "n"), "avg_finish": ratio("o_sum", "n"), "std_finish": spread("n", "o_sum", "o_sq"),
+        "best_finish": F.col("best"), "worst_finish": F.col("worst"), "is_first_run": F.when(F.col("n") == 0, 1).otherwise(0),
+        "days_since_last": F.col("day") - first_of("day"), "recent3_avg_finish": arr_mean(o3), "recent3_best_finish": F.array_min(o3),
+        "recent3_avg_last3f": arr_mean(l3), "recent5_avg_finish": arr_mean(o5),
+        "recent5_win_rate": ratio(arr_count(o5, lambda v: v == 1), F.size(o5)),
+        "recent5_in3_rate": ratio(arr_count(o5, lambda v: v <= 3), F.size(o5)),
+        "avg_last3f": ratio("l_sum", "l_n"), "best_last3f": F.col("l_best"),
+        "total_prize": F.when(ran, F.coalesce("p_sum", F.lit(0))), "avg_prize": pmean, "max_prize": F.col("p_max"),
+        "recent3_total_prize": F.when(ran, p3), "prize_momentum": F.when(pmean > 0, p3 / (3 * pmean)),
+        "avg_body_weight": wmean, "last_body_weight": last_w, "last_body_weight_diff": first_of(change, "weights"),
+        "recent3_avg_body_weight": arr_mean(w3), "recent3_std_body_weight": arr_std(w3), "recent3_body_weight_trend": arr_slope(w3),
+        "body_weight_z": F.when(wstd > 0, (last_w - wmean) / wstd),
+    }
+    block = day.select("entity", "day", *[c.alias(f"{prefix}{n}") for n, c in cols.items()])
+    return _attach(df, block, ["entity"])

@@ -37,7 +37,8 @@ def r6(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
-def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries without the values that need a rank."""
     line = (
         table(spark, sf_dir, "lineitem")
         .groupBy("l_orderkey", "l_partkey")
@@ -89,10 +90,14 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linestatus").alias("status"),
     )
     rows = with_group_stats(rows, ["event"], field_size=F.count(F.lit(1)), __q=F.sum("qty"))
-    rows = rows.withColumn("p", F.col("qty") / F.col("__q")).drop("__q")
-    rows = rank_in_group(rows, ["event"], "price", "outcome", descending=True, ties=["entity"], size="field_size")
-    rows = rank_in_group(rows, ["event"], "line", "post", ties=["entity"], size="field_size")
-    rows = rank_in_group(rows, ["event"], "odds", "popularity", ties=["entity"], size="field_size")
+    return rows.withColumn("p", F.col("qty") / F.col("__q")).drop("__q")
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = stored(spark, sf_dir, "sized", _sized)
+    rows = base
+    for by, name, down in (("price", "outcome", True), ("line", "post", False), ("odds", "popularity", False)):
+        rows = rank_in_group(rows, ["event"], by, name, descending=down, ties=["entity"], size="field_size", source=base)
     n = F.col("field_size")
     c1 = 1 + (F.col("post") * 3 + F.col("entity")) % n
     c2 = 1 + (F.col("post") + F.col("outcome")) % n

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 
+from pyspark.sql import functions as F
+
 from raceframe.functions import columns as C
 from raceframe.operators import history as H
 from raceframe.plans.base import ENTRIES, entries, r6
@@ -90,9 +92,7 @@ _cond_cols += [
 )
 def conditional_asof(spark, sf_dir):
     df = with_dist(entries(spark, sf_dir))
-    out = H.conditional(df, "dist_cat", suffix="_dist", stats=("win_rate", "in3_rate", "avg_finish", "avg_last3f"))
-    for column, suffix in (("surface", "_surface"), ("going", "_track"), ("place", "_course")):
-        out = H.conditional(out, column, suffix=suffix)
+    out = H.condition_block(df)
     counts = [f"h_n_starts{s}" for s in ("_dist", "_surface", "_track", "_course")]
     rates = [f"h_{k}{s}" for s in ("_dist", "_surface", "_track", "_course") for k in ("win_rate", "in3_rate")]
     return _round(out, KEY + counts, [*rates, "h_avg_finish_dist", "h_avg_last3f_dist"])
@@ -152,7 +152,7 @@ SELECT a.event, a.entity, round(avg(p.last3f),6) AS h_avg_last3f, min(p.last3f)
 FROM entries a LEFT JOIN past p ON a.event = p.event AND a.entity = p.entity GROUP BY a.event, a.entity""",
 )
 def prize_last3f_asof(spark, sf_dir):
-    out = H.prize_form(H.measure_history(entries(spark, sf_dir)))
+    out = H.entity_block(entries(spark, sf_dir), "tax")
     return _round(
         out, [*KEY, "h_best_last3f", "h_total_prize", "h_max_prize", "h_recent3_total_prize"],
         ["h_avg_last3f", "h_avg_prize", "h_prize_momentum"],
@@ -246,7 +246,7 @@ SELECT event, entity, row_number() OVER w - 1 AS hr_career_starts,
 FROM entries""" + _W,
 )
 def career_rows(spark, sf_dir):
-    out = H.start_index(H.row_career(entries(spark, sf_dir)))
+    out = H.row_career(entries(spark, sf_dir)).withColumn("start_index", F.col("hr_career_starts") + 1)
     p = "hr_career_"
     return _round(
         out, [*KEY, p + "starts", p + "wins", p + "in3", p + "total_prize", "start_index"],
@@ -318,8 +318,8 @@ _NAME = "CASE WHEN distance < 1400 THEN 'short' WHEN distance < 1800 THEN 'mile'
 def condition_axis_rows(spark, sf_dir):
     df = entries(spark, sf_dir).withColumn("dist_name", C.distance_name("distance"))
     out = H.condition_axis(df, "ax2_same_surface", "surface", last3f=True)
-    out = H.condition_axis(out, "ax2_same_course", "place")
-    out = H.condition_axis(out, "ax2_same_distcat", "dist_name")
+    out = H.condition_axis(out, "ax2_same_course", "place", source=df)
+    out = H.condition_axis(out, "ax2_same_distcat", "dist_name", source=df)
     new = [c for c in out.columns if c.startswith("ax2_")]
     return _round(out, KEY + [c for c in new if c.endswith("starts")], [c for c in new if not c.endswith("starts")])
 
@@ -402,8 +402,9 @@ FROM entries WINDOW a AS (PARTITION BY actor ORDER BY day, event, entity ROWS BE
   o AS (PARTITION BY owner ORDER BY day, event, entity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
 )
 def partner_axis_rows(spark, sf_dir):
-    out = H.partner_axis(entries(spark, sf_dir), "actor", "ax8_jockey_in3_rate_total_asof")
-    out = H.partner_axis(out, "owner", "ax8_trainer_in3_rate_total_asof")
+    df = entries(spark, sf_dir)
+    out = H.partner_axis(df, "actor", "ax8_jockey_in3_rate_total_asof")
+    out = H.partner_axis(out, "owner", "ax8_trainer_in3_rate_total_asof", source=df)
     return _round(out, KEY, [c for c in out.columns if c.startswith("ax8_")])
 
 
