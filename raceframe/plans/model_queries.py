@@ -136,7 +136,8 @@ def permuted_column(spark, sf_dir):
 def streamed_latest(spark, sf_dir):
     """The events as four files, read file by file as a stream."""
     def build(s, d):
-        return table(s, d, "events").select("user_id", "event_type", "ts", "value").repartitionByRange(4, "ts")
+        at = F.col("ts").cast("timestamp").alias("ts")
+        return table(s, d, "events").select("user_id", "event_type", at, "value").repartitionByRange(4, "ts")
 
     source = stored(spark, sf_dir, "event-log", build)
     path = source.inputFiles()[0].rsplit("/", 1)[0]
