@@ -7,7 +7,8 @@ into ordered chunks, so that no task needs more than one chunk of a group.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +28,25 @@ def with_group_stats(df: DataFrame, keys: Sequence[str], **stats: Column) -> Dat
     return df.join(totals, list(keys), "left")
 
 
+def by_size(df: DataFrame, size: str | None, plan: Callable[[DataFrame, bool], DataFrame], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Run ``plan(rows, hot)`` on the rows of ordinary and of very large groups apart.
+
+    Ordinary groups fit a task, so they may use windows that share one shuffle.  The
+    large ones take the spread-out way.  Without a size column all rows do.
+    """
+    if size is None:
+        return plan(df, True)
+    return plan(df.filter(F.col(size) <= hot_rows), False).unionByName(plan(df.filter(F.col(size) > hot_rows), True))
+
+
+def group_stats(df: DataFrame, keys: Sequence[str], hot: bool, **stats: Column) -> DataFrame:
+    """Group aggregates on every row: by join for large groups, by window for the others."""
+    if hot:
+        return with_group_stats(df, keys, **stats)
+    group = Window.partitionBy(*keys)
+    return df.select("*", *[c.over(group).alias(n) for n, c in stats.items()])
+
+
 def value_chunk(value: Column) -> Column:
     """Monotone bucket of a number: 256 buckets per power of two, either sign."""
     v = value.cast("double")
@@ -72,51 +92,58 @@ def prior(
     return joined.select(*df.columns, *out)
 
 
-def rank_in_group(
-    df: DataFrame,
-    keys: Sequence[str],
-    by: str,
-    name: str,
-    *,
-    descending: bool = False,
-    ties: Sequence[str] = (),
-    size: str | None = None,
-    kind: str = "row_number",
-    hot_rows: int = HOT_ROWS,
-    source: DataFrame | None = None,
-) -> DataFrame:
-    """Exact ``row_number``, ``rank`` or ``average`` rank of every row in its group.
+@dataclass(frozen=True)
+class Rank:
+    """A position by one column: ``row_number`` (ties by ``ties``), ``rank`` or ``average``."""
 
-    Groups of up to ``hot_rows`` rows form one chunk.  Larger groups are cut by
-    ``value_chunk`` and each chunk starts at the row count of the chunks before.
-    ``size`` names a column with the group size; without it the size is counted.
-    ``source`` is an earlier form of the same rows, for the counts of the chunks.
+    by: str
+    name: str
+    descending: bool = False
+    ties: Sequence[str] = ()
+    kind: str = "row_number"
+
+
+def _position(rank: Rank, part: Sequence[str]) -> Column:
+    lead = F.col(rank.by).desc() if rank.descending else F.col(rank.by).asc()
+    order = [lead, *[F.col(t).asc() for t in rank.ties]] if rank.kind == "row_number" else [lead]
+    position = (F.row_number() if rank.kind == "row_number" else F.rank()).over(Window.partitionBy(*part).orderBy(*order))
+    if rank.kind == "average":
+        position = position + (F.count(F.lit(1)).over(Window.partitionBy(*part, rank.by)) - 1) / 2
+    return position if rank.kind == "average" else position.cast("long")
+
+
+def group_ranks(df: DataFrame, keys: Sequence[str], ranks: Sequence[Rank], hot: bool) -> DataFrame:
+    """Exact positions of every row in its group.
+
+    A large group is cut by ``value_chunk``; equal values share a chunk, and each
+    chunk starts at the row count of the chunks before it.  The other groups need one
+    shuffle for all ranks.
     """
     keys = list(keys)
-    rows = df if size else with_group_stats(df, keys, __size=F.count(F.lit(1)))
-    n = F.col(size or "__size")
-    step = value_chunk(F.col(by))
-    chunk = F.when(n > hot_rows, -step if descending else step).otherwise(F.lit(0).cast("long"))
-    rows = rows.withColumn("__chunk", chunk)
-    counted = rows if source is None else source.withColumn("__chunk", chunk)
-    earlier = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        counted.filter(n > hot_rows)
-        .groupBy(*keys, "__chunk")
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .select(*keys, "__chunk", F.sum("__n").over(earlier).alias("__start"))
-    )
-    lead = F.col(by).desc() if descending else F.col(by).asc()
-    order = [lead, *[F.col(t).asc() for t in ties]] if kind == "row_number" else [lead]
-    inside = Window.partitionBy(*keys, "__chunk").orderBy(*order)
-    position = (F.row_number() if kind == "row_number" else F.rank()).over(inside)
-    if kind == "average":
-        # equal values share a chunk, so their count needs no further shuffle
-        equal = Window.partitionBy(*keys, "__chunk", by)
-        position = position + (F.count(F.lit(1)).over(equal) - 1) / 2
-    ranked = rows.withColumn("__pos", position).join(starts, [*keys, "__chunk"], "left")
-    value = F.col("__pos") + F.coalesce(F.col("__start"), F.lit(0))
-    return ranked.select(*df.columns, (value if kind == "average" else value.cast("long")).alias(name))
+    if not hot:
+        return df.select("*", *[_position(r, keys).alias(r.name) for r in ranks])
+    out = df
+    for r in ranks:
+        step = value_chunk(F.col(r.by))
+        chunk = (-step if r.descending else step).alias("__chunk")
+        earlier = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+        starts = (
+            df.select(*keys, chunk).groupBy(*keys, "__chunk").agg(F.count(F.lit(1)).alias("__n"))
+            .select(*keys, "__chunk", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
+        )
+        columns = out.columns
+        placed = out.select("*", chunk).withColumn("__pos", _position(r, [*keys, "__chunk"])).join(starts, [*keys, "__chunk"])
+        out = placed.select(*columns, (F.col("__pos") + F.col("__start")).alias(r.name))
+    return out
+
+
+def rank_in_group(
+    df: DataFrame, keys: Sequence[str], by: str, name: str, *, descending: bool = False, ties: Sequence[str] = (),
+    size: str | None = None, kind: str = "row_number", hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """One exact position per row; ``size`` names a column with the group size, if there is one."""
+    rank = Rank(by, name, descending, tuple(ties), kind)
+    return by_size(df, size, lambda rows, hot: group_ranks(rows, keys, [rank], hot), hot_rows)
 
 
 def top_per_group(

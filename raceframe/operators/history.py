@@ -161,7 +161,10 @@ def recent_days(
     """
     keys = list(keys)
     valid = F.lit(True) if valid is None else valid
-    last = Window.partitionBy(*keys, "day", "__valid").orderBy(F.col("event").desc(), *[F.col(f).desc() for f in fields])
+    # valid rows first, and at least one row per day; the same shuffle serves the next step
+    last = Window.partitionBy(*keys, "day").orderBy(
+        F.col("__valid").desc(), F.col("event").desc(), *[F.col(f).desc() for f in fields if f != "event"]
+    )
     kept = (
         df.select(*dict.fromkeys([*keys, "day", "event", *fields]), valid.alias("__valid"))
         .withColumn("__k", F.row_number().over(last))
@@ -223,16 +226,28 @@ def arr_sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, v: s + v.cast("double"))
 
 
+def _moments(a: Column, finish) -> Column:
+    """Count, sum and sum of squares in one walk, so the array is evaluated once."""
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
+
+    def add(m: Column, v: Column) -> Column:
+        x = v.cast("double")
+        return F.struct((m["n"] + 1).alias("n"), (m["s"] + x).alias("s"), (m["q"] + x * x).alias("q"))
+
+    return F.aggregate(a, zero, add, finish)
+
+
 def arr_mean(a: Column) -> Column:
-    return F.when(F.size(a) > 0, arr_sum(a) / F.size(a))
+    """Mean; NULL for an empty array."""
+    return _moments(a, lambda m: F.when(m["n"] > 0, m["s"] / m["n"]))
 
 
 def arr_std(a: Column) -> Column:
     """Sample standard deviation; NULL below two values."""
-    mean = arr_mean(a)
-    return F.when(
-        F.size(a) > 1, F.sqrt(arr_sum(F.transform(a, lambda v: (v - mean) * (v - mean))) / (F.size(a) - 1))
-    )
+    def finish(m: Column) -> Column:
+        return F.when(m["n"] > 1, F.sqrt(F.greatest((m["q"] - m["s"] * m["s"] / m["n"]) / (m["n"] - 1), F.lit(0.0))))
+
+    return _moments(a, finish)
 
 
 def arr_slope(a: Column) -> Column:
@@ -255,7 +270,8 @@ def first_of(field: str, array: str = "recent") -> Column:
 def recent_form(df: DataFrame, prefix: str = "h_") -> DataFrame:
     """Days since the last run and the means and bests of the last three and five runs."""
     r = recent_date_strict(df, 5, ["outcome", "last3f"])
-    o3, l3, o5 = take("outcome", 3), take("last3f", 3), take("outcome", 5)
+    r = r.withColumns({"__o3": take("outcome", 3), "__l3": take("last3f", 3), "__o5": take("outcome", 5)})
+    o3, l3, o5 = F.col("__o3"), F.col("__l3"), F.col("__o5")
     return r.select(
         *df.columns,
         (F.col("day") - first_of("day")).alias(f"{prefix}days_since_last"),
@@ -286,7 +302,8 @@ def weight_form(df: DataFrame, change: str, prefix: str = "h_") -> DataFrame:
     weighed = F.col("outcome").isNotNull() & F.col("weight").isNotNull()
     t = asof_totals(df, ["entity"], result_measures(df, ["w_n", "w_sum", "w_sq"]))
     r = recent_date_strict(df, 3, ["weight", change], valid=weighed).join(t, ["entity", "day"], "left")
-    w = take("weight", 3)
+    r = r.withColumn("__w", take("weight", 3))
+    w = F.col("__w")
     mean, std = ratio("w_sum", "w_n"), spread("w_n", "w_sum", "w_sq")
     return r.select(
         *df.columns,
@@ -401,8 +418,9 @@ def row_recent(df: DataFrame, starts: str) -> DataFrame:
 def recent_axis(df: DataFrame) -> DataFrame:
     """Last outcome and section time against the last three; zeroed when the last outcome is unknown."""
     r = recent_row_strict(df, 5, ["outcome", "last3f"])
+    r = r.withColumns({"__o3": take("outcome", 3), "__l3": take("last3f", 3)})
     last, last_l = first_of("outcome"), first_of("last3f")
-    o3, l3 = take("outcome", 3), take("last3f", 3)
+    o3, l3 = F.col("__o3"), F.col("__l3")
     none = last.isNull()
 
     def masked(c: Column) -> Column:
@@ -465,7 +483,8 @@ def change_axis(df: DataFrame, rank: str) -> DataFrame:
 def class_axis(df: DataFrame, rank: str) -> DataFrame:
     """Class strength and prize over the last five rows; all 0 on the first row."""
     r = recent_row_strict(df.withColumn("__prize", F.coalesce("prize", F.lit(0))), 5, [rank, "__prize"])
-    c5, p5, p3 = take(rank, 5), take("__prize", 5), take("__prize", 3)
+    r = r.withColumns({"__c5": take(rank, 5), "__p5": take("__prize", 5)})
+    c5, p5, p3 = F.col("__c5"), F.col("__p5"), F.slice("__p5", 1, 3)
     trend = F.when(F.size(p5) >= 3, arr_mean(F.slice(p5, 1, 2)) - arr_mean(F.slice(p5, 3, 3)))
     first = F.size("recent") == 0
 
@@ -530,7 +549,8 @@ def partner_axis(df: DataFrame, key: str, name: str, source: DataFrame | None =
 def market_axis(df: DataFrame) -> DataFrame:
     """Past odds and past outcome against popularity over five rows; NULL becomes 0."""
     r = recent_row_strict(df.withColumn("__diff", F.col("outcome") - F.col("popularity")), 5, ["odds", "__diff"])
-    o, d = take("odds", 5), take("__diff", 5)
+    r = r.withColumns({"__o": take("odds", 5), "__d": take("__diff", 5)})
+    o, d = F.col("__o"), F.col("__d")
     cols = {
         "ax9_avg_win_odds_recent5": arr_mean(o),
         "ax9_std_win_odds_recent5": arr_std(o),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from raceframe.functions import constants as K
 from raceframe.functions.columns import clip, logit
-from raceframe.operators.grouping import rank_in_group, top_per_group, with_group_stats
+from raceframe.operators.grouping import Rank, by_size, group_ranks, group_stats, top_per_group
 
 KEYS = ["event", "scenario"]
 
@@ -35,15 +35,13 @@ def _by_table(c: Column, table: Mapping[str, str]) -> Column:
     return F.try_element_at(F.create_map(*pairs), c)
 
 
-def scale_by_total(df: DataFrame, keys: Sequence[str], win: str, in3: str) -> DataFrame:
+def scale_by_total(df: DataFrame, keys: Sequence[str], win: str, in3: str, size: str | None = None) -> DataFrame:
     """``win`` to sum 1 per group, ``in3`` to sum 3 only where it is above."""
-    t = with_group_stats(df, keys, __w=F.sum(win), __i=F.sum(in3))
-    return t.withColumns(
-        {
-            win: F.when(F.col("__w") > 0, F.col(win) / F.col("__w")).otherwise(F.col(win)),
-            in3: F.when(F.col("__i") > 3.0, F.col(in3) * (3.0 / F.col("__i"))).otherwise(F.col(in3)),
-        }
-    ).drop("__w", "__i")
+    new = {
+        win: F.when(F.col("__w") > 0, F.col(win) / F.col("__w")).otherwise(F.col(win)),
+        in3: F.when(F.col("__i") > 3.0, F.col(in3) * (3.0 / F.col("__i"))).otherwise(F.col(in3)),
+    }
+    return by_size(df, size, lambda rows, hot: group_stats(rows, keys, hot, __w=F.sum(win), __i=F.sum(in3)).withColumns(new).drop("__w", "__i"))
 
 
 def scenario_adjust(entries: DataFrame, scenarios: DataFrame, normalize: bool = True) -> DataFrame:
@@ -94,8 +92,12 @@ def scenario_adjust(entries: DataFrame, scenarios: DataFrame, normalize: bool =
         )
     )
     adjusted = df.withColumns({**out, "reasons": reasons})
-    adjusted = adjusted.select("event", "scenario", "entity", "base_win", "base_in3", "run_style_label", "lane", "adj_win", "adj_in3", "reasons")
-    return scale_by_total(adjusted, KEYS, "adj_win", "adj_in3") if normalize else adjusted
+    adjusted = adjusted.select(
+        "event", "scenario", "entity", "field_size", "base_win", "base_in3", "run_style_label", "lane", "adj_win", "adj_in3", "reasons"
+    )
+    if normalize:
+        adjusted = scale_by_total(adjusted, KEYS, "adj_win", "adj_in3", "field_size")
+    return adjusted.drop("field_size")
 
 
 def _lane() -> Column:
@@ -139,16 +141,18 @@ def bias_adjust(entries: DataFrame, scenarios: DataFrame) -> DataFrame:
             * _factor(K.LANE_BIAS, i, F.col("lane_bias"), F.col("lane")) * _factor(K.STYLE_BIAS, i, F.col("style_bias"), style)
         )
         df = df.withColumn(f"adj_{p}", F.round(f, 6))
-    df = with_group_stats(df, KEYS, __w=F.sum("adj_win"), __i=F.sum("adj_in3"))
-    df = df.withColumns(
-        {
-            "adj_win": F.when(F.col("__w") > 0, F.round(F.col("adj_win") / F.col("__w"), 4)).otherwise(F.col("adj_win")),
-            "adj_in3": F.when(F.col("__i") > 3.0, F.round(F.col("adj_in3") * (3.0 / F.col("__i")), 4)).otherwise(F.col("adj_in3")),
-        }
-    )
-    for p in ("win", "in3"):
-        df = rank_in_group(df, KEYS, f"adj_{p}", f"adj_rank_{p}", descending=True, ties=["umaban"], size="field_size")
-        df = df.withColumn(f"rank_change_{p}", F.col(f"rank_{p}") - F.col(f"adj_rank_{p}"))
+    share = {
+        "adj_win": F.when(F.col("__w") > 0, F.round(F.col("adj_win") / F.col("__w"), 4)).otherwise(F.col("adj_win")),
+        "adj_in3": F.when(F.col("__i") > 3.0, F.round(F.col("adj_in3") * (3.0 / F.col("__i")), 4)).otherwise(F.col("adj_in3")),
+    }
+    ranks = [Rank(f"adj_{p}", f"adj_rank_{p}", True, ("umaban",)) for p in ("win", "in3")]
+
+    def plan(rows: DataFrame, hot: bool) -> DataFrame:
+        scaled = group_stats(rows, KEYS, hot, __w=F.sum("adj_win"), __i=F.sum("adj_in3")).withColumns(share)
+        return group_ranks(scaled, KEYS, ranks, hot)
+
+    df = by_size(df, "field_size", plan)
+    df = df.withColumns({f"rank_change_{p}": F.col(f"rank_{p}") - F.col(f"adj_rank_{p}") for p in ("win", "in3")})
     return df.select(
         "event", "scenario", "entity", "run_style", "lane", "adj_win", "adj_in3", "adj_rank_win", "adj_rank_in3", "rank_change_win", "rank_change_in3"
     )
@@ -168,22 +172,22 @@ def bias_reasons(pace: Column, style: Column, lane: Column, lane_bias: Column, s
     )
 
 
-def pace_shift(df: DataFrame, p: str, style: str, balance: str, name: str) -> DataFrame:
+def pace_shift(df: DataFrame, p: str, style: str, balance: str, name: str, size: str | None = None) -> DataFrame:
     """Shift log-odds by style and pace balance, then let the odds of the event sum to one."""
     pairs = [F.lit(x) for kv in K.PACE_SHIFT.items() for x in kv]
     coef = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(style)), F.lit(0.0))
     delta = clip(K.PACE_SHIFT_ALPHA * coef * F.tanh(F.col(balance) / K.PACE_SHIFT_SCALE), -K.PACE_SHIFT_MAX, K.PACE_SHIFT_MAX)
     odds = df.withColumn("__o", F.exp(logit(p) + delta))
-    total = with_group_stats(odds, ["event"], __t=F.sum("__o"))
-    return total.select(*df.columns, F.when(F.col("__t") > 0, F.col("__o") / F.col("__t")).otherwise(F.col(p)).alias(name))
+    share = F.when(F.col("__t") > 0, F.col("__o") / F.col("__t")).otherwise(F.col(p)).alias(name)
+    return by_size(odds, size, lambda rows, hot: group_stats(rows, ["event"], hot, __t=F.sum("__o")).select(*df.columns, share))
 
 
-def integrate(df: DataFrame, p: str, going_delta: str, pace_delta: str) -> DataFrame:
+def integrate(df: DataFrame, p: str, going_delta: str, pace_delta: str, size: str | None = None) -> DataFrame:
     """Base log-odds plus both deltas, as probability and as softmax within the event."""
     from raceframe.operators.relative import softmax
 
     x = df.withColumn("logit_final", logit(p, 0.001) + F.col(going_delta) + F.col(pace_delta))
-    return softmax(x, "logit_final", "normalized_prob")
+    return softmax(x, "logit_final", "normalized_prob", size)
 
 
 def validate(df: DataFrame, p: str, tolerance: float = 1e-5) -> DataFrame:

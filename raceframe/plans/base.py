@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raceframe.operators.grouping import rank_in_group, with_group_stats
+from raceframe.operators.grouping import Rank, by_size, group_ranks, with_group_stats
 from raceframe.session import configure, work_dir
 
 _tables: dict[tuple[str, str, str], str] = {}
@@ -95,9 +95,10 @@ def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = stored(spark, sf_dir, "sized", _sized)
-    rows = base
-    for by, name, down in (("price", "outcome", True), ("line", "post", False), ("odds", "popularity", False)):
-        rows = rank_in_group(rows, ["event"], by, name, descending=down, ties=["entity"], size="field_size", source=base)
+    ranks = [
+        Rank("price", "outcome", True, ("entity",)), Rank("line", "post", False, ("entity",)), Rank("odds", "popularity", False, ("entity",)),
+    ]
+    rows = by_size(base, "field_size", lambda part, hot: group_ranks(part, ["event"], ranks, hot))
     n = F.col("field_size")
     c1 = 1 + (F.col("post") * 3 + F.col("entity")) % n
     c2 = 1 + (F.col("post") + F.col("outcome")) % n

@@ -9,7 +9,7 @@ from raceframe.functions import constants as K
 from raceframe.operators import asof, event, history, relative
 from raceframe.operators.grouping import rank_in_group
 from raceframe.plans.base import ENTRIES, entries, r6, table
-from raceframe.plans.registry import query
+from raceframe.plans.registry import ORACLES, query
 
 KEY = ["event", "entity"]
 
@@ -39,7 +39,7 @@ def _z(col, inverted=False, low="0"):
 )
 def event_relative(spark, sf_dir):
     cols = ["weight", "odds", "qty"]
-    out = relative.relative_features(entries(spark, sf_dir).select(*KEY, *cols), cols, {"odds"})
+    out = relative.relative_features(entries(spark, sf_dir).select(*KEY, "field_size", *cols), cols, {"odds"}, "field_size")
     z = [(r6(f"rr_zscore_{c}") + 0.0).alias(f"rr_zscore_{c}") for c in cols]
     return out.select(*KEY, *[r6(f"rr_rank_pct_{c}").alias(f"rr_rank_pct_{c}") for c in cols], *z)
 
@@ -50,7 +50,7 @@ def event_relative(spark, sf_dir):
 )
 def event_zscores(spark, sf_dir):
     cols = ["last3f", "prize", "popularity", "post"]
-    out = relative.zscores(entries(spark, sf_dir), cols, min_std=1e-8)
+    out = relative.zscores(entries(spark, sf_dir).select(*KEY, "field_size", *cols), cols, min_std=1e-8, size="field_size")
     return out.select(*KEY, *[(r6(f"{c}_z") + 0.0).alias(f"{c}_z") for c in cols])
 
 
@@ -63,10 +63,10 @@ SELECT event, entity, round(exp(x - max(x) OVER v) / sum(exp(x)) OVER v * exp(ma
 FROM l WINDOW v AS (PARTITION BY event)""",
 )
 def event_softmax_share(spark, sf_dir):
-    df = entries(spark, sf_dir).select(*KEY, "p").withColumn("x", 0.9 * C.logit("p", 0.001))
-    df = relative.softmax(df, "x", "soft")
+    df = entries(spark, sf_dir).select(*KEY, "field_size", "p").withColumn("x", 0.9 * C.logit("p", 0.001))
+    df = relative.softmax(df, "x", "soft", "field_size")
     df = df.withColumn("win", F.least(F.lit(0.95), F.col("p") * 4)).withColumn("in3", F.col("win"))
-    df = relative.normalize(df, "win", "in3").withColumn("back", C.sigmoid(F.col("x") + 0.1))
+    df = relative.normalize(df, "win", "in3", size="field_size").withColumn("back", C.sigmoid(F.col("x") + 0.1))
     return rounded(df, KEY, ["soft", "win", "in3", "back"])
 
 
@@ -95,6 +95,15 @@ def hot_group_rank(spark, sf_dir):
     return rank_in_group(out, ["actor"], "qty", "qty_rank", kind="rank", hot_rows=10).select("actor", *KEY, "pos", "qty_rank")
 
 
+@query("event_relative_spread_out", "W22", ORACLES["event_relative"])
+def event_relative_spread_out(spark, sf_dir):
+    """The way of very large events, taken for all events."""
+    cols = ["weight", "odds", "qty"]
+    out = relative.relative_features(entries(spark, sf_dir).select(*KEY, *cols), cols, {"odds"})
+    z = [(r6(f"rr_zscore_{c}") + 0.0).alias(f"rr_zscore_{c}") for c in cols]
+    return out.select(*KEY, *[r6(f"rr_rank_pct_{c}").alias(f"rr_rank_pct_{c}") for c in cols], *z)
+
+
 # --- snapshots ----------------------------------------------------------------------
 
 

@@ -155,7 +155,7 @@ o AS (SELECT event, entity, exp(ln(q/(1-q)) + greatest(-1.5, least(1.5, 0.7*c*ta
 def pace_shift(spark, sf_dir):
     e = F.col("entity") % 5
     df = entries(spark, sf_dir).withColumns({"style": F.when(e == 0, "逃げ").when(e == 1, "先行").when(e == 2, "差し").when(e == 3, "追込"), "bal": (F.col("event") % 13 - 6).cast("double")})
-    return round_doubles(scenario.pace_shift(df, "p", "style", "bal", "p_pace").select(*KEY, "p_pace"))
+    return round_doubles(scenario.pace_shift(df, "p", "style", "bal", "p_pace", "field_size").select(*KEY, "p_pace"))
 
 
 _INT = ENTRIES + ", x AS (SELECT event, entity, ln(greatest(least(p,0.999),0.001)/(1-greatest(least(p,0.999),0.001))) + (tax-4)/10::DOUBLE + (qty-25)/100::DOUBLE AS z FROM entries), s AS (SELECT event, entity, z, exp(z)/sum(exp(z)) OVER (PARTITION BY event) AS np FROM x) "
@@ -163,7 +163,7 @@ _INT = ENTRIES + ", x AS (SELECT event, entity, ln(greatest(least(p,0.999),0.001
 
 def _integrated(spark, sf_dir):
     df = entries(spark, sf_dir).withColumns({"dg": (F.col("tax") - 4) / 10, "dp": (F.col("qty") - 25) / 100})
-    return scenario.integrate(df.select(*KEY, "p", "dg", "dp"), "p", "dg", "dp")
+    return scenario.integrate(df.select(*KEY, "field_size", "p", "dg", "dp"), "p", "dg", "dp", "field_size")
 
 
 @query("integrated_probability", "C4", _INT + "SELECT event, entity, round(np,6) AS normalized_prob FROM s")
