@@ -161,28 +161,25 @@ def recent_days(
     """
     keys = list(keys)
     valid = F.lit(True) if valid is None else valid
-    # valid rows first, and at least one row per day; the same shuffle serves the next step
-    last = Window.partitionBy(*keys, "day").orderBy(
-        F.col("__valid").desc(), F.col("event").desc(), *[F.col(f).desc() for f in fields if f != "event"]
-    )
+    names = list(dict.fromkeys(["event", *fields]))
+    # the last runs of a day, valid ones first; the first of them stands for the day
+    last = Window.partitionBy(*keys, "day").orderBy(F.col("__valid").desc(), *[F.col(f).desc() for f in names])
     kept = (
-        df.select(*dict.fromkeys([*keys, "day", "event", *fields]), valid.alias("__valid"))
+        df.select(*dict.fromkeys([*keys, "day", *names]), valid.alias("__valid"))
         .withColumn("__k", F.row_number().over(last))
         .filter(F.col("__k") <= n)
     )
-    run = F.struct(F.col("day"), F.col("event"), *[F.col(f) for f in fields if f not in ("day", "event")])
-    daily = kept.groupBy(*keys, "day").agg(
-        F.sort_array(F.collect_list(F.when(F.col("__valid"), run)), asc=False).alias("runs")
-    ).withColumn("__has", F.size("runs") > 0)
-    by_valid = Window.partitionBy(*keys, "__has").orderBy("day").rowsBetween(-(n - 1), 0)
-    upto = F.when(F.col("__has"), F.slice(F.flatten(F.reverse(F.collect_list("runs").over(by_valid))), 1, n))
-    end = Window.currentRow if through else -1
-    before = Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, end)
-    empty = F.expr("slice(runs, 1, 0)")
+    run = F.struct(F.col("day"), *[F.col(f) for f in names if f != "day"])
+    by_valid = (
+        Window.partitionBy(*keys, "__valid").orderBy("day", *names).rowsBetween(-(n - 1), 0)
+    )
+    upto = F.when(F.col("__valid"), F.reverse(F.collect_list(run).over(by_valid)))
+    before = Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow if through else -1)
     return (
-        daily.repartition(*keys)
+        kept.repartition(*keys)
         .withColumn("__upto", upto)
-        .select(*keys, "day", F.coalesce(F.last("__upto", ignorenulls=True).over(before), empty).alias("recent"))
+        .filter(F.col("__k") == 1)
+        .select(*keys, "day", F.coalesce(F.last("__upto", ignorenulls=True).over(before), F.slice(F.array(run), 1, 0)).alias("recent"))
     )
 
 
@@ -196,14 +193,17 @@ def recent_date_strict(
 
 
 def recent_row_strict(
-    df: DataFrame, n: int, fields: Sequence[str], keys: Sequence[str] = ("entity",)
+    df: DataFrame, n: int, fields: Sequence[str], keys: Sequence[str] = ("entity",), source: DataFrame | None = None
 ) -> DataFrame:
-    """Add ``recent``: the latest ``n`` earlier rows in (day, event) order, newest first."""
+    """Add ``recent``: the latest ``n`` earlier rows in (day, event) order, newest first.
+
+    ``source`` is an earlier form of the same rows to read the days before from.
+    """
     keys = list(keys)
     run = F.struct(F.col("day"), F.col("event"), *[F.col(f) for f in fields if f not in ("day", "event")])
     inside = Window.partitionBy(*keys, "day").orderBy("event").rowsBetween(-n, -1)
     rows = df.withColumn("__today", F.reverse(F.collect_list(run).over(inside)))
-    joined = rows.join(recent_days(df, keys, n, fields), [*keys, "day"], "left")
+    joined = rows.join(recent_days(df if source is None else source, keys, n, fields), [*keys, "day"], "left")
     return joined.select(*df.columns, F.slice(F.concat("__today", "recent"), 1, n).alias("recent"))
 
 
@@ -391,15 +391,16 @@ def row_career(df: DataFrame, prefix: str = "hr_career_") -> DataFrame:
     )
 
 
-def row_recent(df: DataFrame, starts: str) -> DataFrame:
+def row_recent(df: DataFrame, starts: str, source: DataFrame | None = None) -> DataFrame:
     """Means, bests and big losses of the last three and five rows, and two trends.
 
     ``starts`` names the number of earlier rows.
     """
-    r = recent_row_strict(df, 5, ["outcome", "last3f", "odds", "popularity"])
+    r = recent_row_strict(df, 5, ["outcome", "last3f", "odds", "popularity"], source=source)
+    r = r.withColumns({"__o3": take("outcome", 3), "__o5": take("outcome", 5)})
     out = {}
     for n in (3, 5):
-        o, p = take("outcome", n), f"hr_recent{n}_"
+        o, p = F.col(f"__o{n}"), f"hr_recent{n}_"
         out[f"{p}starts"] = F.least(F.col(starts), F.lit(n)).cast("long")
         out[f"{p}avg_finish"] = arr_mean(o)
         out[f"{p}best_finish"] = F.array_min(o)
@@ -411,7 +412,7 @@ def row_recent(df: DataFrame, starts: str) -> DataFrame:
     last = first_of("outcome")
     earlier = F.filter(F.transform(F.slice("recent", 2, 2), lambda x: x["outcome"]), lambda v: v.isNotNull())
     out["hr_recent3_finish_trend"] = F.when(F.col(starts) == 0, 0.0).otherwise(last - arr_mean(earlier))
-    out["hr_recent3_last_vs_best_diff"] = last - F.array_min(take("outcome", 3))
+    out["hr_recent3_last_vs_best_diff"] = last - F.array_min("__o3")
     return r.select(*df.columns, *[c.alias(n) for n, c in out.items()])
 
 

@@ -26,8 +26,13 @@ def _factor(table: Mapping[tuple, tuple], which: int, *keys: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), F.concat_ws("|", *keys)), F.lit(1.0))
 
 
-def _listed(ids: str) -> Column:
-    return F.coalesce(F.array_contains(F.col(ids), F.col("entity")), F.lit(False))
+def with_roles(df: DataFrame, roles: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Add a flag ``is_<role>`` per name; ``roles`` has a row per (event, scenario, entity, role).
+
+    Roles are rows rather than lists per event, so an event of any size joins by entity.
+    """
+    flags = roles.groupBy(*KEYS, "entity").agg(*[F.max(F.col("role") == n).alias(f"is_{n}") for n in names])
+    return df.join(flags, [*KEYS, "entity"], "left").fillna(False, subset=[f"is_{n}" for n in names])
 
 
 def _by_table(c: Column, table: Mapping[str, str]) -> Column:
@@ -44,22 +49,22 @@ def scale_by_total(df: DataFrame, keys: Sequence[str], win: str, in3: str, size:
     return by_size(df, size, lambda rows, hot: group_stats(rows, keys, hot, __w=F.sum(win), __i=F.sum(in3)).withColumns(new).drop("__w", "__i"))
 
 
-def scenario_adjust(entries: DataFrame, scenarios: DataFrame, normalize: bool = True) -> DataFrame:
+def scenario_adjust(entries: DataFrame, scenarios: DataFrame, roles: DataFrame, normalize: bool = True) -> DataFrame:
     """Style by pace, leader, lane by bias and weak factors, with reason codes.
 
     ``entries``: event, entity, field_size, frame_no, run_style, base_win, base_in3.
-    ``scenarios``: event, scenario, pace (S/M/H), bias (内/外/フラット) and the id arrays
-    front_runner_ids, stalker_ids, closer_ids, weak_ids.
+    ``scenarios``: event, scenario, pace (S/M/H), bias (内/外/フラット).
+    ``roles``: event, scenario, entity, role (front, stalker, closer, weak).
     """
-    df = entries.join(scenarios, "event")
+    df = with_roles(entries.join(scenarios, "event"), roles, ["front", "stalker", "closer", "weak"])
     raw = F.trim(F.col("run_style"))
     known = F.coalesce(F.when(raw.isin(K.STYLES), raw), _by_table(F.upper(raw), K.STYLE_ALIASES))
-    front = _listed("front_runner_ids")
+    front = F.col("is_front")
     style = (
         F.when(front, K.STYLES[0]).when(known.isNotNull(), known)
-        .when(_listed("stalker_ids"), K.STYLES[1]).when(_listed("closer_ids"), K.STYLES[2]).otherwise("その他")
+        .when(F.col("is_stalker"), K.STYLES[1]).when(F.col("is_closer"), K.STYLES[2]).otherwise("その他")
     )
-    named = front | (known.isNull() & (_listed("stalker_ids") | _listed("closer_ids")))
+    named = front | (known.isNull() & (F.col("is_stalker") | F.col("is_closer")))
     df = df.withColumns({"run_style_label": style, "__named": named, "__front": front})
     label = F.col("run_style_label")
     df = df.withColumn("__cat", F.coalesce(_by_table(label, K.STYLE_CATEGORY), F.lit("other")))
@@ -70,7 +75,7 @@ def scenario_adjust(entries: DataFrame, scenarios: DataFrame, normalize: bool =
     side = F.when(F.col("bias") == "内", "inside").when(F.col("bias") == "外", "outside")
     other = F.when(F.col("bias") == "内", "outside").when(F.col("bias") == "外", "inside")
     gain, loss = F.coalesce(F.col("lane") == side, F.lit(False)), F.coalesce(F.col("lane") == other, F.lit(False))
-    weak = _listed("weak_ids")
+    weak = F.col("is_weak")
     lead = {k: (a, b) for k, (a, b) in K.LEADER_FACTORS.items()}
     out = {}
     for i, p in enumerate(("win", "in3")):
@@ -116,15 +121,16 @@ def _lane() -> Column:
     return F.when(frame.between(1, 8), lane)
 
 
-def bias_adjust(entries: DataFrame, scenarios: DataFrame) -> DataFrame:
+def bias_adjust(entries: DataFrame, scenarios: DataFrame, roles: DataFrame) -> DataFrame:
     """Second coefficient set: pace, going, lane and style bias, with ranks before and after.
 
     ``entries``: event, entity, field_size, umaban, run_style, p_win, p_in3, rank_win, rank_in3.
-    ``scenarios``: event, scenario, pace, track_condition, lane_bias, style_bias, front_runner_ids.
+    ``scenarios``: event, scenario, pace, track_condition, lane_bias, style_bias.
+    ``roles``: event, scenario, entity, role (front).
     """
-    df = entries.join(scenarios, "event")
+    df = with_roles(entries.join(scenarios, "event"), roles, ["front"])
     no, n = F.col("umaban"), F.col("field_size")
-    guess = F.when(_listed("front_runner_ids"), K.STYLES[0]).when(no <= 4, K.STYLES[1]).when(no <= 10, K.STYLES[2]).otherwise(K.STYLES[3])
+    guess = F.when(F.col("is_front"), K.STYLES[0]).when(no <= 4, K.STYLES[1]).when(no <= 10, K.STYLES[2]).otherwise(K.STYLES[3])
     df = df.withColumn("run_style", F.when(F.col("run_style").isin(K.STYLES), F.col("run_style")).otherwise(guess))
     quarter = F.when(n <= 8, 2).otherwise(F.greatest(F.lit(2), F.floor(n * 0.25)))
     outer = F.when(n <= 8, 7).otherwise(n - quarter + 1)
@@ -239,16 +245,22 @@ def summaries(adjusted: DataFrame, k: int = 5, placers: int = 3) -> DataFrame:
     Differences count to nine decimals, so that noise does not order equal ones.
     """
     win, in3 = F.round(F.col("adj_win") - F.col("base_win"), 9), F.round(F.col("adj_in3") - F.col("base_in3"), 9)
-    rows = adjusted.withColumns({"win_delta": win, "in3_delta": in3})
-    kinds = [
-        ("top", F.lit(True), F.round("adj_win", 9).desc(), k),
-        ("boosted", (win > 0.001) | (in3 > 0.001), F.col("win_delta").desc(), k),
-        ("dropped", (win < -0.001) | (in3 < -0.001), F.col("win_delta").asc(), k),
-        ("solid_placer", (F.col("adj_in3") > 0.3) & (F.col("adj_win") < 0.1), F.round("adj_in3", 9).desc(), placers),
-    ]
-    out = None
-    for kind, test, order, n in kinds:
-        part = top_per_group(rows.filter(test), KEYS, [order, F.col("entity").asc()], n, "position")
-        part = part.select("event", "scenario", F.lit(kind).alias("kind"), "position", "entity", "adj_win", "adj_in3", "win_delta")
-        out = part if out is None else out.unionByName(part)
-    return out
+    top, third = F.round("adj_win", 9), F.round("adj_in3", 9)
+    kinds = {
+        "top": (F.lit(True), -top, k),
+        "boosted": ((win > 0.001) | (in3 > 0.001), -win, k),
+        "dropped": ((win < -0.001) | (in3 < -0.001), win, k),
+        "solid_placer": ((F.col("adj_in3") > 0.3) & (F.col("adj_win") < 0.1), -third, placers),
+    }
+    tags = F.array_compact(
+        F.array(
+            *[
+                F.when(test, F.struct(F.lit(kind).alias("kind"), key.alias("key"), F.lit(n).alias("n")))
+                for kind, (test, key, n) in kinds.items()
+            ]
+        )
+    )
+    rows = adjusted.withColumn("win_delta", win).withColumn("__t", F.explode(tags))
+    rows = rows.select("event", "scenario", "entity", "adj_win", "adj_in3", "win_delta", "__t.*")
+    best = top_per_group(rows, [*KEYS, "kind"], [F.col("key").asc(), F.col("entity").asc()], max(k, placers), "position")
+    return best.filter(F.col("position") <= F.col("n")).drop("key", "n")

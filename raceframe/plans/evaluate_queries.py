@@ -8,7 +8,7 @@ from raceframe.functions import columns as C
 from raceframe.functions import constants as K
 from raceframe.operators import backtest, evaluate, history, splits
 from raceframe.operators.grouping import rank_in_group
-from raceframe.plans.base import ENTRIES, entries, r6
+from raceframe.plans.base import ENTRIES, entries, r6, stored
 from raceframe.plans.registry import query
 
 KEY = ["event", "entity"]
@@ -303,8 +303,12 @@ d AS (SELECT *, max(cum) OVER (PARTITION BY strategy ORDER BY day, event ROWS UN
 
 
 def _event_profits(spark, sf_dir):
-    df = scored(spark, sf_dir).select(*KEY, "day", "p", "odds", "outcome")
-    return backtest.event_profits(backtest.backtest_bets(df, "p", "odds"), "odds")
+    """One row per strategy and event, stored once: the running sums read it several times."""
+    def build(s, d):
+        df = scored(s, d).select(*KEY, "day", "p", "odds", "outcome")
+        return backtest.event_profits(backtest.backtest_bets(df, "p", "odds"), "odds")
+
+    return stored(spark, sf_dir, "event-profits", build)
 
 
 @query("backtest_event_profits", "E9", _S + _BT + 'SELECT strategy, event, n_bets, round(avg_odds,6) AS avg_odds, CAST(wins AS BIGINT) AS wins, bet, ret AS "return", ret-bet AS profit FROM pe')

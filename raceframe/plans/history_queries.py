@@ -271,7 +271,7 @@ FROM entries""" + _W,
 )
 def recent_rows(spark, sf_dir):
     df = entries(spark, sf_dir)
-    out = H.row_recent(H.row_career(df), "hr_career_starts")
+    out = H.row_recent(H.row_career(df), "hr_career_starts", source=df)
     rounded = [f"hr_recent{n}_{x}" for n in (3, 5) for x in ("avg_finish", "avg_last3f", "avg_popularity")]
     rounded += ["hr_recent3_avg_win_odds", "hr_recent3_finish_trend"]
     kept = [f"hr_recent{n}_{x}" for n in (3, 5) for x in ("starts", "best_finish", "big_loss_count")]

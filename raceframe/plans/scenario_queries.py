@@ -39,30 +39,32 @@ adj AS (SELECT *, aw / sum(aw) OVER v AS adj_win, CASE WHEN sum(ai) OVER v > 3 T
 """
 
 
-def _scenarios(df, ids):
-    """Three scenarios per event; the listed entities come from the event's own entries."""
-    per = df.groupBy("event").agg(*[F.collect_set(F.when(test, F.col("entity"))).alias(name) for name, test in ids.items()])
-    names = F.explode(F.array(F.lit("base"), F.lit("a"), F.lit("b"))).alias("scenario")
-    rows = per.select("event", names, *ids)
+def _scenarios(df):
+    """Three scenarios per event."""
     s = F.col("scenario")
-    none = F.expr("cast(array() as array<bigint>)")
+    rows = df.select("event").distinct().withColumn("scenario", F.explode(F.array(F.lit("base"), F.lit("a"), F.lit("b"))))
     return rows.select(
         "event", "scenario", F.when(s == "base", "M").when(s == "a", "S").otherwise("H").alias("pace"),
         F.when(s == "base", "フラット").when(s == "a", "内").otherwise("外").alias("bias"),
-        *[F.when(s == "base", none).otherwise(F.col(n)).alias(n) for n in ids],
     )
 
 
+def _roles(df, scenarios, tests):
+    """Role rows of the entries that pass each test, in the given scenarios."""
+    names = F.explode(F.array_compact(F.array(*[F.when(test, name) for name, test in tests.items()]))).alias("role")
+    return df.select(*KEY, names).withColumn("scenario", F.explode(F.array(*[F.lit(x) for x in scenarios])))
+
+
 def _adjusted(spark, sf_dir):
     df = entries(spark, sf_dir)
     e = F.col("entity")
-    ids = {"front_runner_ids": e % 40 == F.col("event") % 4, "stalker_ids": e % 12 == 4, "closer_ids": e % 12 == 5, "weak_ids": e % 17 == 3}
+    tests = {"front": e % 40 == F.col("event") % 4, "stalker": e % 12 == 4, "closer": e % 12 == 5, "weak": e % 17 == 3}
     style = F.when(e % 6 == 0, "逃げ").when(e % 6 == 1, "SENKO").when(e % 6 == 2, " 差し").when(e % 6 == 3, "oikomi")
     base = df.select(
         *KEY, "field_size", ((F.col("post") - 1) % 8 + 1).cast("int").alias("frame_no"), style.alias("run_style"),
         F.pow("p", F.lit(0.9)).alias("base_win"), F.least(F.pow("p", F.lit(0.7)), F.lit(0.95)).alias("base_in3"),
     )
-    return scenario.scenario_adjust(base, _scenarios(df, ids))
+    return scenario.scenario_adjust(base, _scenarios(df), _roles(df, ["a", "b"], tests))
 
 
 @query("scenario_adjust", "C1", _SCN + "SELECT event, scenario, entity, style AS run_style_label, lane, round(adj_win,6) AS adj_win, round(adj_in3,6) AS adj_in3, reasons FROM adj")
@@ -122,16 +124,16 @@ def _bias(spark, sf_dir):
         *KEY, "field_size", F.col("post").cast("int").alias("umaban"), F.when(e % 5 == 0, "追込").alias("run_style"), F.pow("p", F.lit(0.9)).alias("p_win"),
         F.least(F.pow("p", F.lit(0.7)), F.lit(0.95)).alias("p_in3"), "rank_win", F.col("rank_win").alias("rank_in3"),
     )
-    per = df.groupBy("event").agg(F.collect_set(F.when((e % 30 == 7) & (e % 5 != 0), e)).alias("front_runner_ids"))
-    names = F.explode(F.array(F.lit("slow"), F.lit("fast"))).alias("scenario")
+    roles = _roles(df, ["slow", "fast"], {"front": (e % 30 == 7) & (e % 5 != 0)})
+    rows = df.select("event").distinct().withColumn("scenario", F.explode(F.array(F.lit("slow"), F.lit("fast"))))
     m = F.col("event") % 4
     slow = F.col("scenario") == "slow"
-    scn = per.select("event", names, "front_runner_ids").select(
-        "event", "scenario", "front_runner_ids", F.when(slow, "S").otherwise("H").alias("pace"),
+    scn = rows.select(
+        "event", "scenario", F.when(slow, "S").otherwise("H").alias("pace"),
         F.when(m == 0, "良").when(m == 1, "稍重").when(m == 2, "重").otherwise("不良").alias("track_condition"),
         F.when(slow, "inner").otherwise("outer").alias("lane_bias"), F.when(slow, "front").otherwise("closer").alias("style_bias"),
     )
-    return scenario.bias_adjust(base, scn)
+    return scenario.bias_adjust(base, scn, roles)
 
 
 @query("bias_adjust", "C2", _BIAS + "SELECT event, scenario, entity, style AS run_style, lane, adj_win, adj_in3, row_number() OVER (PARTITION BY event, scenario ORDER BY adj_win DESC, no) AS adj_rank_win, rk - row_number() OVER (PARTITION BY event, scenario ORDER BY adj_win DESC, no) AS rank_change_win FROM n")

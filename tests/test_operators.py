@@ -245,11 +245,11 @@ def test_scenario_sums(spark):
         [("R", i, 12, i % 8 + 1, s, 1 / 12, 0.4) for i, s in enumerate(["逃げ", "SENKO", None, "差し"] * 3)],
         "event string, entity int, field_size long, frame_no int, run_style string, base_win double, base_in3 double",
     )
-    s = spark.createDataFrame(
-        [("R", "a", "H", "外", [1], [2], [], [3])],
-        "event string, scenario string, pace string, bias string, front_runner_ids array<int>, stalker_ids array<int>, closer_ids array<int>, weak_ids array<int>",
+    s = spark.createDataFrame([("R", "a", "H", "外")], "event string, scenario string, pace string, bias string")
+    roles = spark.createDataFrame(
+        [("R", "a", 1, "front"), ("R", "a", 2, "stalker"), ("R", "a", 3, "weak")], "event string, scenario string, entity int, role string"
     )
-    out = scenario.scenario_adjust(e, s)
+    out = scenario.scenario_adjust(e, s, roles)
     got = out.agg(F.sum("adj_win"), F.sum("adj_in3")).first()
     assert got[0] == pytest.approx(1.0) and got[1] == pytest.approx(3.0)
     by = {r.entity: r for r in out.collect()}
