@@ -36,7 +36,9 @@ def by_size(df: DataFrame, size: str | None, plan: Callable[[DataFrame, bool], D
     """
     if size is None:
         return plan(df, True)
-    return plan(df.filter(F.col(size) <= hot_rows), False).unionByName(plan(df.filter(F.col(size) > hot_rows), True))
+    n = F.col(size)
+    ordinary = df.filter((n <= hot_rows) | n.isNull())
+    return plan(ordinary, False).unionByName(plan(df.filter(n > hot_rows), True))
 
 
 def group_stats(df: DataFrame, keys: Sequence[str], hot: bool, **stats: Column) -> DataFrame:

@@ -91,7 +91,7 @@ def calibration_bins(spark, sf_dir):
 
 @query("calibration_error", "A14",
        _S + """, b AS (SELECT (SELECT count(*) FROM range(1,15) t(i) WHERE p >= i/15) AS bin, p, win FROM s), g AS (SELECT bin, count(*) AS n, abs(avg(p)-avg(win)) AS d FROM b GROUP BY 1)
-SELECT round(sum(n*d) FILTER (WHERE n >= 2000) / sum(n),6) AS ece, count(*) FILTER (WHERE n >= 2000) AS bins_used FROM g""")
+SELECT round(coalesce(sum(n*d) FILTER (WHERE n >= 2000) / sum(n),0.0),6) AS ece, count(*) FILTER (WHERE n >= 2000) AS bins_used FROM g""")
 def calibration_error(spark, sf_dir):
     return round_doubles(evaluate.expected_calibration_error(scored(spark, sf_dir), "p", "win", min_rows=2000))
 

@@ -143,9 +143,9 @@ def streamed_latest(spark, sf_dir):
     path = source.inputFiles()[0].rsplit("/", 1)[0]
     run = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
     stream = observations.observation_stream(spark, path, source.schema)
-    q = observations.keep_latest(stream, ["user_id", "event_type"], "ts", ["value"], f"{run}/table", f"{run}/checkpoint", watermark="400 days")
+    q = observations.keep_latest(stream, ["user_id", "event_type"], "ts", ["value"], f"{run}/table", f"{run}/checkpoint", watermark="400 days", full_every=3)
     q.awaitTermination()
-    return observations.current_version(spark, f"{run}/table")
+    return observations.current_table(spark, f"{run}/table", ["user_id", "event_type"], "ts", ["value"])
 
 
 @query("observation_completeness", "R2", "WITH c AS (SELECT user_id, count(*) AS w FROM events GROUP BY 1), o AS (SELECT user_id, count(*) AS n FROM events WHERE value > 10 GROUP BY 1) SELECT user_id, w AS n_expected, coalesce(n,0) AS n_observed, round(coalesce(n,0)/w,6) AS rate, coalesce(n,0)*2 < w AS incomplete FROM c LEFT JOIN o USING (user_id)")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,15 +17,25 @@ def observation_stream(spark: SparkSession, path: str, schema: T.StructType, fil
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def _since_last_full(spark: SparkSession, table: str, before: int | None = None) -> DataFrame:
+    """Rows of the newest full batch and of all batches after it."""
+    rows = spark.read.parquet(table)
+    if before is not None:
+        rows = rows.filter(F.col("batch") < before)
+    newest = rows.agg(F.coalesce(F.max(F.when(F.col("full") == 1, F.col("batch"))), F.lit(-1))).scalar()
+    return rows.filter(F.col("batch") >= newest)
+
+
 def keep_latest(
     stream: DataFrame, keys: Sequence[str], at: str, fields: Sequence[str], table: str, checkpoint: str,
-    watermark: str = "1 day", cutoff: Column | None = None,
+    watermark: str = "1 day", cutoff: Column | None = None, full_every: int = 50,
 ):
     """Start a query that keeps the latest observation per key, and return it.
 
-    Repeated observations (same key and time) within the watermark are dropped.  Each
-    batch writes a new version of the table from the one before, so a batch that is
-    run again after a failure gives the same version.
+    Repeated observations (same key and time) within the watermark are dropped.  A batch
+    writes the latest row of the keys it saw; every ``full_every`` batches one holds all
+    keys.  A batch has its own folder, so running it again after a failure gives the
+    same table.
     """
     seen = stream.select(*keys, at, *fields)
     if cutoff is not None:
@@ -34,15 +43,12 @@ def keep_latest(
     seen = seen.withWatermark(at, watermark).dropDuplicatesWithinWatermark([*keys, at])
 
     def write(batch: DataFrame, epoch: int) -> None:
+        full = int((epoch + 1) % full_every == 0)
         rows = batch
-        if epoch > 0:
-            try:
-                before = batch.sparkSession.read.parquet(f"{table}/version={epoch - 1}")
-                rows = before.select(*batch.columns).unionByName(batch)
-            except AnalysisException as e:
-                if "PATH_NOT_FOUND" not in str(e):
-                    raise
-        latest(rows, keys, at, fields).write.mode("overwrite").parquet(f"{table}/version={epoch}")
+        if full and epoch > 0:
+            before = _since_last_full(batch.sparkSession, table, epoch)
+            rows = before.select(*batch.columns).unionByName(batch)
+        latest(rows, keys, at, fields).write.mode("overwrite").parquet(f"{table}/full={full}/batch={epoch}")
 
     return (
         seen.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
@@ -50,11 +56,9 @@ def keep_latest(
     )
 
 
-def current_version(spark: SparkSession, table: str) -> DataFrame:
-    """Newest version of a kept table; older versions are pruned as partitions."""
-    versions = spark.read.parquet(table)
-    newest = versions.agg(F.max("version")).scalar()
-    return versions.filter(F.col("version") == newest).drop("version")
+def current_table(spark: SparkSession, table: str, keys: Sequence[str], at: str, fields: Sequence[str]) -> DataFrame:
+    """Latest observation per key; batches before the newest full one are pruned as partitions."""
+    return latest(_since_last_full(spark, table), keys, at, fields)
 
 
 def completeness(observed: DataFrame, expected: DataFrame, key: str, want: str) -> DataFrame:

@@ -109,6 +109,12 @@ def test_ranks_do_not_depend_on_the_size_limit(spark):
             assert rows(a, "event", "entity", "k") == rows(b, "event", "entity", "k")
 
 
+def test_rows_of_unknown_group_size_are_kept(spark):
+    df = spark.createDataFrame([("E", 1, 1.0, None), ("E", 2, 3.0, None)], "event string, entity int, v double, n long")
+    assert rows(relative.zscores(df, ["v"], size="n"), "entity") == [(1,), (2,)]
+    assert rows(relative.normalize(df, "v", size="n"), "entity", "v") == [(1, 0.25), (2, 0.75)]
+
+
 def test_rank_pct_is_the_average_rank_over_known_values(spark):
     df = spark.createDataFrame([("E", 1, 1.0, 4), ("E", 2, 1.0, 4), ("E", 3, 5.0, 4), ("E", 4, None, 4)], "event string, entity int, v double, n long")
     for size in (None, "n"):
@@ -240,6 +246,16 @@ def test_feature_safety(spark):
 # --- scenarios and memos ------------------------------------------------------------------------------
 
 
+def test_one_key_with_most_rows(spark):
+    """A key with nearly all rows gives the same history as the same rows under many keys."""
+    data = [(d * 10 + i, "HOT", d, 1 + (d + i) % 5) for d in range(1, 30) for i in range(4)] + [(999, "COLD", 5, 1)]
+    df = spark.createDataFrame(data, "event int, entity string, day int, outcome int").repartition(5)
+    got = {r.event: r for r in history.career(df).filter("entity = 'HOT'").collect()}
+    for e, _, d, _ in data[:-1]:
+        past = [o for _, k, y, o in data if k == "HOT" and y < d]
+        assert (got[e].h_n_starts, got[e].h_n_wins) == (len(past), past.count(1))
+
+
 def test_scenario_sums(spark):
     e = spark.createDataFrame(
         [("R", i, 12, i % 8 + 1, s, 1 / 12, 0.4) for i, s in enumerate(["逃げ", "SENKO", None, "差し"] * 3)],
