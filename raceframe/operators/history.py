@@ -317,13 +317,36 @@ def weight_form(df: DataFrame, change: str, prefix: str = "h_") -> DataFrame:
     )
 
 
+def overall_and_recent(df: DataFrame, keys: Sequence[str], prefix: str, days: int, source: DataFrame | None = None) -> DataFrame:
+    """Date-strict starts, wins and rates over all days before and over the last ``days``, from one set of daily totals."""
+    base = df if source is None else source
+    keys = list(keys)
+    measures = result_measures(base, ["n", "wins", "in3"])
+    daily = base.groupBy(*keys, "day").agg(*[_AGG[fn](c).alias(n) for n, (fn, c) in measures.items()])
+    ordered = Window.partitionBy(*keys).orderBy("day")
+    spans = {"": ordered.rangeBetween(Window.unboundedPreceding, -1), f"recent{days}d_": ordered.rangeBetween(-days, -1)}
+    sums = [
+        F.coalesce(F.sum(m).over(w), F.lit(0).cast("long")).alias(f"__{span}{m}") for span, w in spans.items() for m in measures
+    ]
+    t = daily.select(*keys, "day", *sums)
+    out, counts = [], []
+    for span in spans:
+        n = f"__{span}n"
+        out += [
+            F.col(n).alias(f"{prefix}{span}n_starts"), ratio(f"__{span}wins", n).alias(f"{prefix}{span}win_rate"),
+            ratio(f"__{span}in3", n).alias(f"{prefix}{span}in3_rate"),
+        ]
+        counts.append(f"{prefix}{span}n_starts")
+    out.append(F.col("__wins").alias(f"{prefix}n_wins"))
+    return _attach(df, t.select(*keys, "day", *out), keys, [*counts, f"{prefix}n_wins"])
+
+
 def actor_block(df: DataFrame, key: str, prefix: str, pair: str, pair_prefix: str, days: int = 30) -> DataFrame:
-    """Record of an actor or owner: overall, by condition, over the last days, and as a pair."""
+    """Record of an actor or owner: overall, over the last days, by condition, and as a pair."""
     rates = ("win_rate", "in3_rate")
-    out = conditional(df, None, [key], prefix, stats=("n_wins", *rates), source=df)
+    out = overall_and_recent(df, [key], prefix, days, source=df)
     for condition, suffix in (("dist_cat", "_dist"), ("surface", "_surface"), ("place", "_course")):
         out = conditional(out, condition, [key], prefix, suffix, rates, source=df)
-    out = conditional(out, None, [key], f"{prefix}recent{days}d_", stats=rates, days=days, source=df)
     return conditional(out, None, [key, pair], pair_prefix, stats=rates, source=df)
 
 

@@ -91,7 +91,7 @@ _cond_cols += [
     + ", ".join(_cond_cols) + " FROM e a LEFT JOIN e b ON a.entity = b.entity AND b.day < a.day GROUP BY a.event, a.entity",
 )
 def conditional_asof(spark, sf_dir):
-    df = with_dist(entries(spark, sf_dir))
+    df = with_dist(entries(spark, sf_dir)).select(*KEY, "day", "outcome", "last3f", "dist_cat", "surface", "going", "place")
     out = H.condition_block(df)
     counts = [f"h_n_starts{s}" for s in ("_dist", "_surface", "_track", "_course")]
     rates = [f"h_{k}{s}" for s in ("_dist", "_surface", "_track", "_course") for k in ("win_rate", "in3_rate")]
@@ -180,7 +180,7 @@ def _actor_sql(key, prefix, pair, pair_prefix):
 
 
 def _actor(spark, sf_dir, key, prefix, pair, pair_prefix):
-    df = with_dist(entries(spark, sf_dir))
+    df = with_dist(entries(spark, sf_dir)).select(*KEY, "actor", "owner", "day", "outcome", "dist_cat", "surface", "place")
     out = H.actor_block(df, key, prefix, pair, pair_prefix)
     new = [c for c in out.columns if c not in df.columns]
     counts = [c for c in new if "n_starts" in c or "n_wins" in c]
