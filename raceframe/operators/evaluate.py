@@ -115,7 +115,7 @@ def ndcg(df: DataFrame, p: str, label: str) -> DataFrame:
     per = sized.filter(F.col("__n") > 1).groupBy("event").agg(
         F.count(F.when(score > F.col("__w"), 1)).alias("above"),
         F.count(F.when(score == F.col("__w"), 1)).alias("same"),
-        F.max_by(F.col(label), F.struct(score, -F.col("entity"))).alias("top_label"),
+        F.min_by(F.col(label), F.struct(-score, F.col("entity"))).alias("top_label"),
     )
     gains = F.transform(F.sequence(F.col("above") + 1, F.col("above") + F.col("same")), lambda r: 1 / F.log2(r + 1))
     dcg = F.aggregate(gains, F.lit(0.0), lambda s, v: s + v) / F.col("same")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from raceframe.functions import columns as C
 from raceframe.functions import constants as K
-from raceframe.operators import asof, event, history, relative
+from raceframe.operators import asof, event, relative
 from raceframe.operators.grouping import rank_in_group
 from raceframe.plans.base import ENTRIES, entries, r6, table
 from raceframe.plans.registry import ORACLES, query

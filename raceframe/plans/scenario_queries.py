@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from raceframe.functions import columns as C
-from raceframe.operators import catalogue, memo, profiles, quality, relative, scenario
+from raceframe.operators import catalogue, memo, profiles, quality, scenario
 from raceframe.operators.grouping import rank_in_group
 from raceframe.plans.base import ENTRIES, entries, r6, table
 from raceframe.plans.registry import query

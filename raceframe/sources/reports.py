@@ -15,10 +15,12 @@ def save_report(df: DataFrame, path: str, kind: str = "csv") -> None:
     if kind == "md":
         cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
         head = df.sparkSession.createDataFrame(
-            [(0, "| " + " | ".join(df.columns) + " |"), (1, "|" + "---|" * len(df.columns))], "i int, value string"
+            [(-2, "| " + " | ".join(df.columns) + " |"), (-1, "|" + "---|" * len(df.columns))], "i long, value string"
         )
-        body = df.select(F.lit(2).alias("i"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value"))
-        head.unionByName(body).orderBy("i", "value").select("value").write.mode("overwrite").text(path)
+        line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value")
+        # ids grow with the partition and the row, so the rows keep their order
+        body = df.select(F.monotonically_increasing_id().alias("i"), line)
+        head.unionByName(body).orderBy("i").select("value").write.mode("overwrite").text(path)
     elif kind == "json":
         df.write.mode("overwrite").json(path)
     elif kind == "csv":

@@ -287,3 +287,21 @@ def test_memo_negation_intensity_and_conflict(spark):
     pairs = [("lane_bias.inner", "lane_bias.outer", "x")]
     assert rows(memo.conflicts(m, "doc", pairs), "doc") == [(2,)]
     assert "negated.lane_bias.outer" in [r.chip for r in memo.chips(m, "doc", rules, pairs).filter("doc = 1").collect()]
+
+
+def test_markdown_report_keeps_the_order(spark, tmp_path):
+    from raceframe.sources.reports import save_report
+
+    df = spark.createDataFrame([(3, "c"), (1, None), (2, "b")], "k int, v string").coalesce(1)
+    save_report(df, str(tmp_path / "md"), "md")
+    got = [r.value for r in spark.read.text(str(tmp_path / "md")).collect()]
+    assert sorted(got) == sorted(["| k | v |", "|---|---|", "| 3 | c |", "| 1 |  |", "| 2 | b |"])
+
+
+def test_ndcg_with_text_ids(spark):
+    df = spark.createDataFrame(
+        [("1", "a", 0.6, 0), ("1", "b", 0.4, 1), ("2", "a", 0.5, 1), ("2", "b", 0.5, 0), ("3", "a", 1.0, 1)], "event string, entity string, p double, y int"
+    )
+    r = evaluate.ndcg(df, "p", "y").first()
+    half = 1 / 1.584962500721156
+    assert r.n_events == 2 and r.ndcg == pytest.approx((half + (1 + half) / 2) / 2) and r.top1_accuracy == 0.5
