@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raceframe.llm import mixing, url_filter, warc
+from raceframe.llm import decontaminate, mixing, simhash, url_filter, warc
 from raceframe.llm.common import prepare, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op4_decontaminate", r"""
+WITH i AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark
+), s AS (
+  SELECT DISTINCT item_id, least(5, len(w)) AS width, array_to_string(w[k:k + least(5, len(w)) - 1], ' ') AS shingle
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS k FROM i WHERE len(w) > 0)
+), n AS (
+  SELECT item_id, count(*) AS size FROM s GROUP BY item_id
+), d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), t AS (
+  SELECT DISTINCT doc_id, width, array_to_string(w[k:k + width - 1], ' ') AS shingle
+  FROM (SELECT doc_id, w, width, unnest(range(1, len(w) - width + 2)) AS k FROM d, (SELECT DISTINCT width FROM s) WHERE len(w) >= width)
+)
+SELECT doc_id, item_id, count(*) AS shared, size, count(*) / size AS containment
+FROM t JOIN s USING (width, shingle) JOIN n USING (item_id) GROUP BY doc_id, item_id, size HAVING count(*) >= size * 0.8 - 1e-9
+""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items of which a document holds 80 % or more."""
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_simhash")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and class of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op5_warc_zstd", """
 WITH p AS (
   SELECT page_id, encode(coalesce(html, '')) AS body FROM pages
@@ -68,7 +96,7 @@ RULES = [
     url_filter.Rule("allow", "org"), url_filter.Rule("block", "example.org", "/es/"), url_filter.Rule("block", "example.org", "/en/1"),
     url_filter.Rule("allow", "com", "/fr/"), url_filter.Rule("block", "com", "/de/"),
 ]
-LISTED_HOSTS = "casino|poker|lottery|adult"
+LISTED_HOSTS = "casino|spam|poker|adult"
 
 
 @query("op6_url_filter", r"""
@@ -94,7 +122,7 @@ WITH p AS (
 )
 SELECT page_id, host, path, rule, CASE
   WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-  WHEN key <> '' AND key IN (SELECT key FROM k WHERE regexp_matches(host, 'casino|poker|lottery|adult')) THEN 'block' ELSE 'allow' END AS verdict
+  WHEN key <> '' AND key IN (SELECT key FROM k WHERE regexp_matches(host, 'casino|spam|poker|adult')) THEN 'block' ELSE 'allow' END AS verdict
 FROM r
 """)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
