@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raceframe.llm import decontaminate, mixing, simhash, topk, url_filter, warc
+from raceframe.llm import decontaminate, language, mixing, pii, simhash, topk, url_filter, warc
 from raceframe.llm.common import prepare, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_pii")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts and digest of the pattern spans, and all spans."""
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    spelled = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+    base = F.filter("spans", lambda s: s.base)
+    counts = [F.size(F.filter(base.kind, lambda k: k == kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS[:4]]  # noqa: B023
+    return found.select("doc_id", *counts, F.sha2(spelled(base).cast("binary"), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"))
+
+
 @query("op2_topk", """
 WITH v AS (
   SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS c FROM embeddings
@@ -147,6 +157,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages, RULES, listed).drop("url")
 
 
+@query("op8_language_crf")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    return language.identify(table(spark, sf_dir, "documents")).drop("shares")
+
+
 @query("op9_source_mix", r"""
 WITH s AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,

@@ -55,7 +55,7 @@ def histogram(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
     for part, _, score, same in _scored(queries, candidates):
         low, width, span, need = (part[c].to_numpy()[:, None] for c in ("low", "width", "span", "need"))
         bins = (score - low) // width
-        bins[same | (score < low) | (bins * width >= span)] = -1
+        bins[same | (score < low) | (score - low >= span)] = -1
         row, column = np.nonzero(bins >= 0)
         count = np.bincount(row * BINS + bins[row, column], minlength=len(part) * BINS).reshape(len(part), BINS)
         above = np.cumsum(count[:, ::-1], axis=1)[:, ::-1] - count
