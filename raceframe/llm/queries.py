@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raceframe.llm import decontaminate, language, mixing, pii, simhash, topk, url_filter, warc
+from raceframe.llm import decontaminate, language, lines, mixing, pii, simhash, topk, url_filter, warc
 from raceframe.llm.common import prepare, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,35 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+@query("op3_line_dedup", """
+WITH l AS (
+  SELECT doc_id, no - 1 AS no, trim(replace(x, chr(13), ''), ' ') AS line FROM (
+    SELECT doc_id, unnest(parts) AS x, generate_subscripts(parts, 1) AS no FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))
+), f AS (
+  SELECT line, length(line) AS n, min(ROW(doc_id, no)) AS first FROM l WHERE length(line) >= 24 GROUP BY line
+), k AS (
+  SELECT line, n, first, i, n // 3 * i + greatest(n % 3 - (3 - i), 0) + 1 AS pos, n // 3 + CASE WHEN n % 3 >= 3 - i THEN 1 ELSE 0 END AS size
+  FROM f, (SELECT unnest([0, 1, 2]) AS i)
+), g AS (
+  SELECT line, n, first, n AS own, i, substr(line, pos, size) AS piece FROM k
+), p AS (
+  SELECT f.line, f.n, f.first, k.n AS own, k.i, substr(f.line, k.pos + s, k.size) AS piece
+  FROM f JOIN (SELECT DISTINCT n, i, pos, size FROM k) k ON f.n - k.n BETWEEN 0 AND 2, (SELECT unnest([-2, -1, 0, 1, 2]) AS s) WHERE k.pos + s >= 1
+), near AS (
+  SELECT DISTINCT g.line AS a, p.line AS b, g.first AS fa, p.first AS fb FROM g JOIN p USING (own, i, piece) WHERE g.line <> p.line
+), late AS (
+  SELECT DISTINCT CASE WHEN fa < fb THEN b ELSE a END AS line FROM near WHERE levenshtein(a, b) <= 2
+), gone AS (
+  SELECT doc_id, no FROM l JOIN f USING (line) WHERE ROW(doc_id, no) <> first OR line IN (SELECT line FROM late)
+)
+SELECT doc_id, coalesce(count(no), 0) AS n_removed, coalesce(string_agg(CAST(no AS VARCHAR), ',' ORDER BY no), '') AS removed
+FROM documents LEFT JOIN gone USING (doc_id) GROUP BY doc_id
+""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that go from every document, as repeats or near repeats of an earlier line."""
+    return lines.removed_lines(table(spark, sf_dir, "documents"))
+
+
 @query("op4_decontaminate", r"""
 WITH i AS (
   SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark
