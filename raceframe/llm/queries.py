@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raceframe.llm import decontaminate, language, lines, mixing, pii, simhash, topk, url_filter, warc
+from raceframe.llm import decontaminate, language, lines, mixing, pii, simhash, topk, url_filter, warc, windows
 from raceframe.llm.common import prepare, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -186,6 +186,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages, RULES, listed).drop("url")
 
 
+@query("op7_suffix_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every text when 50-byte repeats of earlier documents go."""
+    return windows.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
 @query("op8_language_crf")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
