@@ -20,15 +20,26 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def lines_of(docs: DataFrame, id: str, text: str, min_chars: int) -> DataFrame:
-    """(id, no, line, n): the trimmed lines of at least ``min_chars`` characters; ``no`` starts at 0."""
+def lines_of(docs: DataFrame, id: str, text: str, min_bytes: int) -> DataFrame:
+    """(id, no, line, wide, n): lines of at least ``min_bytes`` bytes, without the spaces and
+    carriage returns around them; ``no`` starts at 0, ``wide`` are the line's ``n`` bytes."""
     found = docs.select(F.col(id).alias("id"), F.posexplode(F.split(F.col(text).cast("string"), "\n")).alias("no", "line"))
-    found = found.select("id", "no", F.trim(F.regexp_replace("line", "\r", "")).alias("line"))
-    return found.withColumn("n", F.char_length("line")).filter(F.col("n") >= min_chars)
+    found = found.select("id", "no", F.btrim("line", F.lit(" \r")).alias("line")).withColumn("n", F.octet_length("line"))
+    return found.filter(F.col("n") >= min_bytes).withColumn("wide", F.col("line").cast("binary"))
+
+
+def part(wide: Column, start: Column | int, size: Column) -> Column:
+    """``size`` bytes from ``start``, counted from 1."""
+    return F.substring(wide, start if isinstance(start, Column) else F.lit(start), size)
+
+
+def spelled(wide: Column) -> Column:
+    """A string with one character per byte."""
+    return F.decode(wide, "ISO-8859-1")
 
 
 def _segments(n: Column, parts: int) -> list[tuple[Column, Column]]:
-    """Start (from 1) and length of each of ``parts`` even segments of ``n`` characters; the last are longer."""
+    """Start (from 1) and length of each of ``parts`` even segments of ``n`` bytes; the last are longer."""
     base, rest = F.floor(n / parts).cast("int"), (n % parts).cast("int")
     out = []
     for i in range(parts):
@@ -37,17 +48,18 @@ def _segments(n: Column, parts: int) -> list[tuple[Column, Column]]:
     return out
 
 
-def _key(i: int, length: Column, line: Column, start: Column, size: Column) -> Column:
-    return F.xxhash64(F.lit(i), length, F.substring(line, start, size))
+def _probe(i: int, length: Column, wide: Column, start: Column, size: Column) -> Column:
+    key = F.xxhash64(F.lit(i), length, part(wide, start, size))
+    return F.struct(key.alias("key"), start.cast("int").alias("start"), size.cast("int").alias("size"))
 
 
-def index_keys(line: Column, n: Column, edits: int) -> list[Column]:
-    """Keys of the ``edits + 1`` segments of a line: segment number, line length, segment."""
-    return [_key(i, n, line, start, size) for i, (start, size) in enumerate(_segments(n, edits + 1))]
+def index_keys(wide: Column, n: Column, edits: int) -> list[Column]:
+    """The ``edits + 1`` segments of a line: key (segment number, line length, segment) and place."""
+    return [_probe(i, n, wide, start, size) for i, (start, size) in enumerate(_segments(n, edits + 1))]
 
 
-def probe_keys(line: Column, n: Column, edits: int, *, exact: bool) -> list[Column]:
-    """Keys of the substrings that can equal a segment of a line up to ``edits`` shorter.
+def probe_keys(wide: Column, n: Column, edits: int, *, exact: bool) -> list[Column]:
+    """The substrings that can equal a segment of a line up to ``edits`` shorter.
 
     For segment i of a line shorter by d, a substring may start up to i places off on the
     left side and up to ``edits - i`` off, shifted by d, on the right: the edits before the
@@ -61,19 +73,18 @@ def probe_keys(line: Column, n: Column, edits: int, *, exact: bool) -> list[Colu
             low, high = max(-i, d - (edits - i)), min(i, d + (edits - i))
             for shift in range(low, high + 1):
                 if d or shift or not exact:
-                    key = _key(i, length, line, start + shift, size)
-                    out.append(F.when((start + shift >= 1) & (start + shift + size - 1 <= n), key))
+                    fits = (start + shift >= 1) & (start + shift + size - 1 <= n)
+                    out.append(F.when(fits, _probe(i, length, wide, start + shift, size)))
     return out
 
 
-def signature(line: Column) -> list[Column]:
-    """Counts of letters modulo 16, packed: an edit changes at most two counts by one."""
-    low = F.lower(line)
+def signature(text: Column) -> list[Column]:
+    """Counts of single characters modulo 16, packed: an edit changes at most two counts by one."""
     out = []
     for letters in COUNTED:
         total = F.lit(0).cast("long")
         for k, c in enumerate(letters):
-            count = F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))
+            count = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c), F.lit("")))
             total = total.bitwiseOR(F.shiftleft((count % 16).cast("long"), 4 * k))
         out.append(total)
     return out
@@ -88,6 +99,31 @@ def count_distance(a: Column, b: Column) -> Column:
     return total
 
 
+def _sided(rows: DataFrame, name: str, keys: list[Column]) -> DataFrame:
+    """A row per key with the signatures of what lies left and right of the matched part."""
+    rows = rows.select(F.col("h").alias(name), F.col("n").alias(f"n{name}"), "wide", F.explode(F.array(*keys)).alias("k")).filter("k is not null")
+    after = F.col("k.start") + F.col("k.size")
+    rows = rows.select(
+        name, f"n{name}", F.col("k.key").alias("key"), spelled(part(F.col("wide"), 1, F.col("k.start") - 1)).alias("left"),
+        spelled(part(F.col("wide"), after, F.col(f"n{name}") + 1 - after)).alias("right"),
+    )
+    marks = [*signature(F.col("left")), *signature(F.col("right"))]
+    return rows.select(name, f"n{name}", "key", *[m.alias(f"{name}{k}") for k, m in enumerate(marks)])
+
+
+def common(a: Column, b: Column, size_a: Column, size_b: Column, *, end: bool) -> Column:
+    """Bytes that two strings share at the start, or at the end."""
+    least = F.least(size_a, size_b)
+
+    def longer(p: Column, k: Column) -> Column:
+        at = lambda size: (size - p - k + 1) if end else (p + 1)
+        same = (p + k <= least) & (part(a, at(size_a), k) == part(b, at(size_b), k))
+        return F.when(same, p + k).otherwise(p)
+
+    steps = F.array(*[F.lit(1 << k) for k in range(26, -1, -1)])
+    return F.aggregate(steps, F.lit(0), longer)
+
+
 def edit_distance(a: Column, b: Column, edits: int) -> Column:
     """Edit distance of two strings if it is at most ``edits``, else ``edits + 1``.
 
@@ -145,39 +181,46 @@ def near_links(lines: DataFrame, edits: int) -> DataFrame:
 
     First only (key, line) pairs are counted: a key that two different lines share is
     kept, and lines without such a key are done.  The lines left are indexed by their
-    segments and probed by substrings; letter counts cut the matches in the join, and the
-    bit-parallel distance verifies what is left.
+    segments and probed by substrings.  In the join, letter counts left and right of the
+    matched part cut the pairs: the edits change few of them.  What is left is freed of its
+    common start and end and verified by the bit-parallel distance.
     """
-    own = F.array(*index_keys(F.col("line"), F.col("n"), edits), *probe_keys(F.col("line"), F.col("n"), edits, exact=True))
+    wide, n = F.col("wide"), F.col("n")
+    own = F.array(*[F.when(k.isNotNull(), k.getField("key")) for k in [*index_keys(wide, n, edits), *probe_keys(wide, n, edits, exact=True)]])
     keyed = lines.select("h", F.explode(own).alias("key")).filter("key is not null")
     shared = written(keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low < high").select("key"), "keys")
     small = F.broadcast(shared) if shared.count() <= BROADCAST_KEYS else shared
-    left = lines.select("h", "line", "n", F.explode(own).alias("key")).join(small, "key", "left_semi")
-    left = written(left.groupBy("h", "line").agg(F.first("n").alias("n")), "left")
-    marks = [c.alias(f"s{k}") for k, c in enumerate(signature(F.col("line")))]
-    held = left.select(F.col("h").alias("a"), F.col("n").alias("na"), *[c.alias(f"a{k}") for k, c in enumerate(signature(F.col("line")))], F.explode(F.array(*index_keys(F.col("line"), F.col("n"), edits))).alias("key"))
-    asked = left.select(F.col("h").alias("b"), F.col("n").alias("nb"), *marks, F.explode(F.array(*probe_keys(F.col("line"), F.col("n"), edits, exact=False))).alias("key"))
-    close = sum((count_distance(F.col(f"a{k}"), F.col(f"s{k}")) for k in range(len(COUNTED))), F.lit(0).cast("long")) <= 2 * edits
+    left = lines.select("h", "line", F.explode(own).alias("key")).join(small, "key", "left_semi").select("h", "line").distinct()
+    left = written(left.select("h", F.col("line").cast("binary").alias("wide"), F.octet_length("line").alias("n")), "left")
+    held = _sided(left, "a", index_keys(wide, n, edits))
+    asked = _sided(left, "b", probe_keys(wide, n, edits, exact=False))
+    close = sum((count_distance(F.col(f"a{k}"), F.col(f"b{k}")) for k in range(2 * len(COUNTED))), F.lit(0).cast("long")) <= 2 * edits
     different = (F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("a") < F.col("b")))
-    pairs = held.join(asked, "key").filter(different & close).select("a", "b").distinct()
-    texts = left.select("h", "line")
-    full = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("line_b")), "b")
+    pairs = written(held.join(asked, "key").filter(different & close).select("a", "b").distinct(), "pairs")
+    of = lambda c: left.select(F.col("h").alias(c), F.col("wide").alias(f"w{c}"), F.col("n").alias(f"n{c}"))
+    full = pairs.join(of("a"), "a").join(of("b"), "b")
+    full = full.withColumn("start", common(F.col("wa"), F.col("wb"), F.col("na"), F.col("nb"), end=False))
+    rest = lambda c: F.col(f"n{c}") - F.col("start")
+    full = full.select("a", "b", *[part(F.col(f"w{c}"), F.col("start") + 1, rest(c)).alias(f"w{c}") for c in "ab"], *[rest(c).alias(f"n{c}") for c in "ab"])
+    full = full.withColumn("end", common(F.col("wa"), F.col("wb"), F.col("na"), F.col("nb"), end=True))
+    middle = lambda c: spelled(part(F.col(f"w{c}"), 1, F.col(f"n{c}") - F.col("end")))
+    full = full.select("a", "b", middle("a").alias("ma"), middle("b").alias("mb"))
     # b is the line that is not shorter.
-    return full.filter(edit_distance(F.col("line_b"), F.col("line_a"), edits) <= edits).select("a", "b").distinct()
+    return full.filter(edit_distance(F.col("mb"), F.col("ma"), edits) <= edits).select("a", "b").distinct()
 
 
-def duplicate_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", edits: int = 2, min_chars: int = 24) -> DataFrame:
+def duplicate_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", edits: int = 2, min_bytes: int = 24) -> DataFrame:
     """(id, no): the lines to remove.
 
-    Lines are split at newlines and trimmed; those of at least ``min_chars`` characters
+    Lines are split at newlines and freed of spaces and carriage returns around them; those of at least ``min_bytes`` bytes
     take part.  Of equal lines the first is kept, by (id, line number); it goes as well if a
-    different line within ``edits`` edits occurs earlier.  Null ids come first; null and
+    different line within ``edits`` edits (inserted, deleted or replaced bytes) occurs earlier.  Null ids come first; null and
     empty texts have no lines.
     """
     prepare(docs.sparkSession)
-    lines = lines_of(docs, id, text, min_chars).withColumn("h", F.xxhash64("line"))
+    lines = lines_of(docs, id, text, min_bytes).withColumn("h", F.xxhash64("line"))
     links = written(near_links(lines, edits), "links")
-    spots = written(lines.select("id", "no", "h", F.xxhash64(F.lit(1), "line").alias("h2")), "spots")
+    spots = written(lines.drop("wide").select("id", "no", "h", F.xxhash64(F.lit(1), "line").alias("h2")), "spots")
     firsts = spots.groupBy("h", "h2").agg(F.min(F.struct("id", "no")).alias("first"), F.count(F.lit(1)).alias("copies"))
     linked = links.select(F.col("a").alias("h")).union(links.select(F.col("b").alias("h"))).distinct().withColumn("linked", F.lit(True))
     told = written(firsts.join(linked, "h", "left").filter("copies > 1 or linked").select("h", "h2", "first", "linked"), "told")

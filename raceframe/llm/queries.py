@@ -59,10 +59,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_line_dedup", """
 WITH l AS (
-  SELECT doc_id, no - 1 AS no, trim(replace(x, chr(13), ''), ' ') AS line FROM (
+  SELECT doc_id, no - 1 AS no, trim(x, ' ' || chr(13)) AS line FROM (
     SELECT doc_id, unnest(parts) AS x, generate_subscripts(parts, 1) AS no FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))
 ), f AS (
-  SELECT line, length(line) AS n, min(ROW(doc_id, no)) AS first FROM l WHERE length(line) >= 24 GROUP BY line
+  SELECT line, length(line) AS n, min(ROW(doc_id, no)) AS first FROM l WHERE strlen(line) >= 24 GROUP BY line
 ), k AS (
   SELECT line, n, first, i, n // 3 * i + greatest(n % 3 - (3 - i), 0) + 1 AS pos, n // 3 + CASE WHEN n % 3 >= 3 - i THEN 1 ELSE 0 END AS size
   FROM f, (SELECT unnest([0, 1, 2]) AS i)
