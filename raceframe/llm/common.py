@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 SETTINGS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+    # Generated methods above this many bytes are not compiled by the JVM; without this limit
+    # long expressions would run in its interpreter.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",

@@ -38,46 +38,55 @@ def spelled(wide: Column) -> Column:
     return F.decode(wide, "ISO-8859-1")
 
 
-def _segments(n: Column, parts: int) -> list[tuple[Column, Column]]:
-    """Start (from 1) and length of each of ``parts`` even segments of ``n`` bytes; the last are longer."""
-    base, rest = F.floor(n / parts).cast("int"), (n % parts).cast("int")
+Place = tuple[int, Column, Column, Column]
+
+
+def segments(base: Column, rest: Column, parts: int) -> list[tuple[Column, Column]]:
+    """Start (from 1) and length of ``parts`` even segments, given the length divided by
+    ``parts`` and the remainder; the last segments are one longer."""
     out = []
     for i in range(parts):
-        longer = F.greatest(rest - (parts - i), F.lit(0))  # longer segments before this one
-        out.append((base * i + longer + 1, base + (rest >= parts - i).cast("int")))
+        start = base * i + 1 if i else F.lit(1)
+        if i > 1:
+            start = start + F.greatest(rest - (parts - i), F.lit(0))
+        out.append((start, base + (rest >= parts - i).cast("int") if i else base))
     return out
 
 
-def _probe(i: int, length: Column, wide: Column, start: Column, size: Column) -> Column:
-    key = F.xxhash64(F.lit(i), length, part(wide, start, size))
-    return F.struct(key.alias("key"), start.cast("int").alias("start"), size.cast("int").alias("size"))
+def divided(lines: DataFrame, edits: int) -> DataFrame:
+    """Add the segment length and remainder for a line's own length and each shorter one."""
+    parts = edits + 1
+    return lines.select("*", *[F.expr(f"cast((n - {d}) div {parts} as int)").alias(f"base{d}") for d in range(parts)], *[((F.col("n") - d) % parts).alias(f"rest{d}") for d in range(parts)])
 
 
-def index_keys(wide: Column, n: Column, edits: int) -> list[Column]:
-    """The ``edits + 1`` segments of a line: key (segment number, line length, segment) and place."""
-    return [_probe(i, n, wide, start, size) for i, (start, size) in enumerate(_segments(n, edits + 1))]
+def index_places(edits: int) -> list[Place]:
+    """(segment, line length, start, size) of the ``edits + 1`` segments of a line."""
+    return [(i, F.col("n"), start, size) for i, (start, size) in enumerate(segments(F.col("base0"), F.col("rest0"), edits + 1))]
 
 
-def probe_keys(wide: Column, n: Column, edits: int, *, exact: bool) -> list[Column]:
+def probe_places(edits: int, *, exact: bool) -> list[Place]:
     """The substrings that can equal a segment of a line up to ``edits`` shorter.
 
     For segment i of a line shorter by d, a substring may start up to i places off on the
     left side and up to ``edits - i`` off, shifted by d, on the right: the edits before the
     first segment that matches and those after it have to add up.  ``exact`` leaves out the
-    unshifted substrings for equal lengths, which are the line's own index keys.
+    unshifted substrings for equal lengths, which are the line's own index places.  A place
+    beyond the line's ends gives a shorter substring, which equals no segment.
     """
     out = []
     for d in range(edits + 1):
-        length = (n - d).cast("int")
-        for i, (start, size) in enumerate(_segments(length, edits + 1)):
-            low, high = max(-i, d - (edits - i)), min(i, d + (edits - i))
-            for shift in range(low, high + 1):
+        for i, (start, size) in enumerate(segments(F.col(f"base{d}"), F.col(f"rest{d}"), edits + 1)):
+            for shift in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1):
                 if d or shift or not exact:
-                    fits = (start + shift >= 1) & (start + shift + size - 1 <= n)
-                    out.append(F.when(fits, _probe(i, length, wide, start + shift, size)))
+                    out.append((i, F.col("n") - d, start + shift if shift else start, size))
     return out
 
 
+def keys(places: list[Place]) -> Column:
+    """Hashes of segment number, line length and bytes at every place."""
+    return F.array(*[F.xxhash64(F.lit(i), length, part(F.col("wide"), start, size)) for i, length, start, size in places])
+
+
 def signature(text: Column) -> list[Column]:
     """Counts of single characters modulo 16, packed: an edit changes at most two counts by one."""
     out = []
@@ -99,18 +108,6 @@ def count_distance(a: Column, b: Column) -> Column:
     return total
 
 
-def _sided(rows: DataFrame, name: str, keys: list[Column]) -> DataFrame:
-    """A row per key with the signatures of what lies left and right of the matched part."""
-    rows = rows.select(F.col("h").alias(name), F.col("n").alias(f"n{name}"), "wide", F.explode(F.array(*keys)).alias("k")).filter("k is not null")
-    after = F.col("k.start") + F.col("k.size")
-    rows = rows.select(
-        name, f"n{name}", F.col("k.key").alias("key"), spelled(part(F.col("wide"), 1, F.col("k.start") - 1)).alias("left"),
-        spelled(part(F.col("wide"), after, F.col(f"n{name}") + 1 - after)).alias("right"),
-    )
-    marks = [*signature(F.col("left")), *signature(F.col("right"))]
-    return rows.select(name, f"n{name}", "key", *[m.alias(f"{name}{k}") for k, m in enumerate(marks)])
-
-
 def common(a: Column, b: Column, size_a: Column, size_b: Column, *, end: bool) -> Column:
     """Bytes that two strings share at the start, or at the end."""
     least = F.least(size_a, size_b)
@@ -176,25 +173,41 @@ def edit_distance(a: Column, b: Column, edits: int) -> Column:
     return F.least(run(F.split(F.concat(lead, a), ""), F.split(F.concat(lead, b), "")), long(edits + 1))
 
 
+def shares_piece(a: Column, b: Column, n: Column, edits: int) -> Column:
+    """Whether one of the ``edits + 1`` pieces of ``a`` (``n`` bytes) is in ``b`` at most ``edits`` places off.
+
+    Holds for any two strings within ``edits`` edits.
+    """
+    base, rest = F.floor(n / (edits + 1)).cast("int"), n % (edits + 1)
+    found = F.lit(False)
+    for start, size in segments(base, rest, edits + 1):
+        for shift in range(-edits, edits + 1):
+            at = start + shift
+            found = found | ((at >= 1) & (part(a, start, size) == part(b, F.greatest(at, F.lit(1)), size)))
+    return found
+
+
 def near_links(lines: DataFrame, edits: int) -> DataFrame:
     """(a, b): hashes of different lines within ``edits`` edits of each other, once per pair.
 
     First only (key, line) pairs are counted: a key that two different lines share is
     kept, and lines without such a key are done.  The lines left are indexed by their
-    segments and probed by substrings.  In the join, letter counts left and right of the
-    matched part cut the pairs: the edits change few of them.  What is left is freed of its
-    common start and end and verified by the bit-parallel distance.
+    segments and probed by substrings; letter counts cut the pairs in the join.  Pairs are
+    freed of their common start and end, whose middles have to share a piece again, and
+    what is left is verified by the bit-parallel distance.
     """
-    wide, n = F.col("wide"), F.col("n")
-    own = F.array(*[F.when(k.isNotNull(), k.getField("key")) for k in [*index_keys(wide, n, edits), *probe_keys(wide, n, edits, exact=True)]])
-    keyed = lines.select("h", F.explode(own).alias("key")).filter("key is not null")
+    every = [*index_places(edits), *probe_places(edits, exact=True)]
+    placed = divided(lines, edits)
+    keyed = placed.select("h", F.explode(keys(every)).alias("key"))
     shared = written(keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low < high").select("key"), "keys")
     small = F.broadcast(shared) if shared.count() <= BROADCAST_KEYS else shared
-    left = lines.select("h", "line", F.explode(own).alias("key")).join(small, "key", "left_semi").select("h", "line").distinct()
-    left = written(left.select("h", F.col("line").cast("binary").alias("wide"), F.octet_length("line").alias("n")), "left")
-    held = _sided(left, "a", index_keys(wide, n, edits))
-    asked = _sided(left, "b", probe_keys(wide, n, edits, exact=False))
-    close = sum((count_distance(F.col(f"a{k}"), F.col(f"b{k}")) for k in range(2 * len(COUNTED))), F.lit(0).cast("long")) <= 2 * edits
+    left = placed.select("h", "line", F.explode(keys(every)).alias("key")).join(small, "key", "left_semi").select("h", "line").distinct()
+    left = left.select("h", F.col("line").cast("binary").alias("wide"), F.octet_length("line").alias("n"), *[c.alias(f"s{k}") for k, c in enumerate(signature(F.col("line")))])
+    left = written(left, "left")
+    marked = lambda c: [F.col("h").alias(c), F.col("n").alias(f"n{c}"), *[F.col(f"s{k}").alias(f"{c}{k}") for k in range(len(COUNTED))]]
+    held = divided(left, edits).select(*marked("a"), F.explode(keys(index_places(edits))).alias("key"))
+    asked = divided(left, edits).select(*marked("b"), F.explode(keys(probe_places(edits, exact=False))).alias("key"))
+    close = sum((count_distance(F.col(f"a{k}"), F.col(f"b{k}")) for k in range(len(COUNTED))), F.lit(0).cast("long")) <= 2 * edits
     different = (F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("a") < F.col("b")))
     pairs = written(held.join(asked, "key").filter(different & close).select("a", "b").distinct(), "pairs")
     of = lambda c: left.select(F.col("h").alias(c), F.col("wide").alias(f"w{c}"), F.col("n").alias(f"n{c}"))
@@ -203,10 +216,11 @@ def near_links(lines: DataFrame, edits: int) -> DataFrame:
     rest = lambda c: F.col(f"n{c}") - F.col("start")
     full = full.select("a", "b", *[part(F.col(f"w{c}"), F.col("start") + 1, rest(c)).alias(f"w{c}") for c in "ab"], *[rest(c).alias(f"n{c}") for c in "ab"])
     full = full.withColumn("end", common(F.col("wa"), F.col("wb"), F.col("na"), F.col("nb"), end=True))
-    middle = lambda c: spelled(part(F.col(f"w{c}"), 1, F.col(f"n{c}") - F.col("end")))
-    full = full.select("a", "b", middle("a").alias("ma"), middle("b").alias("mb"))
+    middle = lambda c: part(F.col(f"w{c}"), 1, F.col(f"n{c}") - F.col("end")).alias(f"w{c}")
+    full = full.select("a", "b", middle("a"), middle("b"), (F.col("na") - F.col("end")).alias("na"))
+    full = written(full.filter(shares_piece(F.col("wa"), F.col("wb"), F.col("na"), edits)), "middles")
     # b is the line that is not shorter.
-    return full.filter(edit_distance(F.col("mb"), F.col("ma"), edits) <= edits).select("a", "b").distinct()
+    return full.filter(edit_distance(spelled(F.col("wb")), spelled(F.col("wa")), edits) <= edits).select("a", "b").distinct()
 
 
 def duplicate_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", edits: int = 2, min_bytes: int = 24) -> DataFrame:
