@@ -39,9 +39,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back, which cuts the lineage."""
+def written(df: DataFrame, name: str, *, few: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it back, which cuts the lineage.
+
+    ``few`` is for results much smaller than what they come from: their rows are gathered
+    into files of a useful size instead of a file per task.
+    """
     spark = df.sparkSession
+    df = df.hint("rebalance") if few else df
     path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -57,7 +62,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     very many neighbours is split by the skew join.
     """
     high, low = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
-    links = written(edges.filter("a <> b").select(high, low).distinct(), "links")
+    links = written(edges.filter("a <> b").select(high, low).distinct(), "links", few=True)
     state = None
     for _ in range(max_rounds):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -67,7 +72,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         near = links.join(least, "a")
         links = written(
             near.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-            .unionByName(least.withColumnRenamed("m", "b")).distinct(), "links",
+            .unionByName(least.withColumnRenamed("m", "b")).distinct(), "links", few=True,
         )
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:

@@ -136,8 +136,8 @@ def contained_items(
     the tasks in blocks of a bounded number; each block is a pass over the documents.
     """
     spark = prepare(docs.sparkSession)
-    shingles = written(item_shingles(items, item_id, item_text, width), "items")
-    marks = written(sketches(shingles, threshold), "sketches")
+    shingles = written(item_shingles(items, item_id, item_text, width), "items", few=True)
+    marks = written(sketches(shingles, threshold), "sketches", few=True)
     blocks = max(1, math.ceil(shingles.count() / FILTER_HASHES))
     # An item belongs to one block, so that its shingles are known wherever its sketch is.
     found = None

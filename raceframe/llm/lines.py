@@ -199,17 +199,17 @@ def near_links(lines: DataFrame, edits: int) -> DataFrame:
     every = [*index_places(edits), *probe_places(edits, exact=True)]
     placed = divided(lines, edits)
     keyed = placed.select("h", F.explode(keys(every)).alias("key"))
-    shared = written(keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low < high").select("key"), "keys")
+    shared = written(keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low < high").select("key"), "keys", few=True)
     small = F.broadcast(shared) if shared.count() <= BROADCAST_KEYS else shared
     left = placed.select("h", "line", F.explode(keys(every)).alias("key")).join(small, "key", "left_semi").select("h", "line").distinct()
     left = left.select("h", F.col("line").cast("binary").alias("wide"), F.octet_length("line").alias("n"), *[c.alias(f"s{k}") for k, c in enumerate(signature(F.col("line")))])
-    left = written(left, "left")
+    left = written(left, "left", few=True)
     marked = lambda c: [F.col("h").alias(c), F.col("n").alias(f"n{c}"), *[F.col(f"s{k}").alias(f"{c}{k}") for k in range(len(COUNTED))]]
     held = divided(left, edits).select(*marked("a"), F.explode(keys(index_places(edits))).alias("key"))
     asked = divided(left, edits).select(*marked("b"), F.explode(keys(probe_places(edits, exact=False))).alias("key"))
     close = sum((count_distance(F.col(f"a{k}"), F.col(f"b{k}")) for k in range(len(COUNTED))), F.lit(0).cast("long")) <= 2 * edits
     different = (F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("a") < F.col("b")))
-    pairs = written(held.join(asked, "key").filter(different & close).select("a", "b").distinct(), "pairs")
+    pairs = written(held.join(asked, "key").filter(different & close).select("a", "b").distinct(), "pairs", few=True)
     of = lambda c: left.select(F.col("h").alias(c), F.col("wide").alias(f"w{c}"), F.col("n").alias(f"n{c}"))
     full = pairs.join(of("a"), "a").join(of("b"), "b")
     full = full.withColumn("start", common(F.col("wa"), F.col("wb"), F.col("na"), F.col("nb"), end=False))
@@ -218,7 +218,7 @@ def near_links(lines: DataFrame, edits: int) -> DataFrame:
     full = full.withColumn("end", common(F.col("wa"), F.col("wb"), F.col("na"), F.col("nb"), end=True))
     middle = lambda c: part(F.col(f"w{c}"), 1, F.col(f"n{c}") - F.col("end")).alias(f"w{c}")
     full = full.select("a", "b", middle("a"), middle("b"), (F.col("na") - F.col("end")).alias("na"))
-    full = written(full.filter(shares_piece(F.col("wa"), F.col("wb"), F.col("na"), edits)), "middles")
+    full = written(full.filter(shares_piece(F.col("wa"), F.col("wb"), F.col("na"), edits)), "middles", few=True)
     # b is the line that is not shorter.
     return full.filter(edit_distance(spelled(F.col("wb")), spelled(F.col("wa")), edits) <= edits).select("a", "b").distinct()
 
@@ -233,15 +233,15 @@ def duplicate_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     """
     prepare(docs.sparkSession)
     lines = lines_of(docs, id, text, min_bytes).withColumn("h", F.xxhash64("line"))
-    links = written(near_links(lines, edits), "links")
+    links = written(near_links(lines, edits), "links", few=True)
     spots = written(lines.drop("wide").select("id", "no", "h", F.xxhash64(F.lit(1), "line").alias("h2")), "spots")
     firsts = spots.groupBy("h", "h2").agg(F.min(F.struct("id", "no")).alias("first"), F.count(F.lit(1)).alias("copies"))
     linked = links.select(F.col("a").alias("h")).union(links.select(F.col("b").alias("h"))).distinct().withColumn("linked", F.lit(True))
-    told = written(firsts.join(linked, "h", "left").filter("copies > 1 or linked").select("h", "h2", "first", "linked"), "told")
+    told = written(firsts.join(linked, "h", "left", few=True).filter("copies > 1 or linked").select("h", "h2", "first", "linked"), "told", few=True)
     place = told.filter("linked").groupBy("h").agg(F.min("first").alias("first"))
     both = links.join(place.withColumnRenamed("h", "a").withColumnRenamed("first", "fa"), "a").join(place.withColumnRenamed("h", "b").withColumnRenamed("first", "fb"), "b")
     later = both.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("h")).distinct().withColumn("late", F.lit(True))
-    told = told.join(later, "h", "left").select(F.col("h").alias("th"), F.col("h2").alias("th2"), "first", "late")
+    told = told.join(later, "h", "left", few=True).select(F.col("h").alias("th"), F.col("h2").alias("th2"), "first", "late")
     same = (F.col("h") == F.col("th")) & (F.col("h2") == F.col("th2"))
     # struct comparison, so that a null id equals a null id
     return spots.join(told, same).filter(F.col("late").isNotNull() | ~F.struct("id", "no").eqNullSafe(F.col("first"))).select("id", "no")
@@ -255,7 +255,7 @@ def _gone(docs: DataFrame, id: str, **options) -> DataFrame:
 def removed_lines(docs: DataFrame, *, id: str = "doc_id", **options) -> DataFrame:
     """(id, n_removed, removed): per document how many lines go, and which, joined by commas."""
     gone = _gone(docs, id, **options)
-    rows = docs.select(id).join(gone, F.col(id).eqNullSafe(F.col("__id")), "left")
+    rows = docs.select(id).join(gone, F.col(id).eqNullSafe(F.col("__id")), "left", few=True)
     count = F.coalesce(F.size("__no"), F.lit(0))
     return rows.select(id, F.when(F.col("__no").isNull(), 0).otherwise(count).cast("long").alias("n_removed"), F.coalesce(F.array_join("__no", ","), F.lit("")).alias("removed"))
 
@@ -264,6 +264,6 @@ def dedup_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **op
     """The documents without the lines to remove, all columns kept; null texts stay null."""
     gone = _gone(docs, id, text=text, **options)
     kept = F.filter(F.split(F.col(text).cast("string"), "\n"), lambda line, k: ~F.array_contains(F.col("__no"), k))
-    rows = docs.join(gone, F.col(id).eqNullSafe(F.col("__id")), "left")
+    rows = docs.join(gone, F.col(id).eqNullSafe(F.col("__id")), "left", few=True)
     names = [F.col(c) if c != text else F.when(F.col("__no").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")).alias(text) for c in docs.columns]
     return rows.select(*names)

@@ -123,7 +123,7 @@ def mix(
         F.coalesce(F.xxhash64(text), F.lit(0).cast("long")).alias("row"),
     )
     sizes = written(sizes, "sizes")
-    targets = written(source_targets(sizes, weights, share, most), "targets")
+    targets = written(source_targets(sizes, weights, share, most), "targets", few=True)
     n, total = sizes.count(), targets.agg(F.sum("target")).first()[0] or 0.0
     block = block_tokens(total)
     blocks = targets.select("source", "source_size", "place", "target", F.ceil(F.col("source_size") / block).alias("blocks"))

@@ -113,11 +113,11 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     """
     spark = prepare(docs.sparkSession)
     found = written(fingerprints(docs, id=id, text=text, width=width, seed=seed), "fingerprints")
-    table = written(found.groupBy("fp").agg(F.min("id").alias("least")), "table")
+    table = written(found.groupBy("fp").agg(F.min("id").alias("least")), "table", few=True)
     pairs = links(table, distance, table.count())
     member = connected_components(pairs)
     own = table.join(member, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    own = written(own, "members")
+    own = written(own, "members", few=True)
     classes = own.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("fps"))
     # Most fingerprints are alone: only the others need the class's smallest id.
     linked = classes.filter("fps > 1").select("component", "component_id")

@@ -101,7 +101,7 @@ def top_k(vectors: DataFrame, queries: Column, *, id: str = "vec_id", embedding:
     rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).groupBy("vec_id").agg(F.min("embedding").alias("embedding"), F.max("asked").alias("asked"))
     # At least the norm of the whole components: floor moves each by less than one.
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + F.pow(F.abs(x * 256.0) + 1.0, 2)))
-    rows = written(rows.withColumn("norm", norm), "vectors")
+    rows = written(rows.withColumn("norm", norm), "vectors", few=True)
     count, asked, longest, dim = rows.agg(F.count(F.lit(1)), F.count_if("asked"), F.max("norm"), F.max(F.size("embedding"))).first()
     if not asked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -122,7 +122,7 @@ def top_k(vectors: DataFrame, queries: Column, *, id: str = "vec_id", embedding:
         return full.groupBy("q", "c").cogroup(candidates.groupBy("q", "c"))
 
     while True:
-        state = written(state, "state")
+        state = written(state, "state", few=True)
         if (state.agg(F.max("width")).first()[0] or 0) <= 0:
             break
         counts = joined(state.filter("width > 0")).applyInPandas(histogram, "query_id long, bin long, count long").groupBy("query_id", "bin").agg(F.sum("count").alias("count"))

@@ -20,7 +20,7 @@ from raceframe.llm.textblocks import BASE, BASE_INVERSE, BYTE_VALUES, mix, piece
 DIGIT = 16
 # Text whose suffixes are found at once, whose suffixes are collected before they are dealt
 # out, and that a bucket stands for.
-PIECE, BATCH, BUCKET = 2 << 20, 32 << 20, 8 << 20
+PIECE, BATCH, BUCKET = 2 << 20, 16 << 20, 8 << 20
 PLACE_BITS = 24
 # Kinds of what is said about a window range of a document.
 REPEAT, OPEN = 0, 1
