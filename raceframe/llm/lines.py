@@ -237,11 +237,11 @@ def duplicate_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     spots = written(lines.drop("wide").select("id", "no", "h", F.xxhash64(F.lit(1), "line").alias("h2")), "spots")
     firsts = spots.groupBy("h", "h2").agg(F.min(F.struct("id", "no")).alias("first"), F.count(F.lit(1)).alias("copies"))
     linked = links.select(F.col("a").alias("h")).union(links.select(F.col("b").alias("h"))).distinct().withColumn("linked", F.lit(True))
-    told = written(firsts.join(linked, "h", "left", few=True).filter("copies > 1 or linked").select("h", "h2", "first", "linked"), "told", few=True)
+    told = written(firsts.join(linked, "h", "left").filter("copies > 1 or linked").select("h", "h2", "first", "linked"), "told", few=True)
     place = told.filter("linked").groupBy("h").agg(F.min("first").alias("first"))
     both = links.join(place.withColumnRenamed("h", "a").withColumnRenamed("first", "fa"), "a").join(place.withColumnRenamed("h", "b").withColumnRenamed("first", "fb"), "b")
     later = both.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("h")).distinct().withColumn("late", F.lit(True))
-    told = told.join(later, "h", "left", few=True).select(F.col("h").alias("th"), F.col("h2").alias("th2"), "first", "late")
+    told = told.join(later, "h", "left").select(F.col("h").alias("th"), F.col("h2").alias("th2"), "first", "late")
     same = (F.col("h") == F.col("th")) & (F.col("h2") == F.col("th2"))
     # struct comparison, so that a null id equals a null id
     return spots.join(told, same).filter(F.col("late").isNotNull() | ~F.struct("id", "no").eqNullSafe(F.col("first"))).select("id", "no")
@@ -255,7 +255,7 @@ def _gone(docs: DataFrame, id: str, **options) -> DataFrame:
 def removed_lines(docs: DataFrame, *, id: str = "doc_id", **options) -> DataFrame:
     """(id, n_removed, removed): per document how many lines go, and which, joined by commas."""
     gone = _gone(docs, id, **options)
-    rows = docs.select(id).join(gone, F.col(id).eqNullSafe(F.col("__id")), "left", few=True)
+    rows = docs.select(id).join(gone, F.col(id).eqNullSafe(F.col("__id")), "left")
     count = F.coalesce(F.size("__no"), F.lit(0))
     return rows.select(id, F.when(F.col("__no").isNull(), 0).otherwise(count).cast("long").alias("n_removed"), F.coalesce(F.array_join("__no", ","), F.lit("")).alias("removed"))
 
@@ -264,6 +264,6 @@ def dedup_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **op
     """The documents without the lines to remove, all columns kept; null texts stay null."""
     gone = _gone(docs, id, text=text, **options)
     kept = F.filter(F.split(F.col(text).cast("string"), "\n"), lambda line, k: ~F.array_contains(F.col("__no"), k))
-    rows = docs.join(gone, F.col(id).eqNullSafe(F.col("__id")), "left", few=True)
+    rows = docs.join(gone, F.col(id).eqNullSafe(F.col("__id")), "left")
     names = [F.col(c) if c != text else F.when(F.col("__no").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")).alias(text) for c in docs.columns]
     return rows.select(*names)
