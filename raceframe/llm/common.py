@@ -15,6 +15,8 @@ SETTINGS = {
     # Generated methods above this many bytes are not compiled by the JVM; without this limit
     # long expressions would run in its interpreter.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Long expressions would otherwise be spelled out in every plan that the driver keeps.
+    "spark.sql.maxPlanStringLength": "10000",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",

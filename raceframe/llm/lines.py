@@ -89,14 +89,12 @@ def keys(places: list[Place]) -> Column:
 
 def signature(text: Column) -> list[Column]:
     """Counts of single characters modulo 16, packed: an edit changes at most two counts by one."""
-    out = []
-    for letters in COUNTED:
-        total = F.lit(0).cast("long")
-        for k, c in enumerate(letters):
-            count = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c), F.lit("")))
-            total = total.bitwiseOR(F.shiftleft((count % 16).cast("long"), 4 * k))
-        out.append(total)
-    return out
+    left = lambda c: F.octet_length(F.replace(text, c, F.lit("")))
+    count = lambda c: ((F.octet_length(text) - left(c)) % 16).cast("long")
+    return [
+        F.aggregate(F.array(*[F.lit(c) for c in letters]), F.lit(0).cast("long"), lambda packed, c: F.shiftleft(packed, 4).bitwiseOR(count(c)))
+        for letters in COUNTED
+    ]
 
 
 def count_distance(a: Column, b: Column) -> Column:
@@ -110,9 +108,8 @@ def count_distance(a: Column, b: Column) -> Column:
         own, other = (F.shiftrightunsigned(x, shift).bitwiseAND(of(0x0F)) for x in (a, b))
         off = (own.bitwiseOR(of(0x10)) - other).bitwiseAND(of(0x0F))
         total = total + off - _wrapped(off, of)
-    total = total.bitwiseAND(F.lit(0x00FF00FF00FF00FF)) + F.shiftrightunsigned(total, 8).bitwiseAND(F.lit(0x00FF00FF00FF00FF))
-    total = total + F.shiftrightunsigned(total, 16)
-    return (total + F.shiftrightunsigned(total, 32)).bitwiseAND(F.lit(0xFFFF))
+    # The sum of the bytes: 256 leaves 1 when divided by 255.
+    return total % 255
 
 
 def _wrapped(off: Column, of: Callable[[int], Column]) -> Column:
@@ -186,18 +183,20 @@ def edit_distance(a: Column, b: Column, edits: int) -> Column:
     return F.least(run(F.split(F.concat(lead, a), ""), F.split(F.concat(lead, b), "")), long(edits + 1))
 
 
-def shares_piece(a: Column, b: Column, n: Column, edits: int) -> Column:
-    """Whether one of the ``edits + 1`` pieces of ``a`` (``n`` bytes) is in ``b`` at most ``edits`` places off.
+def shares_piece(a: Column, b: Column, base: Column, rest: Column, edits: int) -> Column:
+    """Whether one of the ``edits + 1`` pieces of ``a`` is in ``b`` at most ``edits`` places off.
 
-    Holds for any two strings within ``edits`` edits.
+    ``base`` and ``rest`` are the length of ``a`` divided by ``edits + 1`` and the
+    remainder.  Holds for any two strings within ``edits`` edits.
     """
-    base, rest = F.floor(n / (edits + 1)).cast("int"), n % (edits + 1)
-    found = F.lit(False)
-    for start, size in segments(base, rest, edits + 1):
-        for shift in range(-edits, edits + 1):
-            at = start + shift
-            found = found | ((at >= 1) & (part(a, start, size) == part(b, F.greatest(at, F.lit(1)), size)))
-    return found
+
+    def shifted(shift: Column) -> Column:
+        found = F.lit(False)
+        for start, size in segments(base, rest, edits + 1):
+            found = found | ((start + shift >= 1) & (part(a, start, size) == part(b, F.greatest(start + shift, F.lit(1)), size)))
+        return found
+
+    return F.exists(F.array(*[F.lit(s) for s in range(-edits, edits + 1)]), shifted)
 
 
 def near_links(lines: DataFrame, edits: int) -> DataFrame:
@@ -230,8 +229,9 @@ def near_links(lines: DataFrame, edits: int) -> DataFrame:
     full = full.select("a", "b", *[part(F.col(f"w{c}"), F.col("start") + 1, rest(c)).alias(f"w{c}") for c in "ab"], *[rest(c).alias(f"n{c}") for c in "ab"])
     full = full.withColumn("end", common(F.col("wa"), F.col("wb"), F.col("na"), F.col("nb"), end=True))
     middle = lambda c: part(F.col(f"w{c}"), 1, F.col(f"n{c}") - F.col("end")).alias(f"w{c}")
-    full = full.select("a", "b", middle("a"), middle("b"), (F.col("na") - F.col("end")).alias("na"))
-    full = written(full.filter(shares_piece(F.col("wa"), F.col("wb"), F.col("na"), edits)), "middles", few=True)
+    full = full.select("a", "b", middle("a"), middle("b"), (F.col("na") - F.col("end")).alias("n"))
+    full = divided(full, edits).filter(shares_piece(F.col("wa"), F.col("wb"), F.col("base0"), F.col("rest0"), edits))
+    full = written(full.select("a", "b", "wa", "wb"), "middles", few=True)
     # b is the line that is not shorter.
     return full.filter(edit_distance(spelled(F.col("wb")), spelled(F.col("wa")), edits) <= edits).select("a", "b").distinct()
 
