@@ -13,7 +13,7 @@ from raceframe.llm.common import prepare, written
 CANDIDATES, QUERIES, VALUES = 2048, 512, 1 << 19
 BINS = 1024
 # Scores beyond this stop there.
-LIMIT = 1 << 62
+LIMIT = 1 << 60
 EXACT = float(1 << 53)
 
 
@@ -113,7 +113,7 @@ def top_k(vectors: DataFrame, queries: Column, *, id: str = "vec_id", embedding:
     # New names: both sides of the search come from one table.
     candidates = rows.select("vec_id", "embedding", block(blocks).alias("c"), every(query_blocks).alias("q"))
     candidates = candidates.select(*[F.col(c).alias(f"_{c}") for c in candidates.columns]).toDF(*candidates.columns)
-    bound = F.least(F.ceil(F.col("norm") * longest * 1.000001 + 1), F.lit(float(LIMIT))).cast("long")
+    bound = F.ceil(F.least(F.col("norm") * longest * 1.000001 + 1, F.lit(float(LIMIT)))).cast("long")
     asking = rows.filter("asked").select("vec_id", "embedding", bound.alias("bound"), block(query_blocks).alias("q"))
     state = asking.select("vec_id", (-F.col("bound")).alias("low"), F.floor(F.col("bound") / (BINS // 2) + 1).alias("width"), F.lit(k).cast("long").alias("need")).withColumn("span", F.col("width") * BINS)
 
