@@ -15,11 +15,11 @@ from raceframe.operators.history import ratio
 def roc_auc(df: DataFrame, p: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve per group, ties counted half; NULL with one class only.
 
-    Rows are first counted per score.  The lower-scored negatives of each score come
+    Rows without a score take no part.  The others are first counted per score.  The lower-scored negatives of each score come
     from a prefix sum in chunks of the score, so no task sorts all scores.
     """
     by = list(by)
-    counts = df.groupBy(*by, p).agg(
+    counts = df.filter(F.col(p).isNotNull()).groupBy(*by, p).agg(
         F.count(F.when(F.col(label) == 1, 1)).alias("__pos"), F.count(F.when(F.col(label) == 0, 1)).alias("__neg")
     )
     counts = counts.withColumn("__chunk", value_chunk(F.col(p)))

@@ -99,14 +99,20 @@ def style_profile(df: DataFrame, style: str, n: int = 10) -> DataFrame:
 
 
 def aggressiveness(df: DataFrame, style: str, key: str = "actor", min_runs: int = 20, weight: float = 0.5) -> DataFrame:
-    """Mean style score per actor; few runs are averaged with the mean over actors."""
+    """Mean style score per actor; few runs are averaged with the mean over actors.
+
+    Scores are summed as whole tenths and means over actors as decimals, so the result
+    does not depend on the order of the rows.
+    """
+    tenths = F.round(style_score(style) * 10).cast("long")
     per = (
-        df.withColumn("__s", style_score(style)).filter(F.col("__s").isNotNull())
-        .groupBy(key).agg(F.avg("__s").alias("__m"), F.count(F.lit(1)).alias("n"))
+        df.withColumn("__s", tenths).filter(F.col("__s").isNotNull())
+        .groupBy(key).agg((F.sum("__s") / (10.0 * F.count(F.lit(1)))).alias("__m"), F.count(F.lit(1)).alias("n"))
     )
-    overall = per.agg(F.avg("__m")).scalar()
+    overall = per.agg(F.avg(F.col("__m").cast("decimal(28,12)")).cast("double")).scalar()
     score = F.when(F.col("n") < min_runs, (1 - weight) * F.col("__m") + weight * overall).otherwise(F.col("__m"))
-    return per.select(key, "n", clip(score, 0.0, 1.0).alias("aggressiveness"))
+    # Halves of the last kept place are settled before anyone rounds to fewer.
+    return per.select(key, "n", clip(F.round(score, 9), 0.0, 1.0).alias("aggressiveness"))
 
 
 def smoothed_rate(hits: Column, n: Column, alpha: float, p0: float) -> Column:

@@ -22,10 +22,17 @@ _AGG = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
 Measures = Mapping[str, tuple[str, Column]]
 
 
+def join_null_safe(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join on equal keys, where NULL equals NULL; the other side's key columns go."""
+    renamed = other.withColumnsRenamed({k: f"__other_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"__other_{k}")) for k in keys]
+    return df.join(renamed, same, how).drop(*[f"__other_{k}" for k in keys])
+
+
 def with_group_stats(df: DataFrame, keys: Sequence[str], **stats: Column) -> DataFrame:
-    """Add group aggregates to every row: aggregate, then join back on the keys."""
+    """Add group aggregates to every row: aggregate, then join back on the keys; NULL is a key as well."""
     totals = df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()])
-    return df.join(totals, list(keys), "left")
+    return join_null_safe(df, totals, keys)
 
 
 def by_size(df: DataFrame, size: str | None, plan: Callable[[DataFrame, bool], DataFrame], hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -50,12 +57,19 @@ def group_stats(df: DataFrame, keys: Sequence[str], hot: bool, **stats: Column)
 
 
 def value_chunk(value: Column) -> Column:
-    """Monotone bucket of a number: 256 buckets per power of two, either sign."""
+    """Monotone bucket of a number: 256 buckets per power of two, either sign.
+
+    In ascending order NULL comes first and NaN last, with the infinities beside the
+    finite values, as in a sort.
+    """
     v = value.cast("double")
     size = (F.floor(F.log2(F.abs(v)) * 256) + 300_000).cast("long")
-    return F.when(v == 0, F.lit(0).cast("long")).otherwise(
-        F.when(v < 0, -size).otherwise(size)
+    infinite = F.abs(v) == float("inf")
+    chunk = (
+        F.when(v.isNull(), -1_000_000).when(F.isnan(v), 900_000).when(infinite & (v < 0), -800_000).when(infinite, 800_000)
+        .when(v == 0, 0).when(v < 0, -size).otherwise(size)
     )
+    return chunk.cast("long")
 
 
 def prior(
@@ -82,7 +96,7 @@ def prior(
     )
     inside = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = df.select("*", *[_AGG[fn](c).over(inside).alias(f"__i_{n}") for n, (fn, c) in measures.items()])
-    joined = rows.join(carried, [*keys, chunk], "left")
+    joined = join_null_safe(rows, carried, [*keys, chunk])
     out = []
     for name, (fn, _) in measures.items():
         c, i = F.col(f"__c_{name}"), F.col(f"__i_{name}")
@@ -134,7 +148,7 @@ def group_ranks(df: DataFrame, keys: Sequence[str], ranks: Sequence[Rank], hot:
             .select(*keys, "__chunk", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
         )
         columns = out.columns
-        placed = out.select("*", chunk).withColumn("__pos", _position(r, [*keys, "__chunk"])).join(starts, [*keys, "__chunk"])
+        placed = join_null_safe(out.select("*", chunk).withColumn("__pos", _position(r, [*keys, "__chunk"])), starts, [*keys, "__chunk"])
         out = placed.select(*columns, (F.col("__pos") + F.col("__start")).alias(r.name))
     return out
 

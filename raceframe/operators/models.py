@@ -54,9 +54,9 @@ def score(model: PipelineModel, df: DataFrame, features: Sequence[str], name: st
 
 
 def importance(model: PipelineModel, features: Sequence[str], version: str, spark) -> DataFrame:
-    """Gain per feature with its rank; split counts are not exposed by the trees and stay 0."""
+    """Gain per feature with its rank; the trees do not expose split counts, which stay NULL."""
     gains = model.stages[-1].featureImportances.toArray()
-    rows = [(version, f, float(g), 0) for f, g in zip(features, gains)]
+    rows = [(version, f, float(g), None) for f, g in zip(features, gains)]
     df = spark.createDataFrame(rows, "version string, feature string, gain double, split long")
     order = Window.partitionBy("version").orderBy(F.col("gain").desc(), F.col("feature"))
     return df.withColumn("rank", F.row_number().over(order).cast("long"))
@@ -118,11 +118,16 @@ def compare_calibrations(fit_on: DataFrame, test: DataFrame, p: str, label: str,
 
 
 def calibrated_fit(df: DataFrame, features: Sequence[str], label: str, method: str = "platt", holdout: float = 0.25) -> DataFrame:
-    """Trees on some events, calibration on the others; returns the held-out events with both probabilities."""
-    parts = group_split(df, holdout, name="__part")
-    model = fit_trees(parts.filter("__part = 'train'"), features, label, rounds=5, depth=3)
-    held = score(model, parts.filter("__part = 'test'").drop("__part"), features)
-    return calibrate(held, held, "p", label, method)
+    """Trees on some events, calibration on others, and the events of a third part with both probabilities.
+
+    No row is scored by a model or a calibration that has seen its event.
+    """
+    outer = group_split(df, holdout, name="__part")
+    inner = group_split(outer.filter("__part = 'train'").drop("__part"), holdout, seed=17, name="__part")
+    model = fit_trees(inner.filter("__part = 'train'"), features, label, rounds=5, depth=3)
+    fit_on = score(model, inner.filter("__part = 'test'").drop("__part"), features)
+    held = score(model, outer.filter("__part = 'test'").drop("__part"), features)
+    return calibrate(fit_on, held, "p", label, method)
 
 
 # --- two-stage regression --------------------------------------------------------------------

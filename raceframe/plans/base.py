@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,7 +27,7 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build, partition_by: Seq
     """
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _tables:
-        path = f"{work_dir(spark)}/{name}-{abs(hash(sf_dir)):x}"
+        path = f"{work_dir(spark)}/{name}-{zlib.crc32(sf_dir.encode()):08x}"
         build(spark, sf_dir).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
         _tables[key] = path
     return spark.read.parquet(_tables[key])

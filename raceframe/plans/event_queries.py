@@ -259,8 +259,8 @@ def style_profile_asof(spark, sf_dir):
 
 
 @query("actor_aggressiveness", "A21",
-       ENTRIES + _STYLE + """, m AS (SELECT actor, avg(aggr) AS m, count(*) AS n FROM s2 GROUP BY actor)
-SELECT actor, n, round(greatest(0.0, least(1.0, CASE WHEN n < 600 THEN 0.5*m + 0.5*(SELECT avg(m) FROM m) ELSE m END)),6) AS aggressiveness FROM m""")
+       ENTRIES + _STYLE + """, m AS (SELECT actor, CAST(sum(CAST(round(aggr * 10) AS BIGINT)) AS DOUBLE) / (10.0::DOUBLE * count(*)) AS m, count(*) AS n FROM s2 GROUP BY actor)
+SELECT actor, n, round(greatest(0.0, least(1.0, CASE WHEN n < 600 THEN 0.5::DOUBLE*m + 0.5::DOUBLE*(SELECT avg(m) FROM m) ELSE m END)),6) AS aggressiveness FROM m""")
 def actor_aggressiveness(spark, sf_dir):
     out = event.aggressiveness(styled(entries(spark, sf_dir)), "style", min_runs=600)
     return rounded(out, ["actor", "n"], ["aggressiveness"])

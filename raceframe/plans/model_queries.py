@@ -143,7 +143,7 @@ def streamed_latest(spark, sf_dir):
     path = source.inputFiles()[0].rsplit("/", 1)[0]
     run = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
     stream = observations.observation_stream(spark, path, source.schema)
-    q = observations.keep_latest(stream, ["user_id", "event_type"], "ts", ["value"], f"{run}/table", f"{run}/checkpoint", watermark="400 days", full_every=3)
+    q = observations.keep_latest(stream, ["user_id", "event_type"], "ts", ["value"], f"{run}/table", f"{run}/checkpoint", full_every=3)
     q.awaitTermination()
     return observations.current_table(spark, f"{run}/table", ["user_id", "event_type"], "ts", ["value"])
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import functions as F
 
 from raceframe.functions import columns as C
@@ -86,7 +88,7 @@ def entries_of_events(spark, sf_dir):
 
 @query("candidates_csv", "S6 S10", "SELECT p_name AS feature, p_retailprice AS gain, p_size AS rank, p_type AS safety_label FROM part")
 def candidates_csv(spark, sf_dir):
-    path = f"{work_dir(spark)}/candidates-{abs(hash(sf_dir)):x}"
+    path = f"{work_dir(spark)}/candidates-{zlib.crc32(sf_dir.encode()):08x}"
     src = table(spark, sf_dir, "part").select(
         F.col("p_name").alias("feature"), F.col("p_retailprice").alias("gain"), F.col("p_size").alias("rank"), F.col("p_type").alias("safety_label")
     )
@@ -96,7 +98,7 @@ def candidates_csv(spark, sf_dir):
 
 @query("report_json", "S10", "SELECT p_brand AS brand, count(*) AS n, round(avg(p_retailprice),6) AS price FROM part GROUP BY 1")
 def report_json(spark, sf_dir):
-    path = f"{work_dir(spark)}/report-{abs(hash(sf_dir)):x}"
+    path = f"{work_dir(spark)}/report-{zlib.crc32(sf_dir.encode()):08x}"
     src = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("p_retailprice")).alias("price"))
     reports.save_report(src, path, "json")
     return spark.read.schema("brand string, n bigint, price double").json(path)
@@ -164,7 +166,7 @@ def last_per_key(spark, sf_dir):
 
 @query("created_table", "S9", "SELECT p_partkey, p_brand, p_size FROM part")
 def created_table(spark, sf_dir):
-    path = f"{work_dir(spark)}/part-table-{abs(hash(sf_dir)):x}"
+    path = f"{work_dir(spark)}/part-table-{zlib.crc32(sf_dir.encode()):08x}"
     part = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand")
     upsert.create_table(part, path, ["p_partkey"], "replace", ["p_brand"])
     return spark.read.parquet(path).select("p_partkey", F.col("p_brand").cast("string").alias("p_brand"), "p_size")

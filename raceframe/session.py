@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -16,9 +14,6 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
-_local_dirs: dict[str, str] = {}
-
-
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the settings the operators count on to a running session."""
     for key, value in SETTINGS.items():
@@ -27,16 +22,6 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """Shared folder for written tables: ``spark.checkpoint.dir`` of the session.
-
-    Only a local session without that setting gets a temporary folder.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
-    if shared:
-        return f"{shared.rstrip('/')}/raceframe-{app}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="raceframe-")
-    return _local_dirs[app]
+    """Shared folder for written tables: ``spark.checkpoint.dir`` of the session, else its warehouse."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared.rstrip('/')}/raceframe-{spark.sparkContext.applicationId}"

@@ -28,19 +28,18 @@ def _since_last_full(spark: SparkSession, table: str, before: int | None = None)
 
 def keep_latest(
     stream: DataFrame, keys: Sequence[str], at: str, fields: Sequence[str], table: str, checkpoint: str,
-    watermark: str = "1 day", cutoff: Column | None = None, full_every: int = 50,
+    cutoff: Column | None = None, full_every: int = 50,
 ):
     """Start a query that keeps the latest observation per key, and return it.
 
-    Repeated observations (same key and time) within the watermark are dropped.  A batch
-    writes the latest row of the keys it saw; every ``full_every`` batches one holds all
-    keys.  A batch has its own folder, so running it again after a failure gives the
-    same table.
+    No observation is dropped for being late, and the stream keeps no state: repeats change
+    no latest row.  A batch writes the latest row of the keys it saw; every ``full_every``
+    batches one holds all keys.  A batch has its own folder, so running it again after a
+    failure gives the same table.
     """
     seen = stream.select(*keys, at, *fields)
     if cutoff is not None:
         seen = seen.filter(F.col(at) <= cutoff)
-    seen = seen.withWatermark(at, watermark).dropDuplicatesWithinWatermark([*keys, at])
 
     def write(batch: DataFrame, epoch: int) -> None:
         full = int((epoch + 1) % full_every == 0)

@@ -305,3 +305,25 @@ def test_ndcg_with_text_ids(spark):
     r = evaluate.ndcg(df, "p", "y").first()
     half = 1 / 1.584962500721156
     assert r.n_events == 2 and r.ndcg == pytest.approx((half + (1 + half) / 2) / 2) and r.top1_accuracy == 0.5
+
+
+@pytest.mark.parametrize("down", [False, True])
+@pytest.mark.parametrize("kind", ["row_number", "rank", "average"])
+def test_ranks_keep_rows_without_value_or_key(spark, kind, down):
+    inf, nan = float("inf"), float("nan")
+    values = [0.5, None, 0.2, nan, inf, -inf, None, 0.0, -0.0, 1e-300, nan, 0.5]
+    df = spark.createDataFrame([(g, i, v) for g in (1, None) for i, v in enumerate(values)], "event int, entity int, v double")
+    sized = grouping.with_group_stats(df, ["event"], n=F.count(F.lit(1)))
+    assert sized.filter("n = 12").count() == 24
+    plain = grouping.rank_in_group(sized, ["event"], "v", "k", descending=down, ties=["entity"], size="n", kind=kind)
+    for spread in (
+        grouping.rank_in_group(sized, ["event"], "v", "k", descending=down, ties=["entity"], size="n", kind=kind, hot_rows=1),
+        grouping.rank_in_group(df, ["event"], "v", "k", descending=down, ties=["entity"], kind=kind),
+    ):
+        ranked = [{(r.event, r.entity): r.k for r in x.collect()} for x in (plain, spread)]
+        assert ranked[0] == ranked[1] and len(ranked[1]) == 24
+
+
+def test_auc_ignores_rows_without_a_score(spark):
+    df = spark.createDataFrame([(0.9, 1), (0.8, 1), (None, 1), (0.2, 0), (0.1, 0)], "p double, win int")
+    assert evaluate.roc_auc(df, "p", "win").first().auc == 1.0
