@@ -230,8 +230,9 @@ def near_links(lines: DataFrame, edits: int) -> DataFrame:
     full = full.withColumn("end", common(F.col("wa"), F.col("wb"), F.col("na"), F.col("nb"), end=True))
     middle = lambda c: part(F.col(f"w{c}"), 1, F.col(f"n{c}") - F.col("end")).alias(f"w{c}")
     full = full.select("a", "b", middle("a"), middle("b"), (F.col("na") - F.col("end")).alias("n"))
-    full = divided(full, edits).filter(shares_piece(F.col("wa"), F.col("wb"), F.col("base0"), F.col("rest0"), edits))
-    full = written(full.select("a", "b", "wa", "wb"), "middles", few=True)
+    # Written before they are filtered: a filter would repeat the expressions that make them.
+    full = divided(written(full, "middles", few=True), edits)
+    full = full.filter(shares_piece(F.col("wa"), F.col("wb"), F.col("base0"), F.col("rest0"), edits))
     # b is the line that is not shorter.
     return full.filter(edit_distance(spelled(F.col("wb")), spelled(F.col("wa")), edits) <= edits).select("a", "b").distinct()
 
