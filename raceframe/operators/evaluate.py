@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from raceframe.functions.columns import clip, paid_places
-from raceframe.operators.grouping import prior, value_chunk, with_group_stats
+from raceframe.operators.grouping import prior, value_chunk, with_group_stats, with_quantiles
 from raceframe.operators.history import ratio
 
 
@@ -233,11 +233,11 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str, by: Sequence[
 
 def score_summary(df: DataFrame, p: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """Size, moments, quartiles and positive rate of a score."""
-    q = F.percentile(p, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.groupBy(*by).agg(
+    stats = df.groupBy(*by).agg(
         F.count(p).alias("n"), F.avg(p).alias("mean"), F.stddev_pop(p).alias("std"), F.min(p).alias("min"), F.max(p).alias("max"),
-        q.alias("__q"), F.avg(label).alias("positive_rate"),
-    ).select(
+        F.avg(label).alias("positive_rate"),
+    )
+    return with_quantiles(stats, df, by, p, [0.25, 0.5, 0.75], "__q").select(
         *by, "n", "mean", "std", "min", "max", F.col("__q")[0].alias("q25"), F.col("__q")[1].alias("median"),
         F.col("__q")[2].alias("q75"), "positive_rate",
     )

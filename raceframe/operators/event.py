@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from raceframe.functions import constants as K
 from raceframe.functions.columns import clip, distance_band, style_score
+from raceframe.operators.grouping import with_quantiles
 from raceframe.operators.history import arr_sum, asof_totals, ratio, recent_date_strict
 
 
@@ -182,11 +183,13 @@ def pace_class(value: Column, baseline: Column, width: float = 0.5) -> Column:
 def clip_ranges(df: DataFrame, columns: Sequence[str], percentile: float = 99.5, min_rows: int = 10) -> DataFrame:
     """Low and high quantile per (surface, distance band) with enough rows."""
     low = (100 - percentile) / 2 / 100
-    aggs = []
-    for c in columns:
-        aggs += [F.percentile(c, F.lit(low)).alias(f"{c}_low"), F.percentile(c, F.lit(1 - low)).alias(f"{c}_high")]
+    keys = ["surface", "band"]
     banded = df.withColumn("band", distance_band("distance"))
-    return banded.groupBy("surface", "band").agg(F.count(F.lit(1)).alias("n"), *aggs).filter(F.col("n") >= min_rows)
+    out = banded.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_rows)
+    for c in columns:
+        out = with_quantiles(out, banded, keys, c, [low, 1 - low], "__q")
+        out = out.withColumns({f"{c}_low": F.col("__q")[0], f"{c}_high": F.col("__q")[1]}).drop("__q")
+    return out
 
 
 def apply_clip(df: DataFrame, ranges: DataFrame, column: str, name: str) -> DataFrame:

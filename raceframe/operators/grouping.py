@@ -162,6 +162,63 @@ def rank_in_group(
     return by_size(df, size, lambda rows, hot: group_ranks(rows, keys, [rank], hot), hot_rows)
 
 
+def _holding(steps: DataFrame, group: Sequence[str], step: str, count: str, out: str) -> DataFrame:
+    """The steps of a group, in order, that hold one of its wanted positions ``__ranks``; ``out`` rows precede them."""
+    earlier = Window.partitionBy(*group).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+    placed = steps.withColumn(out, F.col("__base") + F.coalesce(F.sum(count).over(earlier), F.lit(0)))
+    within = F.filter("__ranks", lambda r: (r >= F.col(out)) & (r < F.col(out) + F.col(count)))
+    return placed.withColumn("__ranks", within).filter(F.size("__ranks") > 0)
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], column: str, shares: Sequence[float], name: str) -> DataFrame:
+    """(keys, ``name``): exact interpolated quantiles per group, an array in the order of ``shares``.
+
+    Counts narrow down where the wanted positions lie: first by ``value_chunk``, then by
+    65,537 even steps inside the chunks that hold one, then value by value inside the steps
+    that hold one.  Every pass reads the rows again.  The wanted chunks, at most two for each
+    share and group, are a small table that Spark broadcasts by its size or joins with split
+    partitions; no task holds the values of a group.  NULL is left out, NaN is the largest value, a NULL key is a
+    group, and a group without values has no row.  Without keys there is always one row, of
+    NULLs if there are no values.
+    """
+    keys = list(keys)
+    rows = df.select(*keys, F.col(column).cast("double").alias("__v")).filter(F.col("__v").isNotNull()).withColumn("__chunk", value_chunk(F.col("__v")))
+    chunks = rows.groupBy(*keys, "__chunk").agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__low"), F.max("__v").alias("__high"))
+    last = F.sum("__n").over(Window.partitionBy(*keys)) - 1
+    places = F.array(*[end(last * F.lit(float(s))).cast("long") for s in shares for end in (F.floor, F.ceil)])
+    chunks = _holding(chunks.withColumns({"__last": last, "__ranks": F.array_distinct(places), "__base": F.lit(0)}), keys, "__chunk", "__n", "__before")
+
+    chunks = chunks.select(*keys, "__chunk", "__low", "__high", "__last", "__ranks", F.col("__before").alias("__base"))
+    place = F.floor((F.col("__v") - F.col("__low")) / (F.col("__high") - F.col("__low")) * 65536)
+    found = join_null_safe(rows, chunks.select(*keys, "__chunk", "__low", "__high"), [*keys, "__chunk"], "inner")
+    found = found.withColumn("__step", F.when(F.col("__high") > F.col("__low"), place).otherwise(0).cast("long"))
+    steps = join_null_safe(found.groupBy(*keys, "__chunk", "__step").agg(F.count(F.lit(1)).alias("__n")), chunks, [*keys, "__chunk"], "inner")
+    steps = _holding(steps, [*keys, "__chunk"], "__step", "__n", "__before")
+
+    steps = steps.select(*keys, "__chunk", "__step", "__last", "__ranks", F.col("__before").alias("__base"))
+    values = found.groupBy(*keys, "__chunk", "__step", "__v").agg(F.count(F.lit(1)).alias("__n"))
+    values = join_null_safe(values, steps, [*keys, "__chunk", "__step"], "inner")
+    values = _holding(values, [*keys, "__chunk", "__step"], "__v", "__n", "__before")
+
+    # At most two positions for each share are left.
+    picked = values.select(*keys, "__last", "__v", F.explode("__ranks").alias("__rank"))
+    at = picked.groupBy(*keys).agg(F.first("__last").alias("__last"), F.map_from_entries(F.collect_list(F.struct("__rank", "__v"))).alias("__at"))
+
+    def between(share: float) -> Column:
+        spot = F.col("__last") * F.lit(float(share))
+        low, high = F.floor(spot).cast("long"), F.ceil(spot).cast("long")
+        a, b = F.element_at("__at", low), F.element_at("__at", high)
+        return F.when(a == b, a).otherwise((high - spot) * a + (spot - low) * b)
+
+    return at.select(*keys, F.array(*[between(s) for s in shares]).alias(name))
+
+
+def with_quantiles(stats: DataFrame, df: DataFrame, keys: Sequence[str], column: str, shares: Sequence[float], name: str) -> DataFrame:
+    """Add the quantiles of ``df``'s column to one row per group; NULL where a group has no values."""
+    found = quantiles(df, keys, column, shares, name)
+    return join_null_safe(stats, found, keys) if keys else stats.withColumn(name, found.scalar())
+
+
 def top_per_group(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 1, name: str | None = None
 ) -> DataFrame:

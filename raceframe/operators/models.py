@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from raceframe.functions.columns import clip, logit, sigmoid
 from raceframe.operators import evaluate
+from raceframe.operators.grouping import quantiles
 from raceframe.operators.splits import group_split
 
 MISSING = -999.0
@@ -172,7 +173,7 @@ def residual_target(df: DataFrame, p: str, label: str, runs: str, alpha: float =
     smooth = (F.col(label) + alpha) / (1 + 2 * alpha)
     target = df.withColumn("__t", logit(smooth.cast("double"), 0.001) - logit(p, 0.001))
     low = (100 - percentile) / 200
-    bounds = target.agg(F.percentile("__t", F.array(F.lit(low), F.lit(1 - low)))).scalar()
+    bounds = quantiles(target, [], "__t", [low, 1 - low], "__q").select("__q").scalar()
     return target.withColumns(
         {"target": clip("__t", bounds[0], bounds[1]), "weight": F.least(F.lit(1.0), F.col(runs) / float(full))}
     ).drop("__t")

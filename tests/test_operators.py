@@ -327,3 +327,24 @@ def test_ranks_keep_rows_without_value_or_key(spark, kind, down):
 def test_auc_ignores_rows_without_a_score(spark):
     df = spark.createDataFrame([(0.9, 1), (0.8, 1), (None, 1), (0.2, 0), (0.1, 0)], "p double, win int")
     assert evaluate.roc_auc(df, "p", "win").first().auc == 1.0
+
+
+@pytest.mark.parametrize("keys", [["g"], []])
+def test_quantiles_equal_the_percentiles_of_whole_groups(spark, keys):
+    rng = random.Random(5)
+    special = [None, 0.0, -0.0, float("inf"), float("-inf"), float("nan"), 1e-310, -1e300]
+    data = [("wide", rng.gauss(0, 1) * 10 ** rng.randint(-3, 3)) for _ in range(3000)]
+    data += [("close", 0.5 + k * 2.0**-40) for k in range(999)] + [("same", 0.25)] * 500 + [("one", -7.5), ("none", None)]
+    data += [(None, rng.random()) for _ in range(400)] + [("few", float(rng.randint(1, 3))) for _ in range(700)]
+    if keys:
+        data += [("special", v) for v in special] + [("special", float(k)) for k in range(5)]
+    shares = [0.0, 0.005, 0.25, 0.5, 0.995, 1.0]
+    df = spark.createDataFrame(data, "g string, v double")
+    want = {r[0]: r[1] for r in df.groupBy(F.lit("all") if not keys else F.col("g")).agg(F.percentile("v", F.array(*[F.lit(s) for s in shares]))).collect()}
+    out = grouping.quantiles(df, keys, "v", shares, "q")
+    got = {(r["g"] if keys else "all"): r["q"] for r in out.collect()}
+    assert got.keys() == {k for k, v in want.items() if v is not None}
+    for k, q in got.items():
+        assert q == pytest.approx(want[k], rel=0, abs=0, nan_ok=True), k
+    empty = [r["q"] for r in grouping.quantiles(df.limit(0), keys, "v", shares, "q").collect()]
+    assert empty == ([] if keys else [[None] * len(shares)])
