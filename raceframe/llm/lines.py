@@ -237,17 +237,21 @@ def near_links(lines: DataFrame, edits: int) -> DataFrame:
     return full.filter(edit_distance(spelled(F.col("wb")), spelled(F.col("wa")), edits) <= edits).select("a", "b").distinct()
 
 
-def duplicate_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", edits: int = 2, min_bytes: int = 24) -> DataFrame:
+def duplicate_lines(
+    docs: DataFrame, *, id: str = "doc_id", text: str = "text", edits: int = 2, min_bytes: int = 24, exact_bytes: int | None = None,
+) -> DataFrame:
     """(id, no): the lines to remove.
 
     Lines are split at newlines and freed of spaces and carriage returns around them; those of at least ``min_bytes`` bytes
     take part.  Of equal lines the first is kept, by (id, line number); it goes as well if a
-    different line within ``edits`` edits (inserted, deleted or replaced bytes) occurs earlier.  Null ids come first; null and
-    empty texts have no lines.
+    different line within ``edits`` edits (inserted, deleted or replaced bytes) occurs earlier.  With
+    ``exact_bytes``, lines from that length on go as repeats of an equal line, though too short to have near repeats.  Null ids
+    come first; null and empty texts have no lines.
     """
     prepare(docs.sparkSession)
-    lines = lines_of(docs, id, text, min_bytes).withColumn("h", F.xxhash64("line"))
-    links = written(near_links(lines, edits), "links", few=True)
+    least = min_bytes if exact_bytes is None else min(exact_bytes, min_bytes)
+    lines = lines_of(docs, id, text, least).withColumn("h", F.xxhash64("line"))
+    links = written(near_links(lines.filter(F.col("n") >= min_bytes), edits), "links", few=True)
     spots = written(lines.drop("wide").select("id", "no", "h", F.xxhash64(F.lit(1), "line").alias("h2")), "spots")
     firsts = spots.groupBy("h", "h2").agg(F.min(F.struct("id", "no")).alias("first"), F.count(F.lit(1)).alias("copies"))
     linked = links.select(F.col("a").alias("h")).union(links.select(F.col("b").alias("h"))).distinct().withColumn("linked", F.lit(True))

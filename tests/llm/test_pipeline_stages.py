@@ -54,3 +54,29 @@ def test_near_dedup_removes_planted_copies(spark):
     assert sum(0.8 <= s < 0.95 for s in similar) >= 8 and min(similar) < 0.8
     kept = {r.doc_id for r in STAGES["near_dedup"](spark, docs(spark, texts), None).collect()}
     assert kept == first_of_classes(texts)
+
+
+def kept_lines(texts, near):
+    """Texts without equal lines and, from 24 bytes on, lines ``near`` an earlier one."""
+    seen, long, out = set(), set(), []
+    for t in texts:
+        kept = []
+        for line in (t or "").split("\n"):
+            bare = line.strip(" \r")
+            if not bare or not (bare in seen or len(bare.encode()) >= 24 and any(near(bare, x) for x in long)):
+                kept.append(line)
+            seen.add(bare)
+            long |= {bare} if len(bare.encode()) >= 24 else set()
+        out.append(None if t is None else "\n".join(kept))
+    return out
+
+
+def stage_lines(spark, texts):
+    return [r.text for r in STAGES["line_dedup"](spark, docs(spark, texts), None).orderBy("doc_id").collect()]
+
+
+def test_line_dedup_removes_short_repeats(spark):
+    rng = random.Random(4)
+    pool = ["Les.", "é", "All rights reserved.", "x", "Les", "", "  ", "une ligne de vingt-trois"]
+    texts = [None, ""] + ["\n".join([f"own {i}", *(rng.choice(["", " "]) + rng.choice(pool) + rng.choice(["", "\r"]) for _ in range(6))]) for i in range(30)]
+    assert stage_lines(spark, texts) == kept_lines(texts, lambda a, b: False)
