@@ -21,21 +21,30 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def lines_of(docs: DataFrame, id: str, text: str, min_bytes: int) -> DataFrame:
-    """(id, no, line, wide, n): lines of at least ``min_bytes`` bytes, without the spaces and
-    carriage returns around them; ``no`` starts at 0, ``wide`` are the line's ``n`` bytes."""
+    """(id, no, line): lines of at least ``min_bytes`` bytes, without the spaces and carriage
+    returns around them; ``no`` starts at 0."""
     found = docs.select(F.col(id).alias("id"), F.posexplode(F.split(F.col(text).cast("string"), "\n")).alias("no", "line"))
-    found = found.select("id", "no", F.btrim("line", F.lit(" \r")).alias("line")).withColumn("n", F.octet_length("line"))
-    return found.filter(F.col("n") >= min_bytes).withColumn("wide", F.col("line").cast("binary"))
+    found = found.select("id", "no", F.btrim("line", F.lit(" \r")).alias("line"))
+    return found.filter(F.octet_length("line") >= min_bytes)
 
 
-def part(wide: Column, start: Column | int, size: Column) -> Column:
-    """``size`` bytes from ``start``, counted from 1."""
-    return F.substring(wide, start if isinstance(start, Column) else F.lit(start), size)
+def letters_of(line: Column, letter: int) -> tuple[Column, Column]:
+    """``wide``, the letters of a line at ``letter`` bytes each, and their number ``n``.
+
+    One byte: the letters are the line's bytes; four: its characters, in UTF-32.
+    """
+    return (line.cast("binary").alias("wide"), F.octet_length(line).alias("n")) if letter == 1 else (F.encode(line, "UTF-32").alias("wide"), F.char_length(line).alias("n"))
+
+
+def part(wide: Column, start: Column | int, size: Column, letter: int = 1) -> Column:
+    """``size`` letters from ``start``, counted from 1."""
+    start = start if isinstance(start, Column) else F.lit(start)
+    return F.substring(wide, start, size) if letter == 1 else F.substring(wide, (start - 1) * letter + 1, size * letter)
 
 
-def spelled(wide: Column) -> Column:
-    """A string with one character per byte."""
-    return F.decode(wide, "ISO-8859-1")
+def spelled(wide: Column, letter: int = 1) -> Column:
+    """A string with one character per letter."""
+    return F.decode(wide, "ISO-8859-1" if letter == 1 else "UTF-32")
 
 
 Place = tuple[int, Column, Column, Column]
@@ -82,9 +91,9 @@ def probe_places(edits: int, *, exact: bool) -> list[Place]:
     return out
 
 
-def keys(places: list[Place]) -> Column:
-    """Hashes of segment number, line length and bytes at every place."""
-    return F.array(*[F.xxhash64(F.lit(i), length, part(F.col("wide"), start, size)) for i, length, start, size in places])
+def keys(places: list[Place], letter: int = 1) -> Column:
+    """Hashes of segment number, line length and letters at every place."""
+    return F.array(*[F.xxhash64(F.lit(i), length, part(F.col("wide"), start, size, letter)) for i, length, start, size in places])
 
 
 def signature(text: Column) -> list[Column]:
@@ -118,13 +127,13 @@ def _wrapped(off: Column, of: Callable[[int], Column]) -> Column:
     return F.shiftleft(off.bitwiseAND(F.shiftleft(high, 3) - high).bitwiseAND(of(0x07)), 1)
 
 
-def common(a: Column, b: Column, size_a: Column, size_b: Column, *, end: bool) -> Column:
-    """Bytes that two strings share at the start, or at the end."""
+def common(a: Column, b: Column, size_a: Column, size_b: Column, letter: int = 1, *, end: bool) -> Column:
+    """Letters that two strings share at the start, or at the end."""
     least = F.least(size_a, size_b)
 
     def longer(p: Column, k: Column) -> Column:
         at = lambda size: (size - p - k + 1) if end else (p + 1)
-        same = (p + k <= least) & (part(a, at(size_a), k) == part(b, at(size_b), k))
+        same = (p + k <= least) & (part(a, at(size_a), k, letter) == part(b, at(size_b), k, letter))
         return F.when(same, p + k).otherwise(p)
 
     steps = F.array(*[F.lit(1 << k) for k in range(26, -1, -1)])
@@ -183,7 +192,7 @@ def edit_distance(a: Column, b: Column, edits: int) -> Column:
     return F.least(run(F.split(F.concat(lead, a), ""), F.split(F.concat(lead, b), "")), long(edits + 1))
 
 
-def shares_piece(a: Column, b: Column, base: Column, rest: Column, edits: int) -> Column:
+def shares_piece(a: Column, b: Column, base: Column, rest: Column, edits: int, letter: int = 1) -> Column:
     """Whether one of the ``edits + 1`` pieces of ``a`` is in ``b`` at most ``edits`` places off.
 
     ``base`` and ``rest`` are the length of ``a`` divided by ``edits + 1`` and the
@@ -193,13 +202,13 @@ def shares_piece(a: Column, b: Column, base: Column, rest: Column, edits: int) -
     def shifted(shift: Column) -> Column:
         found = F.lit(False)
         for start, size in segments(base, rest, edits + 1):
-            found = found | ((start + shift >= 1) & (part(a, start, size) == part(b, F.greatest(start + shift, F.lit(1)), size)))
+            found = found | ((start + shift >= 1) & (part(a, start, size, letter) == part(b, F.greatest(start + shift, F.lit(1)), size, letter)))
         return found
 
     return F.exists(F.array(*[F.lit(s) for s in range(-edits, edits + 1)]), shifted)
 
 
-def near_links(lines: DataFrame, edits: int) -> DataFrame:
+def near_links(lines: DataFrame, edits: int, letter: int = 1) -> DataFrame:
     """(a, b): hashes of different lines within ``edits`` edits of each other, once per pair.
 
     First only (key, line) pairs are counted: a key that two different lines share is
@@ -209,50 +218,50 @@ def near_links(lines: DataFrame, edits: int) -> DataFrame:
     what is left is verified by the bit-parallel distance.
     """
     every = [*index_places(edits), *probe_places(edits, exact=True)]
-    placed = divided(lines, edits)
-    keyed = placed.select("h", F.explode(keys(every)).alias("key"))
+    placed = divided(lines.select("h", "line", *letters_of(F.col("line"), letter)), edits)
+    keyed = placed.select("h", F.explode(keys(every, letter)).alias("key"))
     shared = written(keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low < high").select("key"), "keys", few=True)
     small = F.broadcast(shared) if shared.count() <= BROADCAST_KEYS else shared
-    left = placed.select("h", "line", F.explode(keys(every)).alias("key")).join(small, "key", "left_semi").select("h", "line").distinct()
-    left = left.select("h", F.col("line").cast("binary").alias("wide"), F.octet_length("line").alias("n"), *[c.alias(f"s{k}") for k, c in enumerate(signature(F.col("line")))])
+    left = placed.select("h", "line", F.explode(keys(every, letter)).alias("key")).join(small, "key", "left_semi").select("h", "line").distinct()
+    left = left.select("h", *letters_of(F.col("line"), letter), *[c.alias(f"s{k}") for k, c in enumerate(signature(F.col("line")))])
     left = written(left, "left", few=True)
     marked = lambda c: [F.col("h").alias(c), F.col("n").alias(f"n{c}"), *[F.col(f"s{k}").alias(f"{c}{k}") for k in range(len(COUNTED))]]
-    held = divided(left, edits).select(*marked("a"), F.explode(keys(index_places(edits))).alias("key"))
-    asked = divided(left, edits).select(*marked("b"), F.explode(keys(probe_places(edits, exact=False))).alias("key"))
+    held = divided(left, edits).select(*marked("a"), F.explode(keys(index_places(edits), letter)).alias("key"))
+    asked = divided(left, edits).select(*marked("b"), F.explode(keys(probe_places(edits, exact=False), letter)).alias("key"))
     close = sum((count_distance(F.col(f"a{k}"), F.col(f"b{k}")) for k in range(len(COUNTED))), F.lit(0).cast("long")) <= 2 * edits
     different = (F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("a") < F.col("b")))
     pairs = written(held.join(asked, "key").filter(different & close).select("a", "b").distinct(), "pairs", few=True)
     of = lambda c: left.select(F.col("h").alias(c), F.col("wide").alias(f"w{c}"), F.col("n").alias(f"n{c}"))
     full = pairs.join(of("a"), "a").join(of("b"), "b")
-    full = full.withColumn("start", common(F.col("wa"), F.col("wb"), F.col("na"), F.col("nb"), end=False))
+    full = full.withColumn("start", common(F.col("wa"), F.col("wb"), F.col("na"), F.col("nb"), letter, end=False))
     rest = lambda c: F.col(f"n{c}") - F.col("start")
-    full = full.select("a", "b", *[part(F.col(f"w{c}"), F.col("start") + 1, rest(c)).alias(f"w{c}") for c in "ab"], *[rest(c).alias(f"n{c}") for c in "ab"])
-    full = full.withColumn("end", common(F.col("wa"), F.col("wb"), F.col("na"), F.col("nb"), end=True))
-    middle = lambda c: part(F.col(f"w{c}"), 1, F.col(f"n{c}") - F.col("end")).alias(f"w{c}")
+    full = full.select("a", "b", *[part(F.col(f"w{c}"), F.col("start") + 1, rest(c), letter).alias(f"w{c}") for c in "ab"], *[rest(c).alias(f"n{c}") for c in "ab"])
+    full = full.withColumn("end", common(F.col("wa"), F.col("wb"), F.col("na"), F.col("nb"), letter, end=True))
+    middle = lambda c: part(F.col(f"w{c}"), 1, F.col(f"n{c}") - F.col("end"), letter).alias(f"w{c}")
     full = full.select("a", "b", middle("a"), middle("b"), (F.col("na") - F.col("end")).alias("n"))
     # Written before they are filtered: a filter would repeat the expressions that make them.
     full = divided(written(full, "middles", few=True), edits)
-    full = full.filter(shares_piece(F.col("wa"), F.col("wb"), F.col("base0"), F.col("rest0"), edits))
+    full = full.filter(shares_piece(F.col("wa"), F.col("wb"), F.col("base0"), F.col("rest0"), edits, letter))
     # b is the line that is not shorter.
-    return full.filter(edit_distance(spelled(F.col("wb")), spelled(F.col("wa")), edits) <= edits).select("a", "b").distinct()
+    return full.filter(edit_distance(spelled(F.col("wb"), letter), spelled(F.col("wa"), letter), edits) <= edits).select("a", "b").distinct()
 
 
 def duplicate_lines(
-    docs: DataFrame, *, id: str = "doc_id", text: str = "text", edits: int = 2, min_bytes: int = 24, exact_bytes: int | None = None,
+    docs: DataFrame, *, id: str = "doc_id", text: str = "text", edits: int = 2, min_bytes: int = 24, exact_bytes: int | None = None, characters: bool = False,
 ) -> DataFrame:
     """(id, no): the lines to remove.
 
     Lines are split at newlines and freed of spaces and carriage returns around them; those of at least ``min_bytes`` bytes
     take part.  Of equal lines the first is kept, by (id, line number); it goes as well if a
-    different line within ``edits`` edits (inserted, deleted or replaced bytes) occurs earlier.  With
+    different line within ``edits`` edits (inserted, deleted or replaced bytes, or ``characters``) occurs earlier.  With
     ``exact_bytes``, lines from that length on go as repeats of an equal line, though too short to have near repeats.  Null ids
     come first; null and empty texts have no lines.
     """
     prepare(docs.sparkSession)
     least = min_bytes if exact_bytes is None else min(exact_bytes, min_bytes)
     lines = lines_of(docs, id, text, least).withColumn("h", F.xxhash64("line"))
-    links = written(near_links(lines.filter(F.col("n") >= min_bytes), edits), "links", few=True)
-    spots = written(lines.drop("wide").select("id", "no", "h", F.xxhash64(F.lit(1), "line").alias("h2")), "spots")
+    links = written(near_links(lines.filter(F.octet_length("line") >= min_bytes), edits, 4 if characters else 1), "links", few=True)
+    spots = written(lines.select("id", "no", "h", F.xxhash64(F.lit(1), "line").alias("h2")), "spots")
     firsts = spots.groupBy("h", "h2").agg(F.min(F.struct("id", "no")).alias("first"), F.count(F.lit(1)).alias("copies"))
     linked = links.select(F.col("a").alias("h")).union(links.select(F.col("b").alias("h"))).distinct().withColumn("linked", F.lit(True))
     told = written(firsts.join(linked, "h", "left").filter("copies > 1 or linked").select("h", "h2", "first", "linked"), "told", few=True)

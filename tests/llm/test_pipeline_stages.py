@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from test_llm_operators import WORD, docs
+from test_llm_operators import WORD, distance, docs
 
 import corpus_pipeline
 from raceframe.llm.common import prepare
@@ -80,3 +80,20 @@ def test_line_dedup_removes_short_repeats(spark):
     pool = ["Les.", "é", "All rights reserved.", "x", "Les", "", "  ", "une ligne de vingt-trois"]
     texts = [None, ""] + ["\n".join([f"own {i}", *(rng.choice(["", " "]) + rng.choice(pool) + rng.choice(["", "\r"]) for _ in range(6))]) for i in range(30)]
     assert stage_lines(spark, texts) == kept_lines(texts, lambda a, b: False)
+
+
+def test_line_dedup_counts_characters(spark):
+    lines = [
+        "L'été dernier nous sommes allés à la mer", "L'ete dernier nous sommes allés à la mer", "Eine schöne Idee für den nächsten Tag", "Eine schone Idee fur den nächsten Tag",
+        "это очень длинная строка текста", "это очень длиннжая стфрока текста", "это очешь длинжая стфрока текста", "这是一个很长的中文句子用于测试", "这是一個很長的中文句子用于测试",
+        "a smile 😀 and another 😀 in a line", "a smile 😁 and another 🙈 in a line", "a smile 😀 and another 😀 in one lane", "日本語の行はとても短いです",
+    ]
+    rng = random.Random(5)
+    for line in lines[:9:2] * 6:
+        s = list(line)
+        for _ in range(rng.randint(1, 4)):
+            at = rng.randrange(len(s))
+            s[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "é", "ж", "語", "😀"])
+        lines.append("".join(s))
+    texts = ["\n".join(lines[k : k + 3]) for k in range(0, len(lines), 3)]
+    assert stage_lines(spark, texts) == kept_lines(texts, lambda a, b: distance(a, b) <= 2)
