@@ -16,6 +16,9 @@ FIB_LOWER, FIB_UPPER = 1_134_903_170, 1_836_311_903
 # Shares are cut at this many steps before they are mapped to points.
 STEPS = 1_000_000_000
 CELLS = 4096
+# A source has at least this many blocks, unless they would be shorter than the least block.
+LEAST_BLOCKS = 256
+LEAST_TOKENS = 16
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -53,18 +56,25 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, mos
 
 def block_tokens(total: float) -> int:
     """Tokens per block: about a million blocks, between 16 and 4096 tokens each."""
-    return min(4096, max(16, int(total) >> 20))
+    return min(4096, max(LEAST_TOKENS, int(total) >> 20))
 
 
-def schedule(targets: DataFrame, total: float, block: int) -> DataFrame:
+def own_block(size: Column, block: int) -> Column:
+    """Tokens per block of one source: ``block``, or less where that is too much of its size."""
+    return F.least(F.lit(block), F.greatest(F.lit(LEAST_TOKENS), F.floor(size / LEAST_BLOCKS))).cast("long")
+
+
+def schedule(targets: DataFrame, block: int) -> DataFrame:
     """One row per slot: ``slot``, ``place`` of its source and ``rank`` among the source's slots.
 
-    Slot i is the point i * golden ratio modulo 1, mapped through the cumulative targets.
+    Slot i is the point i * golden ratio modulo 1, mapped through the cumulative slots of
+    the sources: target by ``own`` block, both scaled by ``block``.
     Ranks come from counts per (source, run of slots) and a row number inside a run, so a
     source with most slots stays spread out.
     """
     spark = targets.sparkSession
-    slots = math.ceil(total / block)
+    targets = targets.withColumn("target", F.col("target") * (F.lit(float(block)) / F.col("own")))
+    slots = math.ceil(targets.agg(F.sum("target")).first()[0] / block)
     run = max(64, slots >> 10)
     by_place = Window.orderBy("place")
     everything = Window.partitionBy()
@@ -109,7 +119,7 @@ def mix(
     """How many words the mix takes of every document.
 
     Returns ``id``, ``size``, ``source_size``, ``target`` and ``taken``.  Each source's
-    documents, shuffled by a hash of the id, are one stream of words cut into equal blocks.
+    documents, shuffled by a hash of the id, are one stream of words cut into equal blocks, shorter ones for small sources.
     Slots of the schedule are ranked per source; rank r takes block r modulo the number of
     blocks, so a source starts again once it is used up, at most ``most`` times.  Empty and
     null texts have size 0 and are never taken; a null source is a source of its own.
@@ -126,18 +136,19 @@ def mix(
     targets = written(source_targets(sizes, weights, share, most), "targets", few=True)
     n, total = sizes.count(), targets.agg(F.sum("target")).first()[0] or 0.0
     block = block_tokens(total)
-    blocks = targets.select("source", "source_size", "place", "target", F.ceil(F.col("source_size") / block).alias("blocks"))
+    blocks = targets.select("source", "source_size", "place", "target", own_block(F.col("source_size"), block).alias("own"))
+    blocks = blocks.withColumn("blocks", F.ceil(F.col("source_size") / F.col("own")))
     if total > 0:
-        slots = schedule(targets, total, block)
+        slots = schedule(blocks, block)
         sized = blocks.select("place", "blocks")
         times = slots.join(sized, "place").filter(F.col("rank") < int(most) * F.col("blocks")).groupBy(
             "place", (F.col("rank") % F.col("blocks")).alias("block")
         ).agg(F.count(F.lit(1)).alias("times"))
         stream = token_stream(sizes, n)
-        of = targets.select(F.col("source").alias("of"), "place")
-        cut = stream.join(of, F.col("source").eqNullSafe(F.col("of"))).select("id", "row", "place", "size", "begin", F.explode(
-            F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block))).alias("block"))
-        words_in = F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("begin"), F.col("block") * block)
+        of = blocks.select(F.col("source").alias("of"), "place", "own")
+        cut = stream.join(of, F.col("source").eqNullSafe(F.col("of"))).select("id", "row", "place", "size", "begin", "own", F.explode(
+            F.sequence(F.floor(F.col("begin") / F.col("own")), F.floor((F.col("begin") + F.col("size") - 1) / F.col("own")))).alias("block"))
+        words_in = F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * F.col("own")) - F.greatest(F.col("begin"), F.col("block") * F.col("own"))
         taken = cut.join(times, ["place", "block"]).groupBy("id", "row", "place", "begin").agg(F.sum(words_in * F.col("times")).alias("taken"))
         # A document is found again by its id, text hash and place; equal rows share evenly.
         taken = taken.groupBy("id", "row", "place").agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("rows"))

@@ -3,9 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from test_llm_operators import WORD, distance, docs
 
 import corpus_pipeline
+from raceframe.llm import mixing
 from raceframe.llm.common import prepare
 
 STAGES = dict(corpus_pipeline.STAGES)
@@ -97,3 +99,13 @@ def test_line_dedup_counts_characters(spark):
         lines.append("".join(s))
     texts = ["\n".join(lines[k : k + 3]) for k in range(0, len(lines), 3)]
     assert stage_lines(spark, texts) == kept_lines(texts, lambda a, b: distance(a, b) <= 2)
+
+
+def test_source_mix_meets_small_targets_with_large_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "block_tokens", lambda total: 4096)
+    sizes = {"a": 600_000, "b": 500, "c": 1000, "d": 2000, "e": 5000, "f": 10_000, "g": 300_000}
+    rows = [(k * 1000 + j, " ".join(["w"] * (n // 50)), s) for k, (s, n) in enumerate(sizes.items()) for j in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.source: r for r in STAGES["source_mix"](spark, df, None).join(df, "doc_id").groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()}
+    for s, r in got.items():
+        assert abs(r.taken - r.target) <= 40 + 0.03 * r.target, (s, r.taken, r.target)
