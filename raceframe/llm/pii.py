@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections.abc import Iterator
@@ -30,6 +31,8 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DIGITS = re.compile(r"[0-9]+")
 TRIGGER = re.compile(r"[0-9@]")
+# The part of an address from a spelled-out sign on, as the look "mail" has it.
+SPELLED = re.compile(r"at(?:(?<=[\[(]at)[\])] ?|(?<= at) )[\w-]++(?:(?:\.| ?[\[(]dot[\])] ?| dot )[\w-]++){1,4}")
 TOKEN = re.compile(r"[^\W_]+|[^\s]")
 Span = tuple[str, int, int]
 
@@ -334,15 +337,15 @@ def train(seed: int = 7, texts: int = 500, rounds: int = 3, rate: float = 0.25)
 
 
 def windows(text: str) -> Iterator[tuple[int, int]]:
-    """Parts of the text within reach of a digit or ``@``, cut at white space where there is one."""
+    """Parts of the text within reach of a digit, ``@`` or spelled-out sign, cut at white space where there is one."""
     start = end = -1
-    for m in TRIGGER.finditer(text):
+    for first, last in heapq.merge(((m.start(), m.start()) for m in TRIGGER.finditer(text)), ((m.start(), m.end() - 1) for m in SPELLED.finditer(text))):
         if end < 0:
-            start, end = m.start(), m.start()
-        elif m.start() - end > 2 * AROUND:
+            start, end = first, first
+        elif first - end > 2 * AROUND:
             yield _part(text, start, end)
-            start = m.start()
-        end = m.start()
+            start = first
+        end = max(end, last)
         if end - start > 4096:
             yield _part(text, start, end)
             start, end = -1, -1
@@ -381,8 +384,8 @@ def find_pii(docs: DataFrame, *, id: str = "doc_id", text: str = "text", seed: i
     ``base`` marks spans of the patterns (email, ip, card, phone).  The semi-Markov CRF
     adds spans that touch none of them: spellings the patterns miss, and secrets (keys,
     tokens, passwords).  It scores whole candidate segments of up to ``LONGEST`` tokens
-    near a digit or ``@``; text out of reach of one is not searched.  Null and empty
-    texts have no spans; every row gets a row, repeated ids too.
+    near a digit, ``@`` or a spelled-out sign with a domain behind it; text out of reach of
+    one holds no candidate.  Null and empty texts have no spans; every row gets a row, repeated ids too.
     """
     spark = prepare(docs.sparkSession)
     model = spark.sparkContext.broadcast(train(seed))
@@ -394,7 +397,7 @@ def find_pii(docs: DataFrame, *, id: str = "doc_id", text: str = "text", seed: i
             found = []
             for value in batch.column(1):
                 t = value.as_py() or ""
-                found.append([dict(zip(names, s)) for s in find_spans(t, model.value)] if TRIGGER.search(t) else [])
+                found.append([dict(zip(names, s)) for s in find_spans(t, model.value)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], ["id", "spans"])
 
     of = dict(docs.dtypes)[id]
