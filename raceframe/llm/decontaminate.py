@@ -68,13 +68,13 @@ def item_shingles(items: DataFrame, id: str, text: str, width: int) -> DataFrame
 
 
 def sketches(shingles: DataFrame, threshold: float) -> DataFrame:
-    """(part, width, hash): each item's smallest hashes, as many as its size class needs.
+    """(part, width, hash): each item's smallest hashes, as many as its own size needs.
 
-    Items are partitioned by the power of two of their size.  A document that holds
-    ``threshold`` of an item misses at most (1 - threshold) * size of its shingles, so of
-    any more than that it has at least one: with that many, the bottom-k MinHash sketch
-    of the class's largest size cannot miss a document.  Equal hashes of different
-    shingles only add candidates.
+    A document that holds ``threshold`` of an item misses at most (1 - threshold) * size
+    of its shingles, so of any more than that it has at least one: with that many, the
+    item's bottom-k MinHash sketch cannot miss a document.  ``part`` is the power of two
+    of the size; probing does not use it.  Equal hashes of different shingles only add
+    candidates.
     """
     part = F.floor(F.log2("size")).cast("int")
     most = F.floor(F.pow(F.lit(2.0), part + 1) - 1)
