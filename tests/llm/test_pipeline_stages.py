@@ -109,3 +109,28 @@ def test_source_mix_meets_small_targets_with_large_blocks(spark, monkeypatch):
     got = {r.source: r for r in STAGES["source_mix"](spark, df, None).join(df, "doc_id").groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()}
     for s, r in got.items():
         assert abs(r.taken - r.target) <= 40 + 0.03 * r.target, (s, r.taken, r.target)
+
+
+def test_benchmark_free_removes_documents_that_hold_an_item(spark, tmp_path):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    items = [" ".join(word() for _ in range(n)) for n in (3, 8, 20, 40, 120)]
+    spark.createDataFrame(list(enumerate([*items, "", None])), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [None, "", "a b", *items]
+    for item in items:
+        for share in (1, 0.9, 0.8, 0.6, 0.3):
+            part = item.split()[: max(1, round(share * len(item.split())))]
+            texts.append(" ".join([*(word() for _ in range(30)), *part, *(word() for _ in range(30))]).upper())
+    texts += [" ".join(word() for _ in range(60)) for _ in range(5)]
+
+    def held(text):
+        words = WORD.findall((text or "").lower())
+        for item in items:
+            width = min(5, len(item.split()))
+            own = shingles(item, width)
+            if len(own & {tuple(words[k : k + width]) for k in range(len(words) - width + 1)}) >= 0.8 * len(own) - 1e-9:
+                return True
+        return False
+
+    kept = {r.doc_id for r in STAGES["benchmark_free"](spark, docs(spark, texts), str(tmp_path)).collect()}
+    assert kept == {i for i, t in enumerate(texts) if not held(t)} and 10 < len(kept) < len(texts) - 10
