@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raceframe.llm import decontaminate, language, lines, mixing, pii, simhash, topk, url_filter, warc, windows
+from raceframe.llm import decontaminate, language, lines, merkle, mixing, pii, simhash, topk, url_filter, warc, windows
 from raceframe.llm.common import prepare, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -244,3 +244,59 @@ FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source LEFT JOIN taken USING (d
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def _crc32(text: Column) -> Column:
+    return F.crc32(text.cast("string").cast("binary"))
+
+
+@query("op11_merkle_manifest", r"""
+WITH RECURSIVE d AS (
+  SELECT *, row_number() OVER () AS row, list_reduce(list_prepend(4294967295, CAST(range(0, 8 * strlen(CAST(doc_id AS VARCHAR))) AS BIGINT[])),
+    lambda a, k: xor(CASE WHEN k % 8 = 0 THEN xor(a, CAST(ascii(substr(CAST(doc_id AS VARCHAR), CAST(k // 8 + 1 AS BIGINT), 1)) AS BIGINT)) ELSE a END >> 1,
+      CASE WHEN (CASE WHEN k % 8 = 0 THEN xor(a, CAST(ascii(substr(CAST(doc_id AS VARCHAR), CAST(k // 8 + 1 AS BIGINT), 1)) AS BIGINT)) ELSE a END) & 1 = 1 THEN 3988292384 ELSE 0 END)) AS crc
+  FROM documents
+), shown AS (
+  SELECT *, CASE WHEN xor(crc, 4294967295) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS changed FROM d
+), fields AS (
+  SELECT doc_id, source, row, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+    || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS tail, coalesce(strlen(changed) || ':' || changed, '-') AS changed_tail FROM shown
+), hashed AS (
+  SELECT doc_id, source, row, sha256(head || tail) AS leaf, sha256(head || changed_tail) AS changed FROM fields
+), leaves AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM hashed
+), inner_nodes AS (
+  SELECT tree, 0 AS level, pos, leaf AS digest, count(*) OVER (PARTITION BY tree) AS n FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (n + 2) // 3 FROM inner_nodes WHERE n > 1 GROUP BY tree, level, pos // 3, n
+), subroots AS (
+  SELECT tree, digest AS subroot, level AS height FROM inner_nodes WHERE n = 1
+), outer_nodes AS (
+  SELECT 0 AS level, tree - 1 AS pos, subroot AS digest, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (n + 2) // 3 FROM outer_nodes WHERE n > 1 GROUP BY level, pos // 3, n
+), nodes AS (
+  SELECT tree, level, pos, digest, n FROM inner_nodes WHERE n > 1
+  UNION ALL
+  SELECT s.tree, s.height + o.level, o.pos, o.digest, o.n FROM outer_nodes o, subroots s
+), steps AS (
+  SELECT l.row, s.height + o.level AS level, (l.tree - 1) // (3 ** o.level)::BIGINT AS pos FROM leaves l JOIN subroots s USING (tree), (SELECT DISTINCT level FROM outer_nodes WHERE n > 1) o
+  UNION ALL
+  SELECT l.row, i.level, l.pos // (3 ** i.level)::BIGINT FROM leaves l JOIN (SELECT DISTINCT tree, level FROM inner_nodes WHERE n > 1) i USING (tree)
+), runs AS (
+  SELECT l.row, s.level, string_agg(n.digest, '' ORDER BY n.pos) FILTER (n.pos < s.pos) AS before, string_agg(n.digest, '' ORDER BY n.pos) FILTER (n.pos > s.pos) AS after
+  FROM steps s JOIN leaves l USING (row) JOIN nodes n ON n.tree = l.tree AND n.level = s.level AND n.pos // 3 = s.pos // 3 GROUP BY l.row, s.level
+), told AS (
+  SELECT row, list([coalesce(before, ''), coalesce(after, '')] ORDER BY level) AS path FROM runs GROUP BY row
+), folded AS (
+  SELECT l.*, coalesce(path, []) AS path, list_reduce(list_prepend([changed], coalesce(path, [])), lambda node, step: [sha256(step[1] || node[1] || step[2])])[1] AS folded_root
+  FROM leaves l LEFT JOIN told USING (row)
+)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda s: s[1] || s[2]), '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM folded JOIN subroots USING (tree), (SELECT digest AS root FROM outer_nodes WHERE n = 1)
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document; every second one has lost its line ends."""
+    text = F.when(_crc32(F.col("doc_id")) % 2 == 0, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.verify(table(spark, sf_dir, "documents"), [*map(F.col, merkle.LEAF_COLUMNS[:-1]), text])
