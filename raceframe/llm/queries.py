@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raceframe.llm import decontaminate, language, lines, merkle, mixing, pii, simhash, topk, url_filter, warc, windows
+from raceframe.llm import decontaminate, language, licenses, lines, merkle, mixing, pii, simhash, topk, url_filter, warc, windows
 from raceframe.llm.common import prepare, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -300,3 +300,16 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, roots and proof of every document; every second one has lost its line ends."""
     text = F.when(_crc32(F.col("doc_id")) % 2 == 0, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
     return merkle.verify(table(spark, sf_dir, "documents"), [*map(F.col, merkle.LEAF_COLUMNS[:-1]), text])
+
+
+@query("op12_license_scan")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s.base)
+    labels = lambda spans: F.array_join(F.sort_array(F.array_distinct(F.transform(spans, lambda s: s.label))), ",")
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(base.start).alias("first_word"), F.array_max(base.start).alias("last_word"),
+        labels(base).alias("base_labels"), labels(F.col("spans")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s.cover)), F.lit(0.0)).alias("score"),
+    )

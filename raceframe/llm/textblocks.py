@@ -55,13 +55,13 @@ def pieces(batch: pa.RecordBatch, text: str, limit: int):
         at = to
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of every word; a word never crosses a row."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of every word, a run of bytes outside ``gaps``; a word never crosses a row."""
     n = len(data)
     if n == 0:
         none = np.zeros(0, dtype=np.int64)
         return none, none, none
-    gap = SPACE[data]
+    gap = gaps[data]
     before = np.empty(n, dtype=bool)
     before[0], before[1:] = True, gap[:-1]
     after = np.empty(n, dtype=bool)
