@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raceframe.llm import decontaminate, language, licenses, lines, merkle, mixing, pii, simhash, topk, url_filter, warc, windows
+from raceframe.llm import decontaminate, language, licenses, lines, merkle, mixing, pii, simhash, topk, url_filter, warc, whitening, windows
 from raceframe.llm.common import prepare, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -313,3 +313,9 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
         labels(base).alias("base_labels"), labels(F.col("spans")).alias("labels"),
         F.coalesce(F.array_max(F.transform("spans", lambda s: s.cover)), F.lit(0.0)).alias("score"),
     )
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four whitened components of every vector."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
