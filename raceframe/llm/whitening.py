@@ -5,18 +5,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector
-from pyspark.mllib.linalg import Matrices
-from pyspark.mllib.linalg.distributed import BlockMatrix, IndexedRowMatrix
-from pyspark.mllib.util import MLUtils
+from pyspark import StorageLevel
+from pyspark.mllib.linalg import DenseMatrix, Matrix
+from pyspark.mllib.linalg.distributed import BlockMatrix
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from raceframe.llm.common import prepare, written
 from raceframe.llm.topk import usable
 
-# Rows of a block, and blocks of rows that one task multiplies and adds up.
-ROWS, BLOCKS = 1024, 16
+# Values of a block, and blocks of rows that one task multiplies and adds up.
+VALUES, BLOCKS = 1 << 16, 16
 # Rows of a range while rows are numbered, and most ranges.
 RANGE_ROWS, MOST_RANGES = 25_000, 20_000
 # Eigenvalues below this share of the trace count as zero.
@@ -40,10 +39,27 @@ def numbered(rows: DataFrame, order: str) -> DataFrame:
     return out.withColumn("index", (F.col("start") + F.col("inside")).cast("long")).drop("range", "start", "inside")
 
 
+def block_rows(dim: int) -> int:
+    """Rows of a block: so many that it holds about ``VALUES`` values."""
+    return max(1, VALUES // dim)
+
+
 def block_matrix(rows: DataFrame, vector: Column, count: int, dim: int) -> BlockMatrix:
-    """Rows (index, ``vector``) as blocks of ``ROWS`` rows over all columns."""
-    indexed = MLUtils.convertVectorColumnsFromML(rows.select("index", array_to_vector(vector).alias("vector")), "vector")
-    return IndexedRowMatrix(indexed, count, dim).toBlockMatrix(ROWS, dim)
+    """Rows (index, ``vector``) as blocks of consecutive rows over all columns, kept while they are used.
+
+    Rows meet in their block as one array of doubles: ``IndexedRowMatrix.toBlockMatrix``
+    would send every value as an object of its own.
+    """
+    per = block_rows(dim)
+    place = F.struct((F.col("index") % per).alias("at"), vector.alias("v"))
+    blocks = rows.groupBy(F.floor(F.col("index") / per).cast("long").alias("block")).agg(F.sort_array(F.collect_list(place)).alias("rows"))
+    blocks = blocks.select("block", F.flatten("rows.v").alias("values"))
+
+    def dense(row) -> tuple[tuple[int, int], DenseMatrix]:
+        values = np.array(row["values"], dtype=np.float64).reshape(-1, dim)
+        return (row["block"], 0), DenseMatrix(len(values), dim, values.ravel(order="F"))
+
+    return BlockMatrix(blocks.rdd.map(dense), per, dim, count, dim).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def scatter(matrix: BlockMatrix) -> np.ndarray:
@@ -52,9 +68,10 @@ def scatter(matrix: BlockMatrix) -> np.ndarray:
     The middle dimension is split, so that the products of a bounded number of blocks are
     added per task before their sums meet; the plain call would bring all blocks to one.
     """
-    splits = max(1, -(-matrix.numRows() // (ROWS * BLOCKS)))
+    dim = matrix.numCols()
+    splits = max(1, -(-matrix.numRows() // (block_rows(dim) * BLOCKS)))
     product = matrix.transpose()._java_matrix_wrapper.call("multiply", matrix._java_matrix_wrapper._java_model, splits)
-    return BlockMatrix(product, matrix.numCols(), matrix.numCols()).toLocalMatrix().toArray()
+    return BlockMatrix(product, dim, dim).toLocalMatrix().toArray()
 
 
 @dataclass(frozen=True)
@@ -96,7 +113,8 @@ def fit(vectors: DataFrame, n: int, dim: int) -> Whitening:
     sums = [0] * dim
     for row in totals:
         sums[row["at"]] = row["sum"]
-    covariance = scatter(block_matrix(vectors, centred("x", sums, n), n, dim)) / n
+    matrix = block_matrix(vectors, centred("x", sums, n), n, dim)
+    covariance = scatter(matrix) / n
     values, columns = np.linalg.eigh((covariance + covariance.T) / 2)
     values, columns = values[::-1], columns[:, ::-1]
     # Either sign would do: the largest entry is positive, so that reruns agree.
@@ -108,12 +126,16 @@ def fit(vectors: DataFrame, n: int, dim: int) -> Whitening:
 def project(rows: DataFrame, x: Column, count: int, model: Whitening, components: int) -> DataFrame:
     """(index, whitened): each row's block of centred vectors multiplied by the whitening matrix."""
     spark, dim = rows.sparkSession, len(model.sums)
-    weights = model.matrix(components)
-    block = Matrices.dense(dim, components, weights.flatten(order="F").tolist())
-    right = BlockMatrix(spark.sparkContext.parallelize([((0, 0), block)]), dim, components, dim, components)
-    product = block_matrix(rows, x, count, dim).multiply(right).toIndexedRowMatrix()
-    found = product.rows.map(lambda row: (row.index, row.vector.toArray().tolist()))
-    return spark.createDataFrame(found, "index long, whitened array<double>")
+    block = DenseMatrix(dim, components, model.matrix(components).ravel(order="F"))
+    right = BlockMatrix(spark.sparkContext.parallelize([((0, 0), block)], 1), dim, components, dim, components)
+    product = block_matrix(rows, x, count, dim).multiply(right)
+    per = block_rows(dim)
+
+    def rows_of(block: tuple[tuple[int, int], Matrix]):
+        (at, _), matrix = block
+        return [(at * per + k, values) for k, values in enumerate(matrix.toArray().tolist())]
+
+    return spark.createDataFrame(product.blocks.flatMap(rows_of), "index long, whitened array<double>")
 
 
 def whiten(vectors: DataFrame, *, id: str = "vec_id", embedding: str = "embedding", components: int = 4) -> DataFrame:

@@ -217,7 +217,7 @@ def plain_whitening(vectors, components=4):
 
 
 def test_whitening_equals_numpy(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(whitening, "ROWS", 16)
+    monkeypatch.setattr(whitening, "VALUES", 96)
     monkeypatch.setattr(whitening, "BLOCKS", 2)
     monkeypatch.setattr(whitening, "RANGE_ROWS", 50)
     rng = np.random.default_rng(3)
