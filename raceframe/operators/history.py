@@ -11,7 +11,7 @@ key is spread over its days.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,9 +66,10 @@ def ratio(num: str | Column, den: str | Column) -> Column:
     return F.when(den > 0, num.cast("double") / den)
 
 
-def spread(n: str, total: str, squares: str) -> Column:
+def spread(n: str | Column, total: str | Column, squares: str | Column) -> Column:
     """Sample standard deviation from count, sum and sum of squares."""
-    n_, s, q = F.col(n), F.col(total).cast("double"), F.col(squares).cast("double")
+    n_, s, q = (F.col(c) if isinstance(c, str) else c for c in (n, total, squares))
+    s, q = s.cast("double"), q.cast("double")
     return F.when(n_ > 1, F.sqrt(F.greatest((q - s * s / n_) / (n_ - 1), F.lit(0.0))))
 
 
@@ -183,6 +184,35 @@ def recent_days(
     )
 
 
+def recent_lists(df: DataFrame, keys: Sequence[str], lists: Mapping[str, tuple[int, Sequence[str], Column]]) -> DataFrame:
+    """Per (keys, day): for each name the latest ``n`` runs before the day that pass a test, newest first.
+
+    ``lists`` maps a name to (n, fields, test).  Every day keeps at most ``n`` runs per list,
+    and all lists share one shuffle by day and one by key.  NULL keys have no rows.
+    """
+    keys = list(keys)
+    fields = list(dict.fromkeys(["event", *[f for _, names, _ in lists.values() for f in names]]))
+    rows = df.filter(" AND ".join(f"{k} IS NOT NULL" for k in keys)).select(
+        *dict.fromkeys([*keys, "day", *fields]), *[test.alias(f"__t_{name}") for name, (_, _, test) in lists.items()])
+    late = [F.col(f).desc() for f in fields]
+    place = {name: F.row_number().over(Window.partitionBy(*keys, "day").orderBy(F.col(f"__t_{name}").desc_nulls_last(), *late)) for name in lists}
+    kept = rows.select("*", *[c.alias(f"__k_{name}") for name, c in place.items()])
+    held = {name: F.col(f"__t_{name}") & (F.col(f"__k_{name}") <= n) for name, (n, _, _) in lists.items()}
+    first = f"__k_{next(iter(lists))}"
+    kept = kept.withColumns({f"__t_{name}": F.coalesce(c, F.lit(False)) for name, c in held.items()})
+    kept = kept.filter(" OR ".join([f"{first} = 1", *[f"__t_{name}" for name in lists]])).repartition(*keys)
+    upto, before = {}, {}
+    for name, (n, names, _) in lists.items():
+        run = F.struct("day", *[F.col(f) for f in names if f != "day"])
+        same = Window.partitionBy(*keys, f"__t_{name}").orderBy("day", *fields).rowsBetween(-(n - 1), 0)
+        upto[f"__u_{name}"] = F.when(F.col(f"__t_{name}"), F.reverse(F.collect_list(run).over(same)))
+        past = Window.partitionBy(*keys).orderBy("day").rangeBetween(Window.unboundedPreceding, -1)
+        order = F.when(F.col(f"__t_{name}"), F.struct("day", *fields))
+        before[name] = F.coalesce(F.max_by(f"__u_{name}", order).over(past), F.slice(F.array(run), 1, 0))
+    days = kept.select("*", *[c.alias(n) for n, c in upto.items()]).select(*keys, "day", first, *[c.alias(n) for n, c in before.items()])
+    return days.filter(F.col(first) == 1).drop(first)
+
+
 def recent_date_strict(
     df: DataFrame, n: int, fields: Sequence[str], keys: Sequence[str] = ("entity",), valid: Column | None = None
 ) -> DataFrame:
@@ -317,47 +347,6 @@ def weight_form(df: DataFrame, change: str, prefix: str = "h_") -> DataFrame:
     )
 
 
-def overall_and_recent(df: DataFrame, keys: Sequence[str], prefix: str, days: int, source: DataFrame | None = None) -> DataFrame:
-    """Date-strict starts, wins and rates over all days before and over the last ``days``, from one set of daily totals."""
-    base = df if source is None else source
-    keys = list(keys)
-    measures = result_measures(base, ["n", "wins", "in3"])
-    daily = base.groupBy(*keys, "day").agg(*[_AGG[fn](c).alias(n) for n, (fn, c) in measures.items()])
-    ordered = Window.partitionBy(*keys).orderBy("day")
-    spans = {"": ordered.rangeBetween(Window.unboundedPreceding, -1), f"recent{days}d_": ordered.rangeBetween(-days, -1)}
-    sums = [
-        F.coalesce(F.sum(m).over(w), F.lit(0).cast("long")).alias(f"__{span}{m}") for span, w in spans.items() for m in measures
-    ]
-    t = daily.select(*keys, "day", *sums)
-    out, counts = [], []
-    for span in spans:
-        n = f"__{span}n"
-        out += [
-            F.col(n).alias(f"{prefix}{span}n_starts"), ratio(f"__{span}wins", n).alias(f"{prefix}{span}win_rate"),
-            ratio(f"__{span}in3", n).alias(f"{prefix}{span}in3_rate"),
-        ]
-        counts.append(f"{prefix}{span}n_starts")
-    out.append(F.col("__wins").alias(f"{prefix}n_wins"))
-    return _attach(df, t.select(*keys, "day", *out), keys, [*counts, f"{prefix}n_wins"])
-
-
-def actor_block(df: DataFrame, key: str, prefix: str, pair: str, pair_prefix: str, days: int = 30) -> DataFrame:
-    """Record of an actor or owner: overall, over the last days, by condition, and as a pair."""
-    rates = ("win_rate", "in3_rate")
-    out = overall_and_recent(df, [key], prefix, days, source=df)
-    for condition, suffix in (("dist_cat", "_dist"), ("surface", "_surface"), ("place", "_course")):
-        out = conditional(out, condition, [key], prefix, suffix, rates, source=df)
-    return conditional(out, None, [key, pair], pair_prefix, stats=rates, source=df)
-
-
-def condition_block(df: DataFrame) -> DataFrame:
-    """Record of the entity by distance category, surface, going and place."""
-    out = conditional(df, "dist_cat", suffix="_dist", stats=("win_rate", "in3_rate", "avg_finish", "avg_last3f"), source=df)
-    for column, suffix in (("surface", "_surface"), ("going", "_track"), ("place", "_course")):
-        out = conditional(out, column, suffix=suffix, source=df)
-    return out
-
-
 def base_recent_form(df: DataFrame, n: int = 3) -> DataFrame:
     """Mean and spread of the last outcomes with defaults for an entity without history."""
     r = recent_date_strict(df, n, ["outcome", "last3f"])

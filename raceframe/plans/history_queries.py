@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from raceframe.functions import columns as C
 from raceframe.operators import history as H
+from raceframe.operators import records
 from raceframe.plans.base import ENTRIES, entries, r6
 from raceframe.plans.registry import query
 
@@ -92,9 +93,10 @@ _cond_cols += [
 )
 def conditional_asof(spark, sf_dir):
     df = with_dist(entries(spark, sf_dir)).select(*KEY, "day", "outcome", "last3f", "dist_cat", "surface", "going", "place")
-    out = H.condition_block(df)
-    counts = [f"h_n_starts{s}" for s in ("_dist", "_surface", "_track", "_course")]
-    rates = [f"h_{k}{s}" for s in ("_dist", "_surface", "_track", "_course") for k in ("win_rate", "in3_rate")]
+    names = {"_dist": "dist_cat", "_surface": "surface", "_track": "going", "_course": "place"}
+    out = records.records(df, [records.Record("h_", ["entity"], names, detailed=["_dist"])])
+    counts = [f"h_n_starts{s}" for s in names]
+    rates = [f"h_{k}{s}" for s in names for k in ("win_rate", "in3_rate")]
     return _round(out, KEY + counts, [*rates, "h_avg_finish_dist", "h_avg_last3f_dist"])
 
 
@@ -181,8 +183,10 @@ def _actor_sql(key, prefix, pair, pair_prefix):
 
 def _actor(spark, sf_dir, key, prefix, pair, pair_prefix):
     df = with_dist(entries(spark, sf_dir)).select(*KEY, "actor", "owner", "day", "outcome", "dist_cat", "surface", "place")
-    out = H.actor_block(df, key, prefix, pair, pair_prefix)
-    new = [c for c in out.columns if c not in df.columns]
+    names = {"_dist": "dist_cat", "_surface": "surface", "_course": "place"}
+    wanted = [records.Record(prefix, [key], names, days=30), records.Record(pair_prefix, [key, pair])]
+    out = records.records(df, wanted).drop(f"{pair_prefix}n_wins")
+    new = [c for c in out.columns if c not in KEY]
     counts = [c for c in new if "n_starts" in c or "n_wins" in c]
     return _round(out, KEY + counts, [c for c in new if c not in counts])
 

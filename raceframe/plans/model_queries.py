@@ -6,7 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from raceframe.operators import features, models
+from raceframe.functions import constants as K
+from raceframe.operators import features, models, profiles
+from raceframe.plans import history_queries, registry
 from raceframe.plans.base import ENTRIES, entries, r6, stored, table
 from raceframe.plans.registry import query
 from raceframe.session import work_dir
@@ -23,24 +25,87 @@ def round_doubles(df):
     return df.select(*[r6(n).alias(n) if t == "double" else F.col(n) for n, t in df.dtypes])
 
 
+def _wide(spark, sf_dir):
+    """Entries with the attributes of the entry and the course that the other queries do not need."""
+    pick = lambda c, *names: F.element_at(F.array(*[F.lit(n) for n in names]), (c % len(names) + 1).cast("int"))
+    e, v = F.col("entity"), F.col("event")
+    return entries(spark, sf_dir).withColumns(
+        {
+            "course_turn": pick(v, "右", "左", "直", "?"), "course_inout": pick(v + 1, "内", "外", "直", "?", None), "race_no": (v % 12 + 1).cast("int"),
+            "grade": pick(v + 2, "G1", "G2", "G3", "OP", "L", "無"), "waku": (F.floor((F.col("post") - 1) / 2) + 1).cast("int"), "sex": pick(e, "牡", "牝", "セ", None),
+            "age": (e % 8 + 2).cast("int"), "weight_carried": 50 + F.col("qty") / 10,
+        }
+    )
+
+
+_WIDE = """, wide AS (SELECT *, [{turn}][event % 4 + 1] AS course_turn, [{inout}][(event + 1) % 5 + 1] AS course_inout, CAST(event % 12 + 1 AS INTEGER) AS race_no,
+  [{grade}][(event + 2) % 6 + 1] AS grade, CAST((post - 1) // 2 + 1 AS INTEGER) AS waku, [{sex}][entity % 4 + 1] AS sex, CAST(entity % 8 + 2 AS INTEGER) AS age,
+  50 + qty / 10 AS weight_carried FROM entries)""".format(turn="'右', '左', '直', '?'", inout="'内', '外', '直', '?', NULL", grade="'G1', 'G2', 'G3', 'OP', 'L', '無'", sex="'牡', '牝', 'セ', NULL")
+
+
 def _features(spark, sf_dir):
-    return features.feature_table(entries(spark, sf_dir), "tax")
+    return features.feature_table(_wide(spark, sf_dir), "tax", market=True)
 
 
 def frame(spark, sf_dir):
-    """The feature table, stored once per application for the models."""
+    """The feature table, stored once per application for the models and profiles."""
     return stored(spark, sf_dir, "features", _features)
 
 
-@query("feature_table", "J3 W1 W2 W3 W4 W5 W7 W8 P4 P5",
-       ENTRIES + """, h AS (SELECT a.event, a.entity, count(b.event) AS n, avg(b.outcome) AS m, CAST(sum(b.prize) AS BIGINT) AS pr, count(b.event) FILTER (WHERE b.going = a.going) AS g FROM entries a LEFT JOIN entries b ON a.entity=b.entity AND b.day<a.day GROUP BY 1,2),
-j AS (SELECT a.event, a.entity, count(b.event) AS n, count(b.event) FILTER (WHERE b.entity=a.entity) AS c FROM entries a LEFT JOIN entries b ON a.actor=b.actor AND b.day<a.day GROUP BY 1,2),
-t AS (SELECT a.event, a.entity, count(b.event) FILTER (WHERE b.day >= a.day-30) AS n FROM entries a LEFT JOIN entries b ON a.owner=b.owner AND b.day<a.day GROUP BY 1,2)
-SELECT e.event, e.entity, CAST(isodow(event_date)-1 AS INTEGER) AS race_day_of_week, h.n AS h_n_starts, round(h.m,6) AS h_avg_finish, h.pr AS h_total_prize, h.g AS h_n_starts_track, j.n AS j_n_starts, j.c AS jh_n_starts, t.n AS t_recent30d_n_starts, CAST(outcome=1 AS INTEGER) AS target_win
-FROM entries e JOIN h USING (event,entity) JOIN j USING (event,entity) JOIN t USING (event,entity)""")
+def _code_sql(column, codes, name):
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in codes.items()) + f" END AS {name}"
+
+
+# The parts are the checked queries of the single blocks.
+_RENAMED = {"j": "j_recent30d_n_starts AS j_recent30d_n_rides, jh_n_starts AS jh_n_combos, jh_win_rate AS jh_combo_win_rate, jh_in3_rate AS jh_combo_in3_rate",
+            "t": "t_recent30d_n_starts AS t_recent30d_n_entries, tj_n_starts AS tj_n_combos, tj_win_rate AS tj_combo_win_rate, tj_in3_rate AS tj_combo_in3_rate"}
+_GONE = {"j": "j_recent30d_n_starts, jh_n_starts, jh_win_rate, jh_in3_rate, j_n_starts_surface, j_n_starts_course",
+         "t": "t_recent30d_n_starts, tj_n_starts, tj_win_rate, tj_in3_rate, t_n_starts_surface, t_n_starts_course"}
+_PARTS = ", ".join(f"{n} AS ({registry.ORACLES[q]})" for n, q in (
+    ("p1", "career_asof"), ("p2", "conditional_asof"), ("p3", "recent_form_asof"), ("p4", "weight_asof"), ("p5", "prize_last3f_asof"), ("p6", "actor_asof"), ("p7", "owner_asof")))
+FEATURE_SQL = ENTRIES + _WIDE + f""", parts AS (WITH {_PARTS}
+  SELECT * EXCLUDE ({_GONE["j"]}, {_GONE["t"]}) REPLACE (coalesce(h_total_prize, 0) AS h_total_prize, coalesce(h_recent3_total_prize, 0) AS h_recent3_total_prize), {_RENAMED["j"]}, {_RENAMED["t"]}
+  FROM p1 JOIN p2 USING (event, entity) JOIN p3 USING (event, entity) JOIN p4 USING (event, entity) JOIN p5 USING (event, entity) JOIN p6 USING (event, entity) JOIN p7 USING (event, entity))
+SELECT parts.*, event_date, place, surface, distance, going, race_class, field_size, post, course_turn, course_inout, race_no, grade, waku, sex, age, weight_carried,
+  {_code_sql("place", K.PLACE_CODES, "place_id")}, {_code_sql("surface", K.SURFACE_CODES, "surface_id")}, {_code_sql("going", K.GOING_CODES, "track_condition_id")},
+  {_code_sql("course_turn", K.TURN_CODES, "course_turn_id")}, {_code_sql("course_inout", K.INOUT_CODES, "course_inout_id")}, {_code_sql("grade", K.GRADE_CODES, "grade_id")},
+  {_code_sql("sex", K.SEX_CODES, "sex_id")},
+  CASE race_class WHEN 'G1' THEN 0 WHEN 'GII' THEN 1 WHEN 'G3' THEN 2 WHEN 'オープン' THEN 3 WHEN '3勝クラス' THEN 4 WHEN '2勝クラス' THEN 5 WHEN '1勝クラス' THEN 6 WHEN '未勝利' THEN 7 ELSE 8 END AS race_class_id,
+  {history_queries._DIST.format(d="distance")} AS dist_cat, CAST(year(event_date) AS INTEGER) AS race_year, CAST(month(event_date) AS INTEGER) AS race_month, CAST(isodow(event_date) - 1 AS INTEGER) AS race_day_of_week,
+  weight AS h_body_weight, tax AS h_body_weight_diff, round(weight - h_avg_body_weight_raw, 6) AS h_body_weight_dev, round(post / field_size, 6) AS umaban_norm,
+  CAST(outcome = 1 AS INTEGER) AS target_win, CAST(outcome <= 3 AS INTEGER) AS target_in3, CAST(outcome <= 2 AS INTEGER) AS target_quinella, odds AS market_win_odds, popularity AS market_popularity,
+  {", ".join(f"CAST(NULL AS {'INTEGER' if t == 'int' else 'DOUBLE'}) AS {c}" for c, t in features.UNFILLED.items())}
+FROM parts JOIN wide USING (event, entity)
+  JOIN (SELECT a.event, a.entity, avg(b.weight) AS h_avg_body_weight_raw FROM entries a LEFT JOIN entries b ON a.entity = b.entity AND b.day < a.day GROUP BY a.event, a.entity) USING (event, entity)"""
+
+
+@query("feature_table", "J3 W1 W2 W3 W4 W5 W6 W7 W8 P4 P5", FEATURE_SQL)
 def feature_table(spark, sf_dir):
-    out = frame(spark, sf_dir)
-    return round_doubles(out.select(*KEY, "race_day_of_week", "h_n_starts", "h_avg_finish", "h_total_prize", "h_n_starts_track", "j_n_starts", "jh_n_starts", "t_recent30d_n_starts", "target_win"))
+    """Every column of the wide table but the roles it is made from."""
+    roles = ["actor", "owner", "day", "outcome", "price", "qty", "last3f", "prize", "weight", "odds", "popularity", "tax", "flag", "status", "p", "corner1", "corner4", "passing"]
+    return round_doubles(frame(spark, sf_dir).drop(*roles))
+
+
+def _comments_sql(rules):
+    return "concat_ws('|', " + ", ".join(
+        f"CASE WHEN {r.given} THEN CASE " + " ".join(f"WHEN {test} THEN '{text}'" for test, text in r.chain) + " END END" for r in rules) + ")"
+
+
+@query("entity_profiles", "P27", f"""WITH f AS ({FEATURE_SQL}), c AS (SELECT event, entity, h_n_starts, {_comments_sql(profiles.PROFILE_RULES)} AS comments FROM f),
+o AS (SELECT *, array_to_string([x FOR x IN [CASE x WHEN '末脚鋭い' THEN '末脚型' WHEN '距離◎' THEN '距離適性高い' WHEN '初出走' THEN '初出走馬' ELSE x END FOR x IN string_split(comments, '|')
+  IF x IN ('近走好調', '末脚鋭い', '距離◎', '初出走') OR ends_with(x, '脚質')]], '。') AS ov FROM c)
+SELECT event, entity, comments, CASE WHEN ov <> '' THEN ov || '。' WHEN h_n_starts = 0 THEN 'データなし。' WHEN h_n_starts <= 3 THEN 'キャリア浅い。' ELSE '経験馬。' END AS overview,
+  CAST(CASE WHEN comments = '' THEN 0 ELSE len(string_split(comments, '|')) END AS BIGINT) AS n_evidence FROM o""")
+def entity_profiles(spark, sf_dir):
+    """Comments, evidence and overview of every entry, from the feature table."""
+    out = profiles.overview(profiles.apply_rules(frame(spark, sf_dir), profiles.PROFILE_RULES))
+    return out.select(*KEY, F.array_join("comments", "|").alias("comments"), "overview", F.size("evidence").cast("long").alias("n_evidence"))
+
+
+@query("entry_tags", "P27", f"WITH f AS ({FEATURE_SQL}) SELECT event, entity, {_comments_sql(profiles.TAG_RULES)} AS tags FROM f")
+def entry_tags(spark, sf_dir):
+    out = profiles.apply_rules(frame(spark, sf_dir), profiles.TAG_RULES, "tags")
+    return out.select(*KEY, F.array_join("tags", "|").alias("tags"))
 
 
 def _train_test(spark, sf_dir):

@@ -1,11 +1,11 @@
-"""Scenarios, profiles, catalogue and memos."""
+"""Scenarios, catalogue and memos."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from raceframe.functions import columns as C
-from raceframe.operators import catalogue, memo, profiles, quality, scenario
+from raceframe.operators import catalogue, memo, quality, scenario
 from raceframe.operators.grouping import rank_in_group
 from raceframe.plans.base import ENTRIES, entries, r6, table
 from raceframe.plans.registry import query
@@ -178,39 +178,6 @@ def probability_check(spark, sf_dir):
     return scenario.validate(_integrated(spark, sf_dir).withColumn("normalized_prob", F.least("normalized_prob", F.lit(1.0))), "normalized_prob")
 
 
-# --- profiles -----------------------------------------------------------------------------------
-
-
-_PF = """, f AS (SELECT event, entity, CAST(outcome AS DOUBLE) AS a, tax AS best, last3f AS l, tax*30 AS d, CASE WHEN tax > 2 THEN 0.3 ELSE 0.1 END AS wd, CASE WHEN tax < 2 THEN 0.6 ELSE 0.1 END AS id, field_size AS nd, post % 6 AS sid, corner4 - corner1 AS pc, popularity AS st FROM entries)"""
-
-
-def _profiled(spark, sf_dir):
-    t = F.col("tax")
-    return entries(spark, sf_dir).select(
-        *KEY, F.col("outcome").cast("double").alias("h_recent3_avg_finish"), t.alias("h_recent3_best_finish"), F.col("last3f").alias("h_recent3_avg_last3f"),
-        (t * 30).alias("h_days_since_last"), F.when(t > 2, 0.3).otherwise(0.1).alias("h_win_rate_dist"), F.when(t < 2, 0.6).otherwise(0.1).alias("h_in3_rate_dist"),
-        F.col("field_size").alias("h_n_starts_dist"), (F.col("post") % 6).alias("h_running_style_id"), (F.col("corner4") - F.col("corner1")).alias("h_pos_change_tendency"),
-        F.col("popularity").alias("h_n_starts"),
-    )
-
-
-@query("entity_profiles", "P27",
-       ENTRIES + _PF + """, c AS (SELECT event, entity, st, concat_ws('|', CASE WHEN a <= 2 THEN '近走好調' WHEN a <= 4 THEN '近走安定' WHEN a >= 10 THEN '近走不振' END, CASE WHEN best = 1 THEN '近走勝ち馬' END, CASE WHEN l <= 34 THEN '末脚鋭い' WHEN l >= 37 THEN '上がり平凡' END,
- CASE WHEN d >= 180 THEN '長期休み明け' WHEN d >= 90 THEN '休み明け' WHEN d <= 14 THEN '連闘' END, CASE WHEN nd >= 3 THEN CASE WHEN wd >= 0.25 THEN '距離◎' WHEN id >= 0.5 THEN '距離○' WHEN id < 0.2 AND nd >= 5 THEN '距離△' END END,
- CASE sid WHEN 0 THEN '逃げ脚質' WHEN 1 THEN '先行脚質' WHEN 2 THEN '差し脚質' WHEN 3 THEN '追込脚質' END, CASE WHEN pc <= -3 THEN '捲り脚' WHEN pc >= 2 THEN '終い甘い' END) AS comments,
- concat_ws('。', CASE WHEN a <= 2 THEN '近走好調' END, CASE WHEN l <= 34 THEN '末脚型' END, CASE WHEN nd >= 3 AND wd >= 0.25 THEN '距離適性高い' END, CASE sid WHEN 0 THEN '逃げ脚質' WHEN 1 THEN '先行脚質' WHEN 2 THEN '差し脚質' WHEN 3 THEN '追込脚質' END) AS ov FROM f)
-SELECT event, entity, comments, CASE WHEN ov <> '' THEN ov || '。' WHEN st <= 3 THEN 'キャリア浅い。' ELSE '経験馬。' END AS overview, CAST(CASE WHEN comments = '' THEN 0 ELSE len(string_split(comments,'|')) END AS BIGINT) AS n_evidence FROM c""")
-def entity_profiles(spark, sf_dir):
-    out = profiles.overview(profiles.apply_rules(_profiled(spark, sf_dir), profiles.PROFILE_RULES))
-    return out.select(*KEY, F.array_join("comments", "|").alias("comments"), "overview", F.size("evidence").cast("long").alias("n_evidence"))
-
-
-@query("entry_tags", "P27", ENTRIES + _PF + " SELECT event, entity, concat_ws('|', CASE WHEN d > 90 THEN '休み明け' WHEN d > 60 THEN '間隔あり' END, CASE WHEN a <= 2 THEN '近走好調' WHEN a >= 8 THEN '近走不振' END, CASE WHEN l <= 34 THEN '末脚○' WHEN l >= 37 THEN '末脚△' END) AS tags FROM f")
-def entry_tags(spark, sf_dir):
-    out = profiles.apply_rules(_profiled(spark, sf_dir), profiles.TAG_RULES, "tags")
-    return out.select(*KEY, F.array_join("tags", "|").alias("tags"))
-
-
 @query("weight_flags", "P24", ENTRIES + "SELECT event, entity, coalesce(weight/100.0 > 4.0,FALSE) AS is_weight_volatile, coalesce(tax-4 > 2,FALSE) AS is_gaining_weight, coalesce(tax-4 < -2,FALSE) AS is_losing_weight, round(coalesce((weight+CASE WHEN tax>2 THEN qty END)/2, weight, CASE WHEN tax>2 THEN qty END),6) AS mean FROM entries")
 def weight_flags(spark, sf_dir):
     w = F.col("weight")

@@ -12,6 +12,9 @@ SETTINGS = {
     # The joins that bring group statistics back to the rows must be split even
     # when a later step could have reused their partitioning.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Generated methods above this many bytes are not compiled by the JVM, and rows of many
+    # columns would run in its interpreter; beyond the limit the steps run one by one.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 def configure(spark: SparkSession) -> SparkSession:
