@@ -308,6 +308,7 @@ RULES = [
     memo.Rule("lane_bias", "inner", "the an", "inner lane"), memo.Rule("lane_bias", "outer", "thathe", "outer lane"), memo.Rule("lane_bias", "outer", "and th", "outer lane"),
     memo.Rule("pace", "S", "esth", "slow"), memo.Rule("pace", "H", "ention", "high"), memo.Rule("pace", "H", "ie la", "high"),
     memo.Rule("track_condition", "重", "wher", "heavy"), memo.Rule("tag", "quick", "ing th", "quick", False), memo.Rule("tag", "late", "ou ", "late", False),
+    memo.Rule("pedigree", "ana", "ana", "pedigree ana", reason="seen", needs_feature=True), memo.Rule("frame_hint", "inner", "er th", "frame", False, is_warning=True, warning="only a hint"),
 ]
 WORDS = memo.Wording(after=["ere", "on"], before=["ti", "no"], doubt=["qu"], intensity={1.5: ["en "], 0.5: ["s ", "e"]})
 PAIRS = [("lane_bias.inner", "lane_bias.outer", "lane"), ("pace.S", "pace.H", "pace")]
@@ -360,13 +361,17 @@ def memo_conflicts(spark, sf_dir):
 
 
 @query("memo_chips", "X5", _CONF + """, f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, category, value ORDER BY rule, position) AS k FROM m)
-SELECT doc_id, CASE WHEN is_negated THEN 'negated.' ELSE '' END || category || '.' || value AS chip, label || CASE WHEN is_negated THEN '否定' ELSE '' END AS label, CASE WHEN is_negated THEN 'negation' ELSE category END AS kind, CASE WHEN is_negated THEN intensity ELSE least(1.0, intensity) END AS confidence, is_negated AS is_warning FROM f WHERE k = 1
-UNION ALL SELECT doc_id, 'conflict.' || a || '_' || b, '矛盾注意', 'conflict', 1.0, TRUE FROM x""")
+SELECT doc_id, CASE WHEN is_negated THEN 'negated.' ELSE '' END || category || '.' || value AS chip, CASE WHEN is_negated THEN CASE category || '.' || value WHEN 'lane_bias.inner' THEN '内伸び' WHEN 'lane_bias.outer' THEN '外伸び' WHEN 'pace.S' THEN 'スロー' WHEN 'pace.H' THEN 'ハイペース' WHEN 'track_condition.重' THEN '重馬場' ELSE label END || '否定' ELSE label END AS label,
+  CASE WHEN is_negated THEN 'negation' ELSE category END AS kind, CASE WHEN is_negated THEN intensity ELSE least(1.0, intensity) END AS confidence, is_negated OR category = 'frame_hint' AS is_warning,
+  CASE WHEN is_negated THEN '「' || keyword || '」が否定されています' WHEN category = 'pedigree' THEN 'seen' ELSE '' END AS reason, NOT is_negated AND category = 'pedigree' AS needs_feature,
+  CASE WHEN NOT is_negated AND category = 'frame_hint' THEN 'only a hint' END AS warning, CASE WHEN NOT is_negated AND category IN ('track_condition','lane_bias','style_bias','pace','tag') THEN category || '=' || value ELSE '' END AS payload FROM f WHERE k = 1
+UNION ALL SELECT doc_id, 'conflict.' || a || '_' || b, '矛盾注意', 'conflict', 1.0, TRUE, message, FALSE, NULL, '' FROM x""")
 def memo_chips(spark, sf_dir):
-    return memo.chips(_found(spark, sf_dir), "doc_id", RULES, PAIRS)
+    out = memo.chips(_found(spark, sf_dir), "doc_id", RULES, PAIRS)
+    return out.withColumn("payload", F.array_join(F.transform(F.map_entries("payload"), lambda e: F.concat_ws("=", e["key"], e["value"])), ","))
 
 
-@query("conversation_matches", "X1 X2", _MEMO.replace("SELECT doc_id, trim(text,", "SELECT conv_id * 1000 + turn AS doc_id, trim(text,").replace("FROM documents)", "FROM conversations)") + "SELECT doc_id, category, value, keyword, position, is_negated, intensity FROM m")
+@query("conversation_matches", "X1 X2", _MEMO.replace("SELECT doc_id, trim(text,", "SELECT ROW(conv_id, turn) AS doc_id, trim(text,").replace("FROM documents)", "FROM conversations)") + "SELECT doc_id[1] AS conv_id, doc_id[2] AS turn, category, value, keyword, position, is_negated, intensity FROM m")
 def conversation_matches(spark, sf_dir):
-    src = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
-    return memo.matches(src, "doc_id", "text", RULES, WORDS).select("doc_id", "category", "value", "keyword", "position", "is_negated", "intensity")
+    found = memo.matches(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text", RULES, WORDS)
+    return found.select("conv_id", "turn", "category", "value", "keyword", "position", "is_negated", "intensity")
