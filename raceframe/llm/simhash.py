@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -125,11 +126,19 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     return found.join(label, "fp").select(F.col("id").alias(id), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents whose id is the smallest of their class, all columns kept.
+def keep_first(docs: DataFrame, *, id: str = "doc_id", text: str = "text", width: int = 4, seed: int = 42, distance: int = 4) -> DataFrame:
+    """The documents whose id is the smallest of their class, all columns kept; null ids come last.
 
-    Rows that share that id are all kept, as are rows with a null id.
+    Rows that repeat an id are judged one by one, by id and fingerprint.  Rows of a class
+    that share its smallest id are all kept, as are classes of null ids alone.
     """
-    classes = near_duplicates(docs, id=id, text=text, **options)
-    gone = classes.filter(F.col(id) > F.col("component_id")).select(F.col(id).alias("__gone")).distinct()
-    return docs.join(gone, F.col(id) == F.col("__gone"), "left_anti")
+    prepare(docs.sparkSession)
+
+    @F.pandas_udf("string")
+    def shown(texts: pd.Series) -> pd.Series:
+        return pd.Series([f"{fingerprint(shingle_values(t, width, seed)):016x}" for t in texts])
+
+    classes = near_duplicates(docs, id=id, text=text, width=width, seed=seed, distance=distance)
+    gone = classes.filter(~F.col(id).eqNullSafe(F.col("component_id"))).select(F.col(id).alias("__id"), F.col("fingerprint").alias("__fp")).distinct()
+    rows = docs.withColumn("__shown", shown(F.col(text).cast("string")))
+    return rows.join(gone, F.col(id).eqNullSafe(F.col("__id")) & (F.col("__shown") == F.col("__fp")), "left_anti").drop("__shown")
