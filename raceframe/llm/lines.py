@@ -21,10 +21,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def lines_of(docs: DataFrame, id: str, text: str, min_bytes: int) -> DataFrame:
-    """(id, no, line): lines of at least ``min_bytes`` bytes, without the spaces and carriage
-    returns around them; ``no`` starts at 0."""
-    found = docs.select(F.col(id).alias("id"), F.posexplode(F.split(F.col(text).cast("string"), "\n")).alias("no", "line"))
-    found = found.select("id", "no", F.btrim("line", F.lit(" \r")).alias("line"))
+    """(id, doc, no, line): lines of at least ``min_bytes`` bytes, without the spaces and carriage
+    returns around them; ``no`` starts at 0, ``doc`` is the hash of the text."""
+    found = docs.select(F.col(id).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("doc"), F.posexplode(F.split(F.col(text).cast("string"), "\n")).alias("no", "line"))
+    found = found.select("id", "doc", "no", F.btrim("line", F.lit(" \r")).alias("line"))
     return found.filter(F.octet_length("line") >= min_bytes)
 
 
@@ -249,20 +249,21 @@ def near_links(lines: DataFrame, edits: int, letter: int = 1) -> DataFrame:
 def duplicate_lines(
     docs: DataFrame, *, id: str = "doc_id", text: str = "text", edits: int = 2, min_bytes: int = 24, exact_bytes: int | None = None, characters: bool = False,
 ) -> DataFrame:
-    """(id, no): the lines to remove.
+    """(id, doc, no): the lines to remove; ``doc`` is the hash of the text, so that texts of one id stay apart.
 
     Lines are split at newlines and freed of spaces and carriage returns around them; those of at least ``min_bytes`` bytes
-    take part.  Of equal lines the first is kept, by (id, line number); it goes as well if a
+    take part.  Of equal lines the first is kept, by (id, hash of the text, line number); it goes as well if a
     different line within ``edits`` edits (inserted, deleted or replaced bytes, or ``characters``) occurs earlier.  With
     ``exact_bytes``, lines from that length on go as repeats of an equal line, though too short to have near repeats.  Null ids
-    come first; null and empty texts have no lines.
+    come first; null and empty texts have no lines.  Rows that repeat an id are texts of their
+    own; rows equal in id and text are one, and what goes from it goes from each.
     """
     prepare(docs.sparkSession)
     least = min_bytes if exact_bytes is None else min(exact_bytes, min_bytes)
     lines = lines_of(docs, id, text, least).withColumn("h", F.xxhash64("line"))
     links = written(near_links(lines.filter(F.octet_length("line") >= min_bytes), edits, 4 if characters else 1), "links", few=True)
-    spots = written(lines.select("id", "no", "h", F.xxhash64(F.lit(1), "line").alias("h2")), "spots")
-    firsts = spots.groupBy("h", "h2").agg(F.min(F.struct("id", "no")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    spots = written(lines.select("id", "doc", "no", "h", F.xxhash64(F.lit(1), "line").alias("h2")), "spots")
+    firsts = spots.groupBy("h", "h2").agg(F.min(F.struct("id", "doc", "no")).alias("first"), F.count(F.lit(1)).alias("copies"))
     linked = links.select(F.col("a").alias("h")).union(links.select(F.col("b").alias("h"))).distinct().withColumn("linked", F.lit(True))
     told = written(firsts.join(linked, "h", "left").filter("copies > 1 or linked").select("h", "h2", "first", "linked"), "told", few=True)
     place = told.filter("linked").groupBy("h").agg(F.min("first").alias("first"))
@@ -271,26 +272,28 @@ def duplicate_lines(
     told = told.join(later, "h", "left").select(F.col("h").alias("th"), F.col("h2").alias("th2"), "first", "late")
     same = (F.col("h") == F.col("th")) & (F.col("h2") == F.col("th2"))
     # struct comparison, so that a null id equals a null id
-    return spots.join(told, same).filter(F.col("late").isNotNull() | ~F.struct("id", "no").eqNullSafe(F.col("first"))).select("id", "no")
+    return spots.join(told, same).filter(F.col("late").isNotNull() | ~F.struct("id", "doc", "no").eqNullSafe(F.col("first"))).select("id", "doc", "no")
 
 
-def _gone(docs: DataFrame, id: str, **options) -> DataFrame:
-    found = duplicate_lines(docs, id=id, **options)
-    return found.groupBy("id").agg(F.array_sort(F.collect_set("no")).alias("__no")).withColumnRenamed("id", "__id")
+def _gone(docs: DataFrame, id: str, text: str, **options) -> DataFrame:
+    found = duplicate_lines(docs, id=id, text=text, **options)
+    return found.groupBy("id", "doc").agg(F.array_sort(F.collect_set("no")).alias("__no")).withColumnsRenamed({"id": "__id", "doc": "__doc"})
 
 
-def removed_lines(docs: DataFrame, *, id: str = "doc_id", **options) -> DataFrame:
-    """(id, n_removed, removed): per document how many lines go, and which, joined by commas."""
-    gone = _gone(docs, id, **options)
-    rows = docs.select(id).join(gone, F.col(id).eqNullSafe(F.col("__id")), "left")
+def _with_gone(docs: DataFrame, id: str, text: str, **options) -> DataFrame:
+    return docs.join(_gone(docs, id, text, **options), F.col(id).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text).cast("string")) == F.col("__doc")), "left")
+
+
+def removed_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """(id, n_removed, removed): per row how many lines go, and which, joined by commas."""
+    rows = _with_gone(docs, id, text, **options)
     count = F.coalesce(F.size("__no"), F.lit(0))
     return rows.select(id, F.when(F.col("__no").isNull(), 0).otherwise(count).cast("long").alias("n_removed"), F.coalesce(F.array_join("__no", ","), F.lit("")).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents without the lines to remove, all columns kept; null texts stay null."""
-    gone = _gone(docs, id, text=text, **options)
     kept = F.filter(F.split(F.col(text).cast("string"), "\n"), lambda line, k: ~F.array_contains(F.col("__no"), k))
-    rows = docs.join(gone, F.col(id).eqNullSafe(F.col("__id")), "left")
+    rows = _with_gone(docs, id, text, **options)
     names = [F.col(c) if c != text else F.when(F.col("__no").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")).alias(text) for c in docs.columns]
     return rows.select(*names)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from test_llm_operators import WORD, distance, docs
 
 import corpus_pipeline
-from raceframe.llm import mixing
+from raceframe.llm import minhash, mixing, simhash
 from raceframe.llm.common import prepare
 
 STAGES = dict(corpus_pipeline.STAGES)
@@ -134,3 +134,67 @@ def test_benchmark_free_removes_documents_that_hold_an_item(spark, tmp_path):
 
     kept = {r.doc_id for r in STAGES["benchmark_free"](spark, docs(spark, texts), str(tmp_path)).collect()}
     assert kept == {i for i, t in enumerate(texts) if not held(t)} and 10 < len(kept) < len(texts) - 10
+
+
+# Repeated and null ids: a text is judged by itself, whatever its id
+
+
+def repeated(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def prose(rng, n):
+    return [rng.choice(["river", "stone", "cloud", "green", "seven", "north", "apple", "table", "quiet", "light"]) + str(rng.randrange(400)) for _ in range(n)]
+
+
+def test_line_dedup_keeps_unique_lines_of_repeated_ids(spark):
+    one, two = "a line that stands alone here", "another line of quite other words"
+    rows = [(1, "first copy of the shared line"), (5, one), (5, f"first copy of the shared line\n{two}"), (None, "null and unique, line one"), (None, f"null too, this is line two\n{one}"), (5, one)]
+    got = sorted(((r.doc_id, r.text) for r in STAGES["line_dedup"](spark, repeated(spark, rows), None).collect()), key=str)
+    # The null id comes first, so its copy of ``one`` is the one that stays.
+    want = [(1, "first copy of the shared line"), (5, ""), (5, two), (None, "null and unique, line one"), (None, f"null too, this is line two\n{one}"), (5, "")]
+    assert got == sorted(want, key=str)
+
+
+def test_near_dedup_keeps_unrelated_texts_of_repeated_ids(spark):
+    rng = random.Random(8)
+    a, b, c, d = (" ".join(prose(rng, 80)) for _ in range(4))
+    rows = [(3, a), (7, a), (7, b), (None, a), (None, c), (9, c), (4, d), (4, d), (None, b)]
+    got = sorted(((r.doc_id, r.text) for r in STAGES["near_dedup"](spark, repeated(spark, rows), None).collect()), key=str)
+    assert got == sorted([(3, a), (7, b), (9, c), (4, d), (4, d)], key=str)
+    kept = sorted(((r.doc_id, r.text) for r in simhash.keep_first(repeated(spark, rows)).collect()), key=str)
+    assert kept == sorted([(3, a), (7, b), (9, c), (4, d), (4, d)], key=str)
+    assert STAGES["near_dedup"](spark, repeated(spark, []), None).count() == 0
+
+
+def test_shared_passage_costs_no_pair_per_pair_of_documents(spark):
+    rng = random.Random(4)
+    passage = prose(rng, 60)
+    counts = []
+    for n in (40, 80, 160):
+        df = repeated(spark, [(i, " ".join(prose(rng, 20) + passage + prose(rng, 20))) for i in range(n)])
+        found = minhash.nodes(df, "doc_id", "text", 5, 42)
+        sets = minhash.shingle_sets(df.select(F.xxhash64("text").alias("t"), "text"), 5, 42)
+        counts.append(minhash.prefix_pairs(sets, found.select("node", F.col("node").alias("c")), 0.8).count())
+        assert STAGES["near_dedup"](spark, df, None).count() == n
+    assert counts == [0, 0, 0]
+
+
+def test_prefix_join_loses_no_similar_pair(spark):
+    rng = random.Random(6)
+    texts = []
+    for _ in range(12):
+        base, shared = prose(rng, 50), prose(rng, 12)
+        for edits in (0, 1, 2, 4):
+            words = list(base)
+            for _ in range(edits):
+                words[rng.randrange(50)] = "other" + str(rng.randrange(99))
+            texts.append(" ".join(words + shared))
+    df = repeated(spark, list(enumerate(texts)))
+    found = minhash.nodes(df, "doc_id", "text", 5, 42)
+    node = {r.id: r.node for r in found.collect()}
+    sets = minhash.shingle_sets(df.select(F.xxhash64("text").alias("t"), "text"), 5, 42)
+    pairs = {(r.a, r.b) for r in minhash.prefix_pairs(sets, found.select("node", F.col("node").alias("c")), 0.8).collect()}
+    plain = [shingles(t) for t in texts]
+    similar = {(min(node[i], node[j]), max(node[i], node[j])) for i in range(len(texts)) for j in range(i) if plain[i] != plain[j] and len(plain[i] & plain[j]) >= 0.8 * len(plain[i] | plain[j])}
+    assert len(similar) > 10 and similar <= pairs
