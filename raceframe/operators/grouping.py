@@ -231,3 +231,16 @@ def top_per_group(
 def dedup(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Keep the first row per key in the given order."""
     return top_per_group(df, keys, order, 1)
+
+
+def dense_ids(df: DataFrame, column: str, name: str, buckets: int = 4096) -> DataFrame:
+    """(column, ``name``): the distinct known values numbered from 0 without gaps, the same on every run.
+
+    Values are numbered inside buckets of their hash, and each bucket starts at the number
+    of values in the buckets before: only one count per bucket meets in one task.
+    """
+    values = df.select(column).filter(F.col(column).isNotNull()).distinct().withColumn("__b", F.pmod(F.xxhash64(column), F.lit(buckets)))
+    earlier = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = values.groupBy("__b").agg(F.count(F.lit(1)).alias("__n")).select("__b", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
+    inside = F.row_number().over(Window.partitionBy("__b").orderBy(column)) - 1
+    return values.withColumn("__i", inside).join(starts, "__b").select(column, (F.col("__start") + F.col("__i")).cast("long").alias(name))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from raceframe.functions.columns import clip, logit, sigmoid
 from raceframe.operators import evaluate
-from raceframe.operators.grouping import quantiles
+from raceframe.operators.grouping import dense_ids, quantiles
 from raceframe.operators.splits import group_split
 
 MISSING = -999.0
@@ -213,15 +213,21 @@ def shrink(estimate: Column, n: Column, overall: Column, prior: float = 10.0) ->
 
 
 def pair_affinity(df: DataFrame, user: str, item: str, factors: int = 8, rounds: int = 5, prior: float = 10.0) -> DataFrame:
-    """Factor model over pair ratings, shrunk to the overall mean where a pair has few runs."""
-    pairs = pair_ratings(df, user, item)
-    model = ALS(userCol=user, itemCol=item, ratingCol="rating", rank=factors, maxIter=rounds, seed=42, coldStartStrategy="nan").fit(
-        pairs.select(F.col(user).cast("int"), F.col(item).cast("int"), F.col("rating").cast("float"))
+    """Factor model over pair ratings, shrunk to the overall mean where a pair has few runs.
+
+    Ids may be of any type and size: the model sees them densely numbered.  Pairs with a
+    NULL id have no factors and no row.
+    """
+    pairs = pair_ratings(df, user, item).filter(F.col(user).isNotNull() & F.col(item).isNotNull())
+    pairs = pairs.join(dense_ids(pairs, user, "__u"), user).join(dense_ids(pairs, item, "__i"), item)
+    pairs = pairs.withColumns({c: F.col(c).cast("int") for c in ("__u", "__i")})
+    model = ALS(userCol="__u", itemCol="__i", ratingCol="rating", rank=factors, maxIter=rounds, seed=42, coldStartStrategy="nan").fit(
+        pairs.select("__u", "__i", F.col("rating").cast("float"))
     )
     overall = df.agg(F.avg(outcome_rating("outcome"))).scalar()
-    out = model.transform(pairs.withColumns({user: F.col(user).cast("int"), item: F.col(item).cast("int")}))
     guess = F.coalesce(F.when(~F.isnan("prediction"), F.col("prediction")).cast("double"), overall)
-    return out.withColumn("affinity", shrink(clip(guess, 1.0, 5.0), F.col("n"), overall, prior)).drop("prediction")
+    out = model.transform(pairs).withColumn("affinity", shrink(clip(guess, 1.0, 5.0), F.col("n"), overall, prior))
+    return out.select(user, item, "n", "rating", "affinity")
 
 
 # --- permutation importance ----------------------------------------------------------------------

@@ -182,3 +182,37 @@ def number_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     one = df.agg(*aggs)
     rows = [F.struct(F.lit(c).alias("column"), F.col(f"{c}__nan").alias("n_nan"), F.col(f"{c}__inf").alias("n_inf")) for c in columns]
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def recount(df: DataFrame, key: str = "entity", bucket_days: int = 365) -> DataFrame:
+    """(event, entity, n, wins, in3): what the key had done on earlier days, counted a second way.
+
+    A self-join in buckets of days: whole earlier buckets come in as one total each, and only
+    days of the row's own bucket are paired.  It shares no step with the history operators,
+    so it can check them.  A NULL key has no rows.
+    """
+    o = F.col("outcome")
+    ran = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("k"), "day", F.floor(F.col("day") / bucket_days).alias("b"), "outcome")
+    measures = {"n": F.count(o), "wins": F.count(F.when(o == 1, 1)), "in3": F.count(F.when(o <= 3, 1))}
+    daily = ran.groupBy("k", "b", "day").agg(*[c.alias(m) for m, c in measures.items()])
+    total = daily.groupBy("k", "b").agg(*[F.sum(m).alias(m) for m in measures])
+    earlier = total.select("k", F.col("b").alias("b0"), *measures)
+    before = total.select("k", "b").join(earlier, "k").filter("b0 < b").groupBy("k", "b").agg(*[F.sum(m).alias(f"{m}0") for m in measures])
+    other = daily.select("k", "b", F.col("day").alias("day0"), *measures)
+    inside = daily.select("k", "b", "day").join(other, ["k", "b"]).filter("day0 < day").groupBy("k", "b", "day").agg(*[F.sum(m).alias(f"{m}1") for m in measures])
+    days = daily.select("k", "b", "day").join(before, ["k", "b"], "left").join(inside, ["k", "b", "day"], "left")
+    told = days.select("k", "day", *[(F.coalesce(f"{m}0", F.lit(0)) + F.coalesce(f"{m}1", F.lit(0))).cast("long").alias(m) for m in measures])
+    return df.select("event", "entity", F.col(key).alias("k"), "day").join(told, ["k", "day"]).select("event", "entity", *measures)
+
+
+def leaks(features: DataFrame, counted: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    """One row per feature: rows compared, rows that differ from the second count, and rows that know too much.
+
+    ``columns`` maps a feature of ``features`` to a column of ``counted``; NULL counts as 0.
+    """
+    both = features.select("event", "entity", *columns).join(counted, ["event", "entity"])
+    gap = lambda f, c: F.coalesce(F.col(f), F.lit(0)) - F.col(c)
+    rows = F.array(*[F.struct(F.lit(f).alias("feature"), gap(f, c).cast("long").alias("gap")) for f, c in columns.items()])
+    return both.select(F.explode(rows).alias("r")).groupBy(F.col("r.feature").alias("feature")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col("r.gap") != 0, 1)).alias("n_different"), F.count(F.when(F.col("r.gap") > 0, 1)).alias("n_leaks"),
+    )

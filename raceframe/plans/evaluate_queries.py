@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from raceframe.functions import columns as C
 from raceframe.functions import constants as K
-from raceframe.operators import backtest, evaluate, history, splits
-from raceframe.operators.grouping import rank_in_group
+from raceframe.operators import backtest, evaluate, history, quality, splits
 from raceframe.plans.base import ENTRIES, entries, r6, stored
 from raceframe.plans.registry import query
 
@@ -321,10 +321,9 @@ def backtest_summary(spark, sf_dir):
     return round_doubles(backtest.backtest_summary(_event_profits(spark, sf_dir)))
 
 
-@query("profit_curve", "W27", _S + _BT + "SELECT strategy, event, cum AS cumulative, peak, peak-cum AS drawdown FROM d WHERE strategy = 'top1'")
+@query("profit_curve", "W27", _S + _BT + "SELECT strategy, event, cum AS cumulative, peak, peak-cum AS drawdown FROM d")
 def profit_curve(spark, sf_dir):
-    per = _event_profits(spark, sf_dir).filter("strategy = 'top1'")
-    return backtest.profit_curve(per).select("strategy", "event", "cumulative", "peak", "drawdown")
+    return backtest.profit_curve(_event_profits(spark, sf_dir)).select("strategy", "event", "cumulative", "peak", "drawdown")
 
 
 @query("ev_recovery", "E10", _S + """, e AS (SELECT event, count(*) AS n, count(*) FILTER (WHERE p*odds>1 AND p>0.1) AS k, sum(odds) FILTER (WHERE p*odds>1 AND p>0.1 AND outcome=1) AS won FROM s GROUP BY event)
@@ -391,11 +390,31 @@ def split_overlap(spark, sf_dir):
     return splits.overlap(splits.time_split(entries(spark, sf_dir), "event_date", "1997-01-01", "1999-01-01"), key="entity")
 
 
-@query("leak_check", "E12", ENTRIES + "SELECT event, entity, 0::BIGINT AS difference FROM entries WHERE FALSE")
+_RECOUNT = ", c AS (SELECT a.event, a.entity, count(b.outcome) AS n, count(*) FILTER (WHERE b.outcome = 1) AS wins, count(*) FILTER (WHERE b.outcome <= 3) AS in3 FROM entries a LEFT JOIN entries b ON a.entity = b.entity AND b.day < a.day GROUP BY 1, 2)"
+
+
+@query("earlier_counts", "E12", ENTRIES + _RECOUNT + " SELECT event, entity, n, wins, in3 FROM c")
+def earlier_counts(spark, sf_dir):
+    """Earlier starts, wins and places of every entry, without the history operators."""
+    return quality.recount(entries(spark, sf_dir).select(*KEY, "day", "outcome"))
+
+
+_LATE = "SELECT a.event, a.entity, count(b.outcome) AS n, count(*) FILTER (WHERE b.outcome = 1) AS wins, count(*) FILTER (WHERE b.outcome <= 3) AS in3 FROM entries a LEFT JOIN entries b ON a.entity = b.entity AND b.day <= a.day GROUP BY 1, 2"
+
+
+@query("leak_check", "E12", ENTRIES + _RECOUNT + f""", late AS ({_LATE}), n AS (SELECT count(*) AS n FROM entries)
+SELECT 'record' AS history, f AS feature, n AS n_rows, 0::BIGINT AS n_different, 0::BIGINT AS n_leaks FROM n, (VALUES ('h_n_starts'), ('h_n_wins'), ('h_n_in3')) v(f)
+UNION ALL SELECT 'same_day', f, count(*), count(*) FILTER (WHERE gap <> 0), count(*) FILTER (WHERE gap > 0) FROM (
+  SELECT unnest([{{'f': 'h_n_starts', 'gap': late.n - c.n}}, {{'f': 'h_n_wins', 'gap': late.wins - c.wins}}, {{'f': 'h_n_in3', 'gap': late.in3 - c.in3}}], recursive := true)
+  FROM late JOIN c USING (event, entity)) GROUP BY f""")
 def leak_check(spark, sf_dir):
-    """Starts from the totals per day against a rank of the day within the entity: no row may differ."""
+    """The record against a second count, and a history that counts the event's own day, which must be caught."""
     df = entries(spark, sf_dir).select(*KEY, "day", "outcome")
-    left = history.conditional(df, None, stats=("n_wins",))
-    right = rank_in_group(df, ["entity"], "day", "__k", kind="rank").select(*KEY, "__k")
-    gap = F.col("h_n_starts") - (F.col("__k") - 1)
-    return left.join(right, KEY).select(*KEY, gap.alias("difference")).filter("difference <> 0")
+    counted = quality.recount(df)
+    columns = {"h_n_starts": "n", "h_n_wins": "wins", "h_n_in3": "in3"}
+    right = quality.leaks(history.career(df), counted, columns).withColumn("history", F.lit("record"))
+    o = F.col("outcome")
+    upto = Window.partitionBy("entity").orderBy("day").rangeBetween(Window.unboundedPreceding, 0)
+    late = df.select(*KEY, F.count(o).over(upto).alias("h_n_starts"), F.count(F.when(o == 1, 1)).over(upto).alias("h_n_wins"), F.count(F.when(o <= 3, 1)).over(upto).alias("h_n_in3"))
+    wrong = quality.leaks(late, counted, columns).withColumn("history", F.lit("same_day"))
+    return right.unionByName(wrong).select("history", "feature", "n_rows", "n_different", "n_leaks")

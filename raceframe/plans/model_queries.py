@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from raceframe.functions import constants as K
-from raceframe.operators import features, models, profiles
+from raceframe.operators import evaluate, features, models, profiles
 from raceframe.plans import history_queries, registry
 from raceframe.plans.base import ENTRIES, entries, r6, stored, table
 from raceframe.plans.registry import query
@@ -175,6 +175,35 @@ def pair_ratings(spark, sf_dir):
     return round_doubles(out.withColumn("shrunk", models.shrink(F.col("rating"), F.col("n"), overall)))
 
 
+@query("pair_affinity_check", "M6", ENTRIES + """SELECT actor, entity, count(*) AS n, round(avg(CASE WHEN outcome = 1 THEN 5 WHEN outcome = 2 THEN 4 WHEN outcome = 3 THEN 3 WHEN outcome <= 6 THEN 2 ELSE 1 END), 6) AS rating,
+  TRUE AS in_range, TRUE AS beats_mean FROM entries GROUP BY actor, entity""")
+def pair_affinity_check(spark, sf_dir):
+    """Every pair with its ratings; whether affinities are ratings, and nearer to the pairs' than the mean is."""
+    out = pair_affinity(spark, sf_dir)
+    error = lambda c: F.sqrt(F.avg(F.pow(c - F.col("rating"), 2)))
+    mean = out.agg((F.sum(F.col("n") * F.col("rating")) / F.sum("n")).alias("m")).scalar()
+    beats = out.agg((error(F.col("affinity")) < error(mean)).alias("b")).scalar()
+    return out.select("actor", "entity", "n", r6("rating").alias("rating"), F.col("affinity").between(1, 5).alias("in_range"), beats.alias("beats_mean"))
+
+
+@query("model_check", "M1 M2", ENTRIES + """, t AS (SELECT outcome = 1 AS win FROM entries WHERE event_date < DATE '1998-01-01')
+SELECT m AS model, count(*) AS n_rows, count(*) FILTER (WHERE win) AS n_wins, TRUE AS in_range, TRUE AS beats_share, TRUE AS ranks FROM t, (VALUES ('trees'), ('logistic')) v(m) GROUP BY m""")
+def model_check(spark, sf_dir):
+    """On the rows they were fitted to: probabilities, a lower loss than the share of winners, an AUC above one half."""
+    train, _ = _train_test(spark, sf_dir)
+    out = None
+    for name, model in (("trees", models.fit_trees(train, FEATURES, "target_win", rounds=5, depth=3)), ("logistic", models.fit_logistic(train, FEATURES, "target_win"))):
+        scored = models.score(model, train, FEATURES).select(*KEY, "target_win", "p")
+        share = scored.agg(F.avg(F.col("target_win").cast("double"))).scalar()
+        one = scored.agg(
+            F.lit(name).alias("model"), F.count(F.lit(1)).alias("n_rows"), F.sum("target_win").cast("long").alias("n_wins"), F.min(F.col("p").between(0, 1)).alias("in_range"),
+            (F.avg(evaluate.log_loss("p", "target_win")) < -(share * F.log(share) + (1 - share) * F.log(1 - share))).alias("beats_share"),
+        )
+        one = one.withColumn("ranks", evaluate.roc_auc(scored, "p", "target_win").scalar() > 0.5)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("pair_affinity", "M6")
 def pair_affinity(spark, sf_dir):
     return models.pair_affinity(entries(spark, sf_dir).select("actor", "entity", "outcome"), "actor", "entity")

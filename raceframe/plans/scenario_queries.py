@@ -173,9 +173,15 @@ def integrated_probability(spark, sf_dir):
     return round_doubles(_integrated(spark, sf_dir).select(*KEY, "normalized_prob"))
 
 
-@query("probability_check", "C4", "SELECT TRUE AS all_positive, TRUE AS all_below_one, TRUE AS sums_to_one, 0::BIGINT AS n_off")
+_CHECK = "SELECT '{name}' AS probability, bool_and({p} >= 0) AS all_positive, bool_and({p} <= 1) AS all_below_one, count(DISTINCT CASE WHEN abs(t - 1) > 1e-5 THEN event END) = 0 AS sums_to_one, count(DISTINCT CASE WHEN abs(t - 1) > 1e-5 THEN event END) AS n_off FROM (SELECT event, {p}, sum({p}) OVER (PARTITION BY event) AS t FROM s)"
+
+
+@query("probability_check", "C4", _INT + _CHECK.format(name="integrated", p="np") + " UNION ALL " + _CHECK.format(name="odds", p="q").replace("FROM s)", "FROM (SELECT event, 1 / odds AS q FROM entries))"))
 def probability_check(spark, sf_dir):
-    return scenario.validate(_integrated(spark, sf_dir).withColumn("normalized_prob", F.least("normalized_prob", F.lit(1.0))), "normalized_prob")
+    """The integrated probabilities, which must hold, and the plain inverse odds, which do not sum to one."""
+    right = scenario.validate(_integrated(spark, sf_dir), "normalized_prob").withColumn("probability", F.lit("integrated"))
+    odds = entries(spark, sf_dir).select("event", (1 / F.col("odds")).alias("q"))
+    return right.unionByName(scenario.validate(odds, "q").withColumn("probability", F.lit("odds"))).select("probability", "all_positive", "all_below_one", "sums_to_one", "n_off")
 
 
 @query("weight_flags", "P24", ENTRIES + "SELECT event, entity, coalesce(weight/100.0 > 4.0,FALSE) AS is_weight_volatile, coalesce(tax-4 > 2,FALSE) AS is_gaining_weight, coalesce(tax-4 < -2,FALSE) AS is_losing_weight, round(coalesce((weight+CASE WHEN tax>2 THEN qty END)/2, weight, CASE WHEN tax>2 THEN qty END),6) AS mean FROM entries")

@@ -6,7 +6,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from raceframe.operators import features, history, profiles, records
+from raceframe.operators import features, grouping, history, models, profiles, quality, records
 
 SCHEMA = "event long, entity long, actor string, owner string, day int, outcome long, last3f double, prize long, weight int, surface string"
 
@@ -104,3 +104,36 @@ def test_feature_table_without_history_rows_or_attributes(spark):
 def test_profile_rules_need_their_columns(spark):
     with pytest.raises(ValueError):
         profiles.apply_rules(spark.range(1), profiles.TAG_RULES)
+
+
+def test_second_count_catches_a_planted_leak(spark):
+    data = rows(5)
+    df = spark.createDataFrame(data, SCHEMA)
+    counted = quality.recount(df, bucket_days=10)
+    got = {(r.event, r.entity): (r.n, r.wins, r.in3) for r in counted.collect()}
+    for event, entity, *_, in data:
+        day = next(r[4] for r in data if r[:2] == (event, entity))
+        past = [r[5] for r in data if r[1] == entity and r[4] < day and r[5] is not None]
+        assert got[event, entity] == (len(past), past.count(1), sum(o <= 3 for o in past))
+    told = history.career(df)
+    columns = {"h_n_starts": "n", "h_n_wins": "wins", "h_n_in3": "in3"}
+    assert all((r.n_rows, r.n_different, r.n_leaks) == (len(data), 0, 0) for r in quality.leaks(told, counted, columns).collect())
+    planted = told.withColumn("h_n_wins", F.when(F.col("event") == 3, F.col("h_n_wins") + 1).otherwise(F.col("h_n_wins")))
+    found = {r.feature: (r.n_different, r.n_leaks) for r in quality.leaks(planted, counted, columns).collect()}
+    assert found == {"h_n_starts": (0, 0), "h_n_wins": (6, 6), "h_n_in3": (0, 0)}
+
+
+def test_dense_numbers_have_no_gaps(spark):
+    values = [f"id{k % 700}" for k in range(900)] + [None]
+    df = spark.createDataFrame([(v,) for v in values], "name string")
+    got = {r.name: r.n for r in grouping.dense_ids(df, "name", "n", buckets=64).collect()}
+    assert set(got) == set(values) - {None} and sorted(got.values()) == list(range(700))
+    assert grouping.dense_ids(df.filter("false"), "name", "n").count() == 0
+
+
+def test_affinity_of_text_and_large_ids(spark):
+    rng = random.Random(3)
+    data = [(f"u{rng.randrange(12)}", (1 << 40) + rng.randrange(9), rng.randint(1, 9)) for _ in range(300)] + [(None, 5, 1), ("u1", None, 1)]
+    out = models.pair_affinity(spark.createDataFrame(data, "rider string, horse long, outcome int"), "rider", "horse").collect()
+    assert {(r.rider, r.horse) for r in out} == {(a, b) for a, b, _ in data if a is not None and b is not None}
+    assert all(1 <= r.affinity <= 5 for r in out)
