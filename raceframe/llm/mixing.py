@@ -13,8 +13,6 @@ from raceframe.llm.common import prepare, written
 # Two neighbours of the Fibonacci sequence: i * LOWER / UPPER modulo 1 is the golden-ratio
 # sequence in exact integers.
 FIB_LOWER, FIB_UPPER = 1_134_903_170, 1_836_311_903
-# Shares are cut at this many steps before they are mapped to points.
-STEPS = 1_000_000_000
 CELLS = 4096
 # A source has at least this many blocks, unless they would be shorter than the least block.
 LEAST_BLOCKS = 256
@@ -64,33 +62,56 @@ def own_block(size: Column, block: int) -> Column:
     return F.least(F.lit(block), F.greatest(F.lit(LEAST_TOKENS), F.floor(size / LEAST_BLOCKS))).cast("long")
 
 
-def schedule(targets: DataFrame, block: int) -> DataFrame:
-    """One row per slot: ``slot``, ``place`` of its source and ``rank`` among the source's slots.
+def slot_counts(targets: DataFrame, block: int) -> DataFrame:
+    """Add ``own``, ``blocks``, ``passes``, ``rest`` and ``slots`` to the sources.
 
-    Slot i is the point i * golden ratio modulo 1, mapped through the cumulative slots of
-    the sources: target by ``own`` block, both scaled by ``block``.
-    Ranks come from counts per (source, run of slots) and a row number inside a run, so a
-    source with most slots stays spread out.
+    ``own`` is the source's block size, ``blocks`` how many it has.  The target, to the
+    nearest word, is ``passes`` times the whole source and the first ``rest`` words of it;
+    ``slots`` is the number of blocks that takes, the last one cut short where it must be.
     """
-    spark = targets.sparkSession
-    targets = targets.withColumn("target", F.col("target") * (F.lit(float(block)) / F.col("own")))
-    slots = math.ceil(targets.agg(F.sum("target")).first()[0] / block)
-    run = max(64, slots >> 10)
+    rows = targets.withColumn("own", own_block(F.col("source_size"), block)).filter("source_size > 0")
+    want = F.floor(F.col("target") + 0.5)
+    rows = rows.withColumn("blocks", F.ceil(F.col("source_size") / F.col("own"))).withColumn("passes", F.floor(want / F.col("source_size")))
+    rows = rows.withColumn("rest", want - F.col("passes") * F.col("source_size"))
+    return rows.withColumn("slots", F.col("passes") * F.col("blocks") + F.ceil(F.col("rest") / F.col("own")))
+
+
+def schedule(counted: DataFrame) -> DataFrame:
+    """One row per slot: ``slot``, ``place`` of its source, ``rank`` among its slots, ``block`` and ``part``.
+
+    Slot i is the point i * golden ratio modulo 1, mapped through the cumulative ``slots``
+    of the sources.  A source is drawn about as often as it has slots; what is drawn beyond
+    is left out, what is missing follows at the end, so that every source has exactly its
+    slots, however small its share is.  ``part`` is the number of words of a last, shorter
+    block, else null.  Ranks come from counts per (source, run of slots) and a row number
+    inside a run, so a source with most slots stays spread out.
+    """
+    spark = counted.sparkSession
+    slots = counted.agg(F.sum("slots")).first()[0] or 0
+    run, step = max(64, slots >> 10), max(1, -(-slots // CELLS))
     by_place = Window.orderBy("place")
-    everything = Window.partitionBy()
-    share = F.sum("target").over(by_place.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("target").over(everything)
-    upto = F.round(share * STEPS).cast("long")
-    bounds = targets.filter("target > 0").select("place", upto.alias("high")).withColumn("low", F.coalesce(F.lag("high").over(by_place), F.lit(0)))
-    cell = lambda c: F.floor(c * CELLS / STEPS)
-    bounds = bounds.filter("high > low").select("place", "low", "high", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high") - 1))).alias("cell"))
-    point = ((F.col("slot") % FIB_UPPER * FIB_LOWER % FIB_UPPER).cast("double") / FIB_UPPER * STEPS).cast("long")
+    bounds = counted.filter("slots > 0").select("place", "slots", F.sum("slots").over(by_place).alias("high")).withColumn("low", F.col("high") - F.col("slots"))
+    cell = lambda c: F.floor(c / step)
+    bounds = bounds.select("place", "low", "high", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high") - 1))).alias("cell"))
+    point = F.floor((F.col("slot") % FIB_UPPER * FIB_LOWER % FIB_UPPER).cast("double") / FIB_UPPER * slots)
     drawn = spark.range(slots).withColumnRenamed("id", "slot").withColumn("point", point).withColumn("cell", cell(F.col("point")))
     drawn = drawn.join(bounds, "cell").filter("point >= low and point < high").select("slot", "place", F.floor(F.col("slot") / run).alias("run"))
+    drawn = written(drawn, "drawn")
     inside = Window.partitionBy("place", "run").orderBy("slot")
     earlier = Window.partitionBy("place").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    starts = drawn.groupBy("place", "run").count().select("place", "run", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("start"))
+    counts = drawn.groupBy("place", "run").count()
+    starts = counts.select("place", "run", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("start"))
     ranked = drawn.withColumn("inside", F.row_number().over(inside) - 1).join(starts, ["place", "run"])
-    return ranked.select("slot", "place", (F.col("start") + F.col("inside")).alias("rank"))
+    ranked = ranked.select("slot", "place", (F.col("start") + F.col("inside")).alias("rank"))
+    have = counts.groupBy("place").agg(F.sum("count").alias("have"))
+    short = counted.join(have, "place", "left").withColumn("have", F.coalesce("have", F.lit(0))).filter("have < slots")
+    short = short.select("place", F.explode(F.sequence("have", F.col("slots") - 1)).alias("rank"))
+    ranked = ranked.unionByName(short.select((F.lit(slots) + F.col("rank")).alias("slot"), "place", "rank"))
+    cut = (F.col("rank") == F.col("slots") - 1) & (F.col("rest") > 0)
+    return ranked.join(counted.select("place", "slots", "blocks", "own", "rest"), "place").filter("rank < slots").select(
+        "slot", "place", "rank", (F.col("rank") % F.col("blocks")).alias("block"),
+        F.when(cut, F.col("rest") - (F.ceil(F.col("rest") / F.col("own")) - 1) * F.col("own")).alias("part"),
+    )
 
 
 def token_stream(sizes: DataFrame, n: int) -> DataFrame:
@@ -121,10 +142,11 @@ def mix(
     Returns ``id``, ``size``, ``source_size``, ``target`` and ``taken``.  Each source's
     documents, shuffled by a hash of the id, are one stream of words cut into equal blocks, shorter ones for small sources.
     Slots of the schedule are ranked per source; rank r takes block r modulo the number of
-    blocks, so a source starts again once it is used up, at most ``most`` times.  Empty and
-    null texts have size 0 and are never taken; a null source is a source of its own.
+    blocks, so a source starts again once it is used up, at most ``most`` times, and the
+    last block is cut so that the source's words are its target to the nearest word.
+    Empty and null texts have size 0 and are never taken; a null source is a source of its own.
     Rows that repeat an id count as documents of their own, told apart by their text's
-    hash; rows equal in all of these share what they take evenly up to one block.
+    hash; rows equal in all of these share what they take evenly, which rounds down.
     """
     spark = prepare(docs.sparkSession)
     sizes = docs.select(
@@ -135,26 +157,23 @@ def mix(
     sizes = written(sizes, "sizes")
     targets = written(source_targets(sizes, weights, share, most), "targets", few=True)
     n, total = sizes.count(), targets.agg(F.sum("target")).first()[0] or 0.0
-    block = block_tokens(total)
-    blocks = targets.select("source", "source_size", "place", "target", own_block(F.col("source_size"), block).alias("own"))
-    blocks = blocks.withColumn("blocks", F.ceil(F.col("source_size") / F.col("own")))
     if total > 0:
-        slots = schedule(blocks, block)
-        sized = blocks.select("place", "blocks")
-        times = slots.join(sized, "place").filter(F.col("rank") < int(most) * F.col("blocks")).groupBy(
-            "place", (F.col("rank") % F.col("blocks")).alias("block")
-        ).agg(F.count(F.lit(1)).alias("times"))
+        counted = written(slot_counts(targets, block_tokens(total)), "slots", few=True)
+        times = schedule(counted).groupBy("place", "block").agg(
+            F.count_if(F.col("part").isNull()).alias("times"), F.coalesce(F.max("part"), F.lit(0)).alias("part"))
         stream = token_stream(sizes, n)
-        of = blocks.select(F.col("source").alias("of"), "place", "own")
+        of = counted.select(F.col("source").alias("of"), "place", "own")
         cut = stream.join(of, F.col("source").eqNullSafe(F.col("of"))).select("id", "row", "place", "size", "begin", "own", F.explode(
             F.sequence(F.floor(F.col("begin") / F.col("own")), F.floor((F.col("begin") + F.col("size") - 1) / F.col("own")))).alias("block"))
-        words_in = F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * F.col("own")) - F.greatest(F.col("begin"), F.col("block") * F.col("own"))
-        taken = cut.join(times, ["place", "block"]).groupBy("id", "row", "place", "begin").agg(F.sum(words_in * F.col("times")).alias("taken"))
+        first = F.greatest(F.col("begin"), F.col("block") * F.col("own"))
+        upto = lambda words: F.greatest(F.least(F.col("begin") + F.col("size"), F.col("block") * F.col("own") + words) - first, F.lit(0))
+        taken = cut.join(times, ["place", "block"]).groupBy("id", "row", "place", "begin").agg(
+            F.sum(upto(F.col("own")) * F.col("times") + upto(F.col("part"))).alias("taken"))
         # A document is found again by its id, text hash and place; equal rows share evenly.
         taken = taken.groupBy("id", "row", "place").agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("rows"))
     else:
         taken = spark.createDataFrame([], "id long, row long, place int, taken long, rows long")
-    rows = sizes.join(blocks.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).alias("s")
+    rows = sizes.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).alias("s")
     t = taken.alias("t")
     rows = rows.join(t, F.col("s.id").eqNullSafe(F.col("t.id")) & (F.col("s.row") == F.col("t.row")) & (F.col("s.place") == F.col("t.place")), "left")
     return rows.select(

@@ -216,27 +216,13 @@ WITH s AS (
   SELECT source, source_size, place, least(CASE WHEN capped THEN cap ELSE
     (total - coalesce(sum(cap) FILTER (capped) OVER (), 0)) / (sum(weight) FILTER (NOT capped) OVER ()) * weight END, cap) AS target FROM c
 ), k AS (
-  SELECT sum(target) AS total, least(4096, greatest(16, CAST(floor(sum(target)) AS BIGINT) >> 20)) AS block FROM t
-), high AS (
-  SELECT place, CAST(round(sum(target) OVER (ORDER BY place) / sum(target) OVER () * 1000000000) AS BIGINT) AS high FROM t WHERE target > 0
-), bounds AS (
-  SELECT place, high, coalesce(lag(high) OVER (ORDER BY place), 0) AS low FROM high
-), points AS (
-  SELECT slot, CAST(floor((slot % 1836311903 * 1134903170 % 1836311903)::DOUBLE / 1836311903 * 1000000000) AS BIGINT) AS point
-  FROM (SELECT unnest(range(CAST(ceil(total / block) AS BIGINT))) AS slot FROM k)
-), ranks AS (
-  SELECT b.place, row_number() OVER (PARTITION BY b.place ORDER BY slot) - 1 AS rank FROM points JOIN bounds b ON point >= low AND point < high
-), blocks AS (
-  SELECT place, CAST(ceil(source_size / block) AS BIGINT) AS blocks FROM t, k
-), times AS (
-  SELECT ranks.place, rank % blocks AS piece, count(*) AS times FROM ranks JOIN blocks USING (place) WHERE rank < 2 * blocks GROUP BY ALL
+  SELECT *, CAST(floor(target + 0.5::DOUBLE) AS BIGINT) // source_size AS passes, CAST(floor(target + 0.5::DOUBLE) AS BIGINT) % source_size AS rest
+  FROM t WHERE source_size > 0
 ), stream AS (
-  SELECT doc_id, place, size, coalesce(sum(size) OVER (PARTITION BY place ORDER BY shuffle ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin
-  FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source WHERE size > 0
+  SELECT doc_id, size, passes, rest, coalesce(sum(size) OVER (PARTITION BY place ORDER BY shuffle ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin
+  FROM s JOIN k ON s.source IS NOT DISTINCT FROM k.source WHERE size > 0
 ), taken AS (
-  SELECT doc_id, sum(times * (least(begin + size, (piece + 1) * block) - greatest(begin, piece * block))) AS taken
-  FROM (SELECT stream.*, block, unnest(range(CAST(begin // block AS BIGINT), CAST((begin + size - 1) // block AS BIGINT) + 1)) AS piece FROM stream, k)
-  JOIN times USING (place, piece) GROUP BY doc_id
+  SELECT doc_id, passes * size + greatest(least(begin + size, rest) - begin, 0) AS taken FROM stream
 )
 SELECT s.doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken
 FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source LEFT JOIN taken USING (doc_id)
