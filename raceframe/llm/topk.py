@@ -12,8 +12,8 @@ from raceframe.llm.common import prepare, written
 # Rows of a candidate block and of a query block, and values either may hold.
 CANDIDATES, QUERIES, VALUES = 2048, 512, 1 << 19
 BINS = 1024
-# Scores beyond this stop there.
-LIMIT = 1 << 60
+# Scores beyond this stop there: twice the range of scores and a bin of each pass fit a long.
+LIMIT = (1 << 62) - (1 << 53)
 EXACT = float(1 << 53)
 
 
@@ -31,18 +31,18 @@ def scores(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
 
 
 def _scored(queries: pd.DataFrame, candidates: pd.DataFrame):
-    """Per length of vector and run of queries: the queries' rows, candidate ids, scores, and where both are one vector."""
+    """Per length of vector and run of queries: the queries' rows, candidates, scores, and where both are one row."""
     own = queries["embedding"].map(len).to_numpy()
     other = candidates["embedding"].map(len).to_numpy()
     for dim in np.unique(own):
         at = np.flatnonzero(other == dim)
         if not len(at):
             continue
-        table, ids = _matrix(candidates["embedding"].iloc[at]), candidates["vec_id"].to_numpy()[at]
+        table, other_rows = _matrix(candidates["embedding"].iloc[at]), candidates["row"].to_numpy()[at]
         places = np.flatnonzero(own == dim)
         for k in range(0, len(places), 128):
             part = queries.iloc[places[k : k + 128]]
-            yield part, ids, scores(_matrix(part["embedding"]), table), part["vec_id"].to_numpy()[:, None] == ids[None, :]
+            yield part, candidates["vec_id"].to_numpy()[at], scores(_matrix(part["embedding"]), table), part["row"].to_numpy()[:, None] == other_rows[None, :]
 
 
 def histogram(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
@@ -60,8 +60,8 @@ def histogram(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
         count = np.bincount(row * BINS + bins[row, column], minlength=len(part) * BINS).reshape(len(part), BINS)
         above = np.cumsum(count[:, ::-1], axis=1)[:, ::-1] - count
         row, column = np.nonzero((count > 0) & (above < need))
-        out.append(pd.DataFrame({"query_id": part["vec_id"].to_numpy()[row], "bin": column, "count": count[row, column]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "bin": [], "count": []}).astype("int64")
+        out.append(pd.DataFrame({"asked": part["row"].to_numpy()[row], "bin": column, "count": count[row, column]}))
+    return pd.concat(out) if out else pd.DataFrame({"asked": [], "bin": [], "count": []}).astype("int64")
 
 
 def reached(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
@@ -74,8 +74,8 @@ def reached(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
         ties = (score == low) & ~same
         keep = ((score > low) & ~same) | (ties & (np.cumsum(ties, axis=1) <= need[:, None]))
         row, column = np.nonzero(keep)
-        out.append(pd.DataFrame({"query_id": part["vec_id"].to_numpy()[row], "vec_id": ids[column], "score": score[row, column]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+        out.append(pd.DataFrame({"asked": part["row"].to_numpy()[row], "query_id": part["vec_id"].to_numpy()[row], "vec_id": ids[column], "score": score[row, column]}))
+    return pd.concat(out) if out else pd.DataFrame({"asked": [], "query_id": [], "vec_id": [], "score": []}).astype("int64")
 
 
 def usable(vector: Column) -> Column:
@@ -98,43 +98,44 @@ def top_k(vectors: DataFrame, queries: Column, *, id: str = "vec_id", embedding:
     """
     spark = prepare(vectors.sparkSession)
     rows = vectors.select(F.col(id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"), F.coalesce(queries, F.lit(False)).alias("asked"))
-    rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).groupBy("vec_id").agg(F.min("embedding").alias("embedding"), F.max("asked").alias("asked"))
+    rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     # At least the norm of the whole components: floor moves each by less than one.
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + F.pow(F.abs(x * 256.0) + 1.0, 2)))
-    rows = written(rows.withColumn("norm", norm), "vectors", few=True)
+    # The number of a row is fixed by writing it down.
+    rows = written(rows.withColumn("norm", norm).withColumn("row", F.monotonically_increasing_id()), "vectors", few=True)
     count, asked, longest, dim = rows.agg(F.count(F.lit(1)), F.count_if("asked"), F.max("norm"), F.max(F.size("embedding"))).first()
     if not asked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     per = max(1, VALUES // max(dim, 1))
     query_blocks = -(-asked // min(QUERIES, per))
     blocks = -(-count // min(CANDIDATES, per))
-    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    block = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     # New names: both sides of the search come from one table.
-    candidates = rows.select("vec_id", "embedding", block(blocks).alias("c"), every(query_blocks).alias("q"))
+    candidates = rows.select("row", "vec_id", "embedding", block(blocks).alias("c"), every(query_blocks).alias("q"))
     candidates = candidates.select(*[F.col(c).alias(f"_{c}") for c in candidates.columns]).toDF(*candidates.columns)
     bound = F.ceil(F.least(F.col("norm") * longest * 1.000001 + 1, F.lit(float(LIMIT)))).cast("long")
-    asking = rows.filter("asked").select("vec_id", "embedding", bound.alias("bound"), block(query_blocks).alias("q"))
-    state = asking.select("vec_id", (-F.col("bound")).alias("low"), F.floor(F.col("bound") / (BINS // 2) + 1).alias("width"), F.lit(k).cast("long").alias("need")).withColumn("span", F.col("width") * BINS)
+    asking = rows.filter("asked").select("row", "vec_id", "embedding", bound.alias("bound"), block(query_blocks).alias("q"))
+    state = asking.select("row", (-F.col("bound")).alias("low"), F.floor(F.col("bound") / (BINS // 2) + 1).alias("width"), F.lit(k).cast("long").alias("need")).withColumn("span", F.col("width") * BINS)
 
     def joined(state: DataFrame):
-        full = asking.join(state, "vec_id").withColumn("c", every(blocks))
+        full = asking.join(state, "row").withColumn("c", every(blocks))
         return full.groupBy("q", "c").cogroup(candidates.groupBy("q", "c"))
 
     while True:
         state = written(state, "state", few=True)
         if (state.agg(F.max("width")).first()[0] or 0) <= 0:
             break
-        counts = joined(state.filter("width > 0")).applyInPandas(histogram, "query_id long, bin long, count long").groupBy("query_id", "bin").agg(F.sum("count").alias("count"))
-        down = Window.partitionBy("query_id").orderBy(F.col("bin").desc())
-        placed = counts.withColumn("upto", F.sum("count").over(down)).join(state, F.col("query_id") == F.col("vec_id"))
+        counts = joined(state.filter("width > 0")).applyInPandas(histogram, "asked long, bin long, count long").groupBy("asked", "bin").agg(F.sum("count").alias("count"))
+        down = Window.partitionBy("asked").orderBy(F.col("bin").desc())
+        placed = counts.withColumn("upto", F.sum("count").over(down)).join(state, F.col("asked") == F.col("row"))
         hit = placed.filter((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("count") < F.col("need")))
         low = F.col("low") + F.col("bin") * F.col("width")
         # A bin of one value ends the search: width 0 marks it.
-        found = hit.select("vec_id", low.alias("low"), F.when(F.col("width") == 1, 0).otherwise(F.ceil(F.col("width") / BINS)).alias("width"), (F.col("need") - F.col("upto") + F.col("count")).alias("need"), F.col("width").alias("span"))
+        found = hit.select("row", low.alias("low"), F.when(F.col("width") == 1, 0).otherwise(F.ceil(F.col("width") / BINS)).alias("width"), (F.col("need") - F.col("upto") + F.col("count")).alias("need"), F.col("width").alias("span"))
         # Too few candidates for k: everything from the bottom of the range on is returned.
-        short = state.filter("width > 0").join(hit.select("vec_id"), "vec_id", "left_anti").select("vec_id", (F.col("low") - 1).alias("low"), F.lit(0).cast("long").alias("width"), F.lit(0).cast("long").alias("need"), "span")
+        short = state.filter("width > 0").join(hit.select("row"), "row", "left_anti").select("row", (F.col("low") - 1).alias("low"), F.lit(0).cast("long").alias("width"), F.lit(0).cast("long").alias("need"), "span")
         state = state.filter("width <= 0").unionByName(found).unionByName(short)
-    best = joined(state).applyInPandas(reached, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    best = joined(state).applyInPandas(reached, "asked long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("asked").orderBy(F.col("score").desc(), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
