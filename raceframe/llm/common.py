@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +56,16 @@ def written(df: DataFrame, name: str, *, few: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_value(spark: SparkSession, value):
+    """Broadcast an object together with the code of its class, so that executors need no copy of it."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def loaded(sent):
+    """The object that ``by_value`` sent."""
+    return pickle.loads(sent.value)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable node of every node: columns ``node`` and ``component``.
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from raceframe.llm.common import prepare
+from raceframe.llm.common import by_value, loaded, prepare
 from raceframe.llm.textblocks import LOWER, mix, pieces, span_hashes, text_bytes, word_spans
 
 UNDETERMINED = "und"
@@ -22,6 +22,15 @@ PIECE = 1 << 20
 SEGMENT = 32
 LETTER = np.zeros(256, dtype=bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[0xC3:] = True
+# The letters among the code points below 0xC0, by their second byte: ª, µ and º.
+LOW_LETTERS = np.array([0xAA, 0xB5, 0xBA], dtype=np.uint8)
+
+
+def letter_bytes(data: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 are or begin letters; signs from U+00C0 on count too, as bytes cannot tell them."""
+    found = LETTER[data]
+    found[:-1] |= (data[:-1] == 0xC2) & np.isin(data[1:], LOW_LETTERS)
+    return found
 
 
 @dataclass(frozen=True)
@@ -215,10 +224,11 @@ def _expected(scores: np.ndarray, moves: np.ndarray, chains: int, length: int) -
 def predict(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, score and mean posterior per label of every text of a column."""
     data, offsets = text_bytes(column)
-    letters = np.concatenate(([0], np.cumsum(LETTER[data])))
+    lettered = letter_bytes(data)
+    letters = np.concatenate(([0], np.cumsum(lettered)))
     worded = letters[offsets[1:]] > letters[offsets[:-1]]
     # Bytes above ASCII may be signs rather than letters: texts without an ASCII letter are looked at again.
-    ascii_letters = np.concatenate(([0], np.cumsum(LETTER[data] & (data < 128))))
+    ascii_letters = np.concatenate(([0], np.cumsum(lettered & (data < 128))))
     for i in np.flatnonzero(worded & (ascii_letters[offsets[1:]] == ascii_letters[offsets[:-1]])):
         worded[i] = any(c.isalpha() for c in column[int(i)].as_py())
     data = LOWER[data]
@@ -263,12 +273,12 @@ def identify(
     spark = prepare(docs.sparkSession)
     held = F.coalesce(F.crc32(F.col(id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
     texts, langs = training_rows(docs, id=id, text=text, lang=lang, held_out=held, per_lang=per_lang, sample_chars=sample_chars)
-    model = spark.sparkContext.broadcast(fit(texts, langs) if texts else None)
+    model = by_value(spark, fit(texts, langs) if texts else None)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = loaded(model)
         for batch in batches:
             for piece in pieces(batch, "text", PIECE):
-                m = model.value
                 column = piece.column(2)
                 if m is None:
                     names, score, share = [UNDETERMINED] * len(column), np.zeros(len(column)), [[]] * len(column)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from raceframe.llm.common import prepare
+from raceframe.llm.common import by_value, loaded, prepare
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 OUTSIDE = 0
@@ -388,16 +388,17 @@ def find_pii(docs: DataFrame, *, id: str = "doc_id", text: str = "text", seed: i
     one holds no candidate.  Null and empty texts have no spans; every row gets a row, repeated ids too.
     """
     spark = prepare(docs.sparkSession)
-    model = spark.sparkContext.broadcast(train(seed))
+    model = by_value(spark, train(seed))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("kind", "start", "end", "base")
+        decoder = loaded(model)
         for batch in batches:
             found = []
             for value in batch.column(1):
                 t = value.as_py() or ""
-                found.append([dict(zip(names, s)) for s in find_spans(t, model.value)])
+                found.append([dict(zip(names, s)) for s in find_spans(t, decoder)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], ["id", "spans"])
 
     of = dict(docs.dtypes)[id]
