@@ -72,6 +72,26 @@ def value_chunk(value: Column) -> Column:
     return chunk.cast("long")
 
 
+def ordered_pieces(df: DataFrame, column: str, name: str, rows: int) -> DataFrame:
+    """Add ``name``: the number of the piece, in rising order of a known double, a row lies in.
+
+    Borders follow the data: values are counted per ``value_chunk``, chunks with more than
+    ``rows`` rows are cut into even steps, and the steps are numbered by the rows before
+    them, so that a piece has about ``rows`` rows.  Only equal values, and values closer than
+    a step of a crowded chunk, stay together beyond that.
+    """
+    v = F.col(column)
+    marked = df.withColumn("__chunk", value_chunk(v))
+    chunks = marked.groupBy("__chunk").agg(F.count(F.lit(1)).alias("__n"), F.min(column).alias("__low"), F.max(column).alias("__high"))
+    chunks = chunks.select("__chunk", "__low", "__high", F.least(F.ceil(F.col("__n") * 4 / rows), F.lit(65536)).alias("__steps"))
+    step = F.floor((v - F.col("__low")) / (F.col("__high") - F.col("__low")) * F.col("__steps"))
+    marked = marked.join(chunks, "__chunk").withColumn("__step", F.when((F.col("__steps") > 4) & (F.col("__high") > F.col("__low")), step).otherwise(0).cast("long"))
+    steps = marked.groupBy("__chunk", "__step").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.orderBy("__chunk", "__step").rowsBetween(Window.unboundedPreceding, -1)
+    steps = steps.select("__chunk", "__step", F.floor(F.coalesce(F.sum("__n").over(earlier), F.lit(0)) / rows).alias(name))
+    return marked.join(steps, ["__chunk", "__step"]).select(*df.columns, name)
+
+
 def prior(
     df: DataFrame,
     keys: Sequence[str],

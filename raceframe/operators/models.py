@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -9,14 +11,15 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.recommendation import ALS
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.regression import GBTRegressor
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from raceframe.functions.columns import clip, logit, sigmoid
-from raceframe.operators import evaluate
+from raceframe.operators import evaluate, isotonic
 from raceframe.operators.grouping import dense_ids, quantiles
 from raceframe.operators.splits import group_split
+from raceframe.session import work_dir
 
 MISSING = -999.0
 
@@ -54,13 +57,23 @@ def score(model: PipelineModel, df: DataFrame, features: Sequence[str], name: st
     return out.select("__row.*", vector_to_array("probability")[1].alias(name))
 
 
-def importance(model: PipelineModel, features: Sequence[str], version: str, spark) -> DataFrame:
-    """Gain per feature with its rank; the trees do not expose split counts, which stay NULL."""
+def split_counts(model: PipelineModel, features: Sequence[str], spark: SparkSession) -> DataFrame:
+    """(feature, split): how many inner nodes of all trees split on each feature, from the saved model's table of nodes."""
+    path = f"{work_dir(spark)}/trees-{uuid.uuid4().hex}"
+    model.stages[-1].save(path)
+    nodes = spark.read.parquet(f"{path}/data").select("nodeData.*").filter("leftChild >= 0")
+    counts = nodes.groupBy(F.col("split.featureIndex").alias("i")).agg(F.count(F.lit(1)).alias("split"))
+    names = spark.createDataFrame(list(enumerate(features)), "i int, feature string")
+    return names.join(counts, "i", "left").select("feature", F.coalesce("split", F.lit(0)).alias("split"))
+
+
+def importance(model: PipelineModel, features: Sequence[str], version: str, spark: SparkSession) -> DataFrame:
+    """Gain and number of splits per feature, with the rank by each."""
     gains = model.stages[-1].featureImportances.toArray()
-    rows = [(version, f, float(g), None) for f, g in zip(features, gains)]
-    df = spark.createDataFrame(rows, "version string, feature string, gain double, split long")
-    order = Window.partitionBy("version").orderBy(F.col("gain").desc(), F.col("feature"))
-    return df.withColumn("rank", F.row_number().over(order).cast("long"))
+    df = spark.createDataFrame([(version, f, float(g)) for f, g in zip(features, gains)], "version string, feature string, gain double")
+    df = df.join(split_counts(model, features, spark), "feature").select("version", "feature", "gain", "split")
+    place = lambda c: F.row_number().over(Window.partitionBy("version").orderBy(F.col(c).desc(), F.col("feature"))).cast("long")
+    return df.withColumns({"rank": place("gain"), "split_rank": place("split")})
 
 
 # --- calibration -------------------------------------------------------------------------
@@ -77,28 +90,12 @@ def apply_platt(p: str, fit: tuple[float, float]) -> Column:
     return sigmoid(fit[0] * logit(p) + fit[1])
 
 
-def fit_isotonic(df: DataFrame, p: str, label: str):
-    """Monotone fit of the label on the prediction.
-
-    Rows are first averaged per prediction to six decimals, so the final pooling
-    sees at most a million weighted points however many rows there are.
-    """
-    points = df.groupBy(F.round(p, 6).alias("x")).agg(F.avg(F.col(label).cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("w"))
-    return IsotonicRegression(featuresCol="x", labelCol="label", weightCol="w").fit(points)
-
-
-def apply_isotonic(model, df: DataFrame, p: str, name: str) -> DataFrame:
-    """Monotone fit applied to a column."""
-    x = df.withColumn("x", F.round(p, 6))
-    return model.transform(x).withColumnRenamed("prediction", name).drop("x")
-
-
 def calibrate(fit_on: DataFrame, apply_to: DataFrame, p: str, label: str, method: str, name: str = "p_cal") -> DataFrame:
     """Calibrated probability by ``platt``, ``isotonic`` or ``identity``."""
     if method == "platt":
         return apply_to.withColumn(name, apply_platt(p, fit_platt(fit_on, p, label)))
     if method == "isotonic":
-        return apply_isotonic(fit_isotonic(fit_on, p, label), apply_to, p, name)
+        return isotonic.apply(isotonic.fit(fit_on, p, label), apply_to, p, name)
     if method == "identity":
         return apply_to.withColumn(name, F.col(p))
     raise ValueError("method must be platt, isotonic or identity")
@@ -252,21 +249,47 @@ def permute(df: DataFrame, column: str, key: Sequence[str], seed: int = 42, buck
     return out.withColumn(column, F.col("__v")).select(*df.columns)
 
 
-def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequence[str], label: str, test_features: Sequence[str], seed: int = 42) -> DataFrame:
-    """Loss of AUC, first-place hits and reciprocal rank when one feature is permuted."""
-    def metrics(x: DataFrame, name: str) -> DataFrame:
-        s = score(model, x, features)
-        r = evaluate.ranking_metrics(s, "p", label).select("top1_hit_rate", "mrr")
-        return r.withColumns({"feature": F.lit(name), "auc": evaluate.roc_auc(s, "p", label).scalar()})
+def permuted_rows(df: DataFrame, key: Sequence[str], features: Sequence[str], repeats: int = 3, seed: int = 42, rows: int = 512) -> DataFrame:
+    """Every row once per (``feature``, ``repeat``), with ``value``: what another row holds in that feature.
 
-    base = metrics(df, "")
-    ref = base.select(F.struct("auc", "top1_hit_rate", "mrr")).scalar()
-    out = None
-    for f in test_features:
-        m = metrics(permute(df, f, ["event", "entity"], seed), f).select(
-            "feature", (ref["auc"] - F.col("auc")).alias("delta_auc"), (ref["top1_hit_rate"] - F.col("top1_hit_rate")).alias("delta_top1"),
-            (ref["mrr"] - F.col("mrr")).alias("delta_mrr"),
-        )
-        out = m if out is None else out.unionByName(m)
+    Rows meet in random buckets of about ``rows`` rows, by a hash of their key, and a
+    feature's values are dealt out again in the order of a hash of (key, feature, repeat),
+    so one shuffle serves all features and repeats.  ``key`` tells rows apart.
+    """
+    keys = [F.col(k) for k in key]
+    buckets = max(1, math.ceil(df.count() / rows))
+    row = F.struct(F.xxhash64(*keys, F.lit(seed)).alias("h"), F.struct(*df.columns).alias("r"))
+    packed = df.select(F.pmod(F.xxhash64(*keys, F.lit(seed + 1)), F.lit(buckets)).alias("b"), row.alias("x"))
+    packed = packed.groupBy("b").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+
+    def dealt(f: str, k: int) -> Column:
+        drawn = F.transform("xs", lambda x: F.struct(F.xxhash64(*[x.r[c] for c in key], F.lit(f), F.lit(seed + k)).alias("h"), x.h.alias("t"), x.r[f].cast("double").alias("v")))
+        return F.struct(F.lit(f).alias("feature"), F.lit(k).alias("repeat"), F.array_sort(drawn).v.alias("vs"))
+
+    turns = packed.select("xs", F.explode(F.array(*[dealt(f, k) for f in features for k in range(1, repeats + 1)])).alias("d"))
+    each = turns.select("d.feature", "d.repeat", F.explode(F.arrays_zip(F.col("xs").r.alias("r"), F.col("d.vs").alias("vs"))).alias("z"))
+    return each.select("z.r.*", "feature", "repeat", F.col("z.vs").alias("value"))
+
+
+def permutation_importance(
+    model: PipelineModel, df: DataFrame, features: Sequence[str], label: str, test_features: Sequence[str] | None = None, repeats: int = 3, seed: int = 42,
+) -> DataFrame:
+    """Mean loss of AUC, first-place hits and reciprocal rank when a feature is permuted, over ``repeats`` draws.
+
+    All features and repeats are scored together and measured by (feature, repeat).
+    """
+    wanted = list(features if test_features is None else test_features)
+    plain = df.select("event", "entity", label, *features)
+    rows = permuted_rows(plain, ["event", "entity"], wanted, repeats, seed)
+    swapped = {f: F.when(F.col("feature") == f, F.col("value")).otherwise(F.col(f).cast("double")) for f in wanted}
+    base = plain.withColumns({"feature": F.lit(""), "repeat": F.lit(0)} | {f: F.col(f).cast("double") for f in wanted})
+    scored = score(model, rows.withColumns(swapped).drop("value").unionByName(base), features)
+    by = ["feature", "repeat"]
+    found = evaluate.ranking_metrics(scored, "p", label, by).select(*by, F.col("top1_hit_rate").alias("top1"), "mrr").join(evaluate.roc_auc(scored, "p", label, by), by)
+    ref = found.filter("feature = ''").select(F.struct("auc", "top1", "mrr")).scalar()
+    names = ("auc", "top1", "mrr")
+    losses = found.filter("feature <> ''").select("feature", *[(ref[m] - F.col(m)).alias(m) for m in names])
+    out = losses.groupBy("feature").agg(
+        *[F.avg(m).alias(f"delta_{m}") for m in names], F.stddev_samp("auc").alias("delta_auc_std"), F.count(F.lit(1)).alias("n_repeats"))
     order = Window.orderBy(F.col("delta_auc").desc(), F.col("feature"))
     return out.withColumn("rank", F.row_number().over(order).cast("long"))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from raceframe.functions import constants as K
-from raceframe.operators import evaluate, features, models, profiles
+from raceframe.operators import evaluate, features, grouping, isotonic, models, profiles
 from raceframe.plans import history_queries, registry
 from raceframe.plans.base import ENTRIES, entries, r6, stored, table
 from raceframe.plans.registry import query
@@ -127,6 +127,19 @@ def tree_importance(spark, sf_dir):
     return models.importance(models.fit_trees(train, FEATURES, "target_in3", rounds=5, depth=3), FEATURES, "v4", spark)
 
 
+@query("tree_split_check", "M7", ENTRIES + "SELECT 'v4' AS version, 12::BIGINT AS n_features, TRUE AS inner_nodes, TRUE AS used_have_gain, 78::BIGINT AS sum_rank, 78::BIGINT AS sum_split_rank FROM entries LIMIT 1")
+def tree_split_check(spark, sf_dir):
+    """Splits are as many as inner nodes; a feature has gain just where it has splits; ranks run from 1."""
+    train, _ = _train_test(spark, sf_dir)
+    model = models.fit_trees(train, FEATURES, "target_in3", rounds=5, depth=3)
+    out = models.importance(model, FEATURES, "v4", spark)
+    inner = (model.stages[-1].totalNumNodes - model.stages[-1].getNumTrees) // 2
+    return out.groupBy("version").agg(
+        F.count(F.lit(1)).alias("n_features"), (F.sum("split") == inner).alias("inner_nodes"), F.min((F.col("gain") > 0) == (F.col("split") > 0)).alias("used_have_gain"),
+        F.sum("rank").alias("sum_rank"), F.sum("split_rank").alias("sum_split_rank"),
+    )
+
+
 @query("logistic_scores", "M2")
 def logistic_scores(spark, sf_dir):
     train, test = _train_test(spark, sf_dir)
@@ -141,10 +154,41 @@ def calibration_methods(spark, sf_dir):
     return models.compare_calibrations(df.filter(F.col("event_date") < cut), df.filter(F.col("event_date") >= cut), "p", "win")
 
 
+@query("isotonic_fit", "M3", ENTRIES + """, t AS (SELECT round(p, 3) AS x, count(*) AS n, sum(CAST(outcome = 1 AS INTEGER)) AS s FROM entries GROUP BY 1),
+c AS (SELECT x, n, row_number() OVER (ORDER BY x) AS i, sum(n) OVER (ORDER BY x) AS cn, sum(s) OVER (ORDER BY x) AS cs, sum(n) OVER (ORDER BY x) - n AS bn, sum(s) OVER (ORDER BY x) - s AS bs FROM t),
+m AS (SELECT j.i AS j, k.i AS k, min((k.cs - j.bs) / CAST(k.cn - j.bn AS DOUBLE)) OVER (PARTITION BY j.i ORDER BY k.i DESC) AS low FROM c j JOIN c k ON k.i >= j.i)
+SELECT x, n, round(max(low) OVER (ORDER BY x), 6) AS fitted FROM (SELECT c.x, c.n, max(m.low) AS low FROM c JOIN m ON m.k = c.i GROUP BY c.x, c.n)""")
+def isotonic_fit(spark, sf_dir):
+    """The rising fit of wins on the prediction to three decimals; its SQL is the max-min form over all ranges."""
+    df = entries(spark, sf_dir).select(F.round("p", 3).alias("x"), F.when(F.col("outcome") == 1, 1).otherwise(0).alias("win"))
+    points = df.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    return isotonic.apply(isotonic.fit(df, "x", "win"), points, "x", "fitted").withColumn("fitted", r6("fitted"))
+
+
+@query("calibration_check", "M3", ENTRIES + """, t AS (SELECT CAST(outcome = 1 AS INTEGER) AS win FROM entries)
+SELECT m AS method, (SELECT count(*) FROM t) AS n, TRUE AS in_range, m <> 'identity' AS keeps_mean, TRUE AS rising, TRUE AS no_worse FROM (VALUES ('identity'), ('platt'), ('isotonic')) v(m)""")
+def calibration_check(spark, sf_dir):
+    """On the rows they are fitted to: in range, rising with the prediction, with the mean of the label, no larger error."""
+    df = entries(spark, sf_dir).select(*KEY, "p", F.when(F.col("outcome") == 1, 1).otherwise(0).alias("win")).withColumn("skewed", F.pow("p", 2))
+    plain = df.agg(F.avg(F.pow(F.col("skewed") - F.col("win"), 2))).scalar()
+    out = None
+    for m in ("identity", "platt", "isotonic"):
+        c = models.calibrate(df, df, "skewed", "win", m)
+        per = c.groupBy("skewed").agg(F.min("p_cal").alias("lo"), F.max("p_cal").alias("hi"), F.sum("win").alias("w"), F.count(F.lit(1)).alias("n"), F.sum(F.pow(F.col("p_cal") - F.col("win"), 2)).alias("e"), F.sum("p_cal").alias("s"))
+        placed = grouping.prior(grouping.ordered_pieces(per, "skewed", "piece", 100_000), [], "piece", [F.col("skewed")], {"peak": ("max", F.col("hi"))})
+        one = placed.agg(
+            F.lit(m).alias("method"), F.sum("n").alias("n"), F.min((F.col("lo") >= 0) & (F.col("hi") <= 1)).alias("in_range"),
+            (F.abs(F.sum("s") - F.sum("w")) < 0.001 * F.sum("w")).alias("keeps_mean"), F.min(F.coalesce(F.col("lo") >= F.col("peak") - 1e-9, F.lit(True))).alias("rising"),
+            (F.sum("e") / F.sum("n") <= plain + 1e-9).alias("no_worse"),
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("calibrated_scores", "M8")
 def calibrated_scores(spark, sf_dir):
-    train, _ = _train_test(spark, sf_dir)
-    return models.calibrated_fit(train, FEATURES, "target_win").select(*KEY, "p", "p_cal")
+    """Events of all years; every third part is held back from model and calibration."""
+    return models.calibrated_fit(frame(spark, sf_dir).select(*KEY, *FEATURES, "target_win"), FEATURES, "target_win").select(*KEY, "p", "p_cal")
 
 
 @query("two_stage_pace", "M4")
@@ -213,7 +257,21 @@ def pair_affinity(spark, sf_dir):
 def permutation_importance(spark, sf_dir):
     train, test = _train_test(spark, sf_dir)
     model = models.fit_logistic(train, FEATURES, "target_win")
-    return models.permutation_importance(model, test, FEATURES, "target_win", ["h_avg_finish", "field_size"])
+    return models.permutation_importance(model, test, FEATURES, "target_win")
+
+
+@query("permuted_rows", "E11", f"""WITH f AS ({FEATURE_SQL}), t AS (SELECT {", ".join(FEATURES)} FROM f WHERE event_date >= DATE '1998-01-01')
+""" + " UNION ALL ".join(f"""SELECT '{c}' AS feature, CAST(k AS INTEGER) AS repeat, count(*) AS n, count({c}) AS n_known, round(sum(CAST({c} AS DOUBLE)), 2) AS total, min(CAST({c} AS DOUBLE)) AS low, max(CAST({c} AS DOUBLE)) AS high,
+  count(DISTINCT {c}) > 1 AS moved FROM t, range(1, 4) r(k) GROUP BY k""" for c in FEATURES))
+def permuted_rows(spark, sf_dir):
+    """Every draw of every feature keeps the rows and the values, and moves them."""
+    _, test = _train_test(spark, sf_dir)
+    rows = models.permuted_rows(round_doubles(test.select(*KEY, *FEATURES)), KEY, FEATURES)
+    own = F.coalesce(*[F.when(F.col("feature") == c, F.col(c).cast("double")) for c in FEATURES])
+    return rows.groupBy("feature", "repeat").agg(
+        F.count(F.lit(1)).alias("n"), F.count("value").alias("n_known"), F.round(F.sum("value"), 2).alias("total"), F.min("value").alias("low"), F.max("value").alias("high"),
+        F.max(~F.col("value").eqNullSafe(own)).alias("moved"),
+    )
 
 
 @query("permuted_column", "E11", ENTRIES + "SELECT qty, count(*) AS n FROM entries GROUP BY 1")
