@@ -222,6 +222,21 @@ def recent_date_strict(
     return df.join(recent_days(df, keys, n, fields, valid), [*keys, "day"], "left")
 
 
+def last_runs(
+    df: DataFrame, n: int, fields: Sequence[str], keys: Sequence[str] = ("entity",), left_out: Column | None = None
+) -> DataFrame:
+    """Add ``recent``: the latest ``n`` runs before the day, without those for which ``left_out`` holds.
+
+    A run that is left out, like a late start, gives its place to an earlier one; rows with
+    a NULL key have no runs.
+    """
+    valid = F.lit(True) if left_out is None else ~F.coalesce(left_out, F.lit(False))
+    known = " AND ".join(f"{k} IS NOT NULL" for k in keys)
+    days = recent_days(df.filter(known), keys, n, fields, valid)
+    none = F.array().cast(days.schema["recent"].dataType)
+    return df.join(days, [*keys, "day"], "left").select(*df.columns, F.coalesce("recent", none).alias("recent"))
+
+
 def recent_row_strict(
     df: DataFrame, n: int, fields: Sequence[str], keys: Sequence[str] = ("entity",), source: DataFrame | None = None
 ) -> DataFrame:

@@ -361,7 +361,7 @@ def score_drift(spark, sf_dir):
 
 @query("time_split", "E1 S4", ENTRIES + "SELECT CASE WHEN event_date < DATE '1997-01-01' THEN 'train' WHEN event_date < DATE '1999-01-01' THEN 'val' ELSE 'test' END AS split, count(*) AS n, count(DISTINCT event) AS events, min(event_date) AS first, max(event_date) AS last FROM entries GROUP BY 1")
 def time_split(spark, sf_dir):
-    out = splits.time_split(entries(spark, sf_dir), "event_date", "1997-01-01", "1999-01-01")
+    out = splits.require_disjoint(splits.time_split(entries(spark, sf_dir), "event_date", "1997-01-01", "1999-01-01"))
     return out.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event").alias("events"), F.min("event_date").alias("first"), F.max("event_date").alias("last"))
 
 

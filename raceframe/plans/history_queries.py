@@ -100,6 +100,19 @@ def conditional_asof(spark, sf_dir):
     return _round(out, KEY + counts, [*rates, "h_avg_finish_dist", "h_avg_last3f_dist"])
 
 
+@query("last_runs_clean", "T5 P14", ENTRIES + """, runs AS (SELECT a.event, a.entity, b.event AS run, b.day AS run_day, b.tax AS run_tax, row_number() OVER (PARTITION BY a.event, a.entity ORDER BY b.day DESC, b.event DESC) AS k,
+  row_number() OVER (PARTITION BY a.event, a.entity, b.tax = 8 ORDER BY b.day DESC, b.event DESC) AS kc FROM entries a JOIN entries b ON a.entity = b.entity AND b.day < a.day)
+SELECT event, entity, coalesce(string_agg(CAST(run AS VARCHAR), ',' ORDER BY run_day DESC, run DESC) FILTER (k <= 3), '') AS runs,
+  coalesce(string_agg(CAST(run AS VARCHAR), ',' ORDER BY run_day DESC, run DESC) FILTER (kc <= 3 AND run_tax <> 8), '') AS clean_runs FROM entries LEFT JOIN runs USING (event, entity) GROUP BY event, entity""")
+def last_runs_clean(spark, sf_dir):
+    """The last three runs of every entry, all of them and those without a late start."""
+    df = entries(spark, sf_dir).select(*KEY, "day", F.when(F.col("tax") == 8, "出遅れ").alias("remarks"))
+    every = H.last_runs(df, 3, []).withColumnRenamed("recent", "every")
+    clean = H.last_runs(df, 3, [], left_out=C.late_start("remarks")).select(*KEY, F.col("recent").alias("clean"))
+    listed = lambda c: F.array_join(F.transform(c, lambda r: r.event.cast("string")), ",")
+    return every.join(clean, KEY).select(*KEY, listed("every").alias("runs"), listed("clean").alias("clean_runs"))
+
+
 @query(
     "recent_form_asof", "W3",
     ENTRIES + _PAST + """

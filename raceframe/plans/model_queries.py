@@ -284,8 +284,11 @@ def permuted_column(spark, sf_dir):
 # --- streaming -----------------------------------------------------------------------------------
 
 
-@query("streamed_latest", "R1", "SELECT user_id, event_type, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, value DESC) AS k FROM events) WHERE k = 1")
-def streamed_latest(spark, sf_dir):
+_LATEST = "SELECT user_id, event_type, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, value DESC) AS k FROM events) WHERE k = 1"
+_OBSERVED = (["user_id", "event_type"], "ts", ["value"])
+
+
+def _event_stream(spark, sf_dir):
     """The events as four files, read file by file as a stream."""
     def build(s, d):
         at = F.col("ts").cast("timestamp").alias("ts")
@@ -293,11 +296,22 @@ def streamed_latest(spark, sf_dir):
 
     source = stored(spark, sf_dir, "event-log", build)
     path = source.inputFiles()[0].rsplit("/", 1)[0]
-    run = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
-    stream = observations.observation_stream(spark, path, source.schema)
-    q = observations.keep_latest(stream, ["user_id", "event_type"], "ts", ["value"], f"{run}/table", f"{run}/checkpoint", full_every=3)
-    q.awaitTermination()
-    return observations.current_table(spark, f"{run}/table", ["user_id", "event_type"], "ts", ["value"])
+    return observations.observation_stream(spark, path, source.schema), f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+
+@query("streamed_latest", "R1", _LATEST)
+def streamed_latest(spark, sf_dir):
+    stream, run = _event_stream(spark, sf_dir)
+    observations.keep_latest(stream, *_OBSERVED, f"{run}/table", f"{run}/checkpoint", full_every=3).awaitTermination()
+    return observations.current_table(spark, f"{run}/table", *_OBSERVED)
+
+
+@query("streamed_compacted", "R1", _LATEST)
+def streamed_compacted(spark, sf_dir):
+    """The same table with one row per key, older copies removed batch by batch."""
+    stream, run = _event_stream(spark, sf_dir)
+    observations.keep_compacted(stream, *_OBSERVED, f"{run}/table", f"{run}/checkpoint", buckets=16).awaitTermination()
+    return observations.compacted_table(spark, f"{run}/table", stream.schema)
 
 
 @query("observation_completeness", "R2", "WITH c AS (SELECT user_id, count(*) AS w FROM events GROUP BY 1), o AS (SELECT user_id, count(*) AS n FROM events WHERE value > 10 GROUP BY 1) SELECT user_id, w AS n_expected, coalesce(n,0) AS n_observed, round(coalesce(n,0)/w,6) AS rate, coalesce(n,0)*2 < w AS incomplete FROM c LEFT JOIN o USING (user_id)")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from raceframe.functions import columns as C
 from raceframe.functions import constants as K
@@ -184,6 +185,20 @@ def event_document_days(spark, sf_dir):
     return reports.day_summary(reports.event_documents(df, ["event_date"], ["entity", "p"], "rank"), "event_date")
 
 
+_LINES = "event_date date, event long, rank long, place string, distance int, entity long, post long, actor long, owner string, p double"
+
+
+@query("event_document_files", "S11 T6", ENTRIES + """, r AS (SELECT *, row_number() OVER (PARTITION BY event ORDER BY round(p, 6) DESC, entity) AS rank FROM entries)
+SELECT event_date, event, 0::BIGINT AS rank, place, distance, NULL::BIGINT AS entity, NULL::BIGINT AS post, NULL::BIGINT AS actor, NULL AS owner, NULL::DOUBLE AS p FROM r WHERE rank = 1
+UNION ALL SELECT event_date, event, rank, NULL, NULL, entity, post, actor, owner, round(p, 6) FROM r""")
+def event_document_files(spark, sf_dir):
+    """Every event written as a document in the folder of its date, and parsed back."""
+    path = f"{work_dir(spark)}/event-documents-{zlib.crc32(sf_dir.encode()):08x}"
+    df = reports.ranked_entries(entries(spark, sf_dir).withColumn("p", F.round("p", 6)), "p", "field_size")
+    reports.write_event_documents(df, path, "event_date", ["place", "distance"], ["entity", "post", "actor", "owner", "p"], "rank")
+    return reports.read_event_documents(spark, path, StructType.fromDDL(_LINES))
+
+
 # --- parsing and encoding ------------------------------------------------------------------
 
 

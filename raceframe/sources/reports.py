@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from raceframe.operators.grouping import rank_in_group
 
@@ -42,6 +43,30 @@ def event_documents(df: DataFrame, attributes: Sequence[str], fields: Sequence[s
     return per.select("event", "part", *attributes, F.size("entries").cast("long").alias("n_entries"), body.alias("document"))
 
 
+def write_event_documents(df: DataFrame, path: str, date: str, attributes: Sequence[str], fields: Sequence[str], rank: str) -> None:
+    """Write the events as documents of JSON lines, in folders by date.
+
+    A document is a line with the event and its attributes and a line per entry by rank
+    (``rank`` 0 marks the first).  Rows are dealt by ranges of (date, event, rank) and
+    sorted, and the writer cuts them into lines, so a document is never held in memory; one that
+    is larger than a task goes on in the next file.
+    """
+    kind = df.schema[rank].dataType
+    none = [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in fields]
+    head = F.struct(F.lit(0).cast(kind).alias(rank), *attributes, *none)
+    entry = F.struct(F.col(rank), *[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in attributes], *fields)
+    lines = F.explode(F.when(F.col(rank) == 1, F.array(head, entry)).otherwise(F.array(entry)))
+    rows = df.repartitionByRange(date, "event", rank).sortWithinPartitions(date, "event", rank)
+    rows.select(date, "event", lines.alias("line")).select(date, "event", "line.*").write.mode("overwrite").partitionBy(date).json(path)
+
+
+def read_event_documents(spark: SparkSession, path: str, schema: StructType, dates: tuple[str, str] | None = None) -> DataFrame:
+    """The lines of written documents; ``dates`` reads the folders of a span of days alone."""
+    rows = spark.read.schema(schema).json(path)
+    date = schema.names[0]
+    return rows if dates is None else rows.filter(F.col(date).between(*[F.lit(d).cast("date") for d in dates]))
+
+
 def day_summary(documents: DataFrame, date: str) -> DataFrame:
     """Events, documents and entries per day."""
     return documents.groupBy(date).agg(

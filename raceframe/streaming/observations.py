@@ -60,6 +60,88 @@ def current_table(spark: SparkSession, table: str, keys: Sequence[str], at: str,
     return latest(_since_last_full(spark, table), keys, at, fields)
 
 
+def _folder(spark: SparkSession, path: str):
+    """The file system of a path and the path, as Hadoop knows them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    files, at = _folder(spark, path)
+    return sorted(f.getPath().getName() for f in files.listStatus(at)) if files.exists(at) else []
+
+
+def _held(spark: SparkSession, table: str) -> dict[int, list[int]]:
+    """Committed batches, oldest first, with the buckets each of them still has."""
+    batches = sorted(int(n.split("=")[1]) for n in _names(spark, table) if n.startswith("batch="))
+    found = {b: _names(spark, f"{table}/batch={b}") for b in batches}
+    return {b: [int(n.split("=")[1]) for n in names if n.startswith("bucket=")] for b, names in found.items() if "_SUCCESS" in names}
+
+
+def _newest(held: dict[int, list[int]]) -> dict[int, int]:
+    """The newest batch of every bucket."""
+    return {bucket: batch for batch, buckets in held.items() for bucket in buckets}
+
+
+def _read(spark: SparkSession, table: str, where: dict[int, int], schema: T.StructType) -> DataFrame:
+    """The rows of one batch of each of the buckets given."""
+    paths = [f"{table}/batch={batch}/bucket={bucket}" for bucket, batch in sorted(where.items())]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def merge_batch(batch: DataFrame, epoch: int, table: str, keys: Sequence[str], at: str, fields: Sequence[str], buckets: int = 64) -> None:
+    """Bring a batch into a table of ``buckets`` key buckets, one row per key, and remove what it replaces.
+
+    Only the buckets with a key of the batch are written anew, under the batch's number.  Spark
+    marks the batch's folder when all of it is there; until then readers and a second run
+    see the buckets of earlier batches, which are removed only afterwards.  A batch that is
+    already marked is not merged again.  The table holds at most one folder per bucket and,
+    while a batch is written, the ones it replaces.
+    """
+    spark = batch.sparkSession
+    held = _held(spark, table)
+    if epoch not in held:
+        rows = batch.select(*keys, at, *fields, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket"))
+        touched = [r[0] for r in rows.select("bucket").distinct().collect()]
+        before = {bucket: b for bucket, b in _newest(held).items() if bucket in touched}
+        old = _read(spark, table, before, rows.drop("bucket").schema)
+        old = old.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        merged = latest(rows.unionByName(old), [*keys, "bucket"], at, fields)
+        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/batch={epoch}")
+        held = _held(spark, table)
+    newest = _newest(held)
+    for number, own in held.items():
+        stale = [bucket for bucket in own if newest[bucket] > number]
+        whole = len(stale) == len(own) and number < max(held)
+        for path in [f"{table}/batch={number}"] if whole else [f"{table}/batch={number}/bucket={bucket}" for bucket in stale]:
+            files, place = _folder(spark, path)
+            files.delete(place, True)
+
+
+def keep_compacted(
+    stream: DataFrame, keys: Sequence[str], at: str, fields: Sequence[str], table: str, checkpoint: str,
+    cutoff: Column | None = None, buckets: int = 64,
+):
+    """Start a query that keeps the latest observation per key in a table of bounded size, and return it.
+
+    As ``keep_latest``, but a batch rewrites the key buckets it touches and the older
+    copies go, so that storage and reading follow the number of keys, not of batches.
+    """
+    seen = stream.select(*keys, at, *fields)
+    if cutoff is not None:
+        seen = seen.filter(F.col(at) <= cutoff)
+    return (
+        seen.writeStream.foreachBatch(lambda batch, epoch: merge_batch(batch, epoch, table, keys, at, fields, buckets))
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
+def compacted_table(spark: SparkSession, table: str, schema: T.StructType) -> DataFrame:
+    """The rows of a compacted table: of every bucket its newest committed batch."""
+    return _read(spark, table, _newest(_held(spark, table)), schema)
+
+
 def completeness(observed: DataFrame, expected: DataFrame, key: str, want: str) -> DataFrame:
     """Observed against expected number per key, flagged below half."""
     have = observed.groupBy(key).agg(F.count(F.lit(1)).alias("n_observed"))
