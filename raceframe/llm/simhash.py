@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,14 +59,22 @@ def fingerprints(docs: DataFrame, *, id: str = "doc_id", text: str = "text", wid
 def segments(count: int, distance: int) -> list[tuple[int, int, int]]:
     """(first bit, bits, radius) of every segment.
 
-    Segments are about as wide as the logarithm of the table, so that a segment's value
-    has few fingerprints.  Of a pair within ``distance``, some segment is within its
-    radius: the radii plus one add up to more than ``distance``.
+    Of a pair within ``distance``, some segment is within its radius: the radii plus one
+    add up to more than ``distance``.  Fewer segments are wider and have larger balls, more
+    of them match more fingerprints by chance; the number is the one with the fewest probes
+    and expected matches per fingerprint.
     """
-    parts = max(2, min(distance + 1, round(BITS / max(12, count.bit_length() + 3))))
-    edges = [BITS * k // parts for k in range(parts + 1)]
-    radius, rest = divmod(distance, parts)
-    return [(a, b - a, radius if k <= rest else radius - 1) for k, (a, b) in enumerate(zip(edges, edges[1:])) if k <= rest or radius > 0]
+
+    def cuts(parts: int) -> list[tuple[int, int, int]]:
+        edges = [BITS * k // parts for k in range(parts + 1)]
+        radius, rest = divmod(distance, parts)
+        return [(a, b - a, radius if k <= rest else radius - 1) for k, (a, b) in enumerate(zip(edges, edges[1:])) if k <= rest or radius > 0]
+
+    def cost(found: list[tuple[int, int, int]]) -> float:
+        probes = [(bits, sum(math.comb(bits, r) for r in range(radius + 1))) for _, bits, radius in found]
+        return sum(n + n * count / 2**bits for bits, n in probes) + len(found)
+
+    return min((cuts(parts) for parts in range(2, max(2, distance + 1) + 1)), key=cost)
 
 
 def ball(bits: int, radius: int) -> list[int]:
