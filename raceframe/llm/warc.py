@@ -190,8 +190,11 @@ def write_warc(
     """
     prepare(pages.sparkSession)
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
-    sample = pages.select(F.substring(payload, 1, sample_chars).alias("s"), F.xxhash64(id, payload).alias("h")).orderBy("h", "s").limit(sample_rows)
-    dictionary = train_dictionary([r.s.encode() for r in sample.collect() if r.s], dictionary_bytes)
+    # The rows of the smallest hashes: hashes alone are sorted, then the texts of the chosen ones are read.
+    hashed = pages.select(F.xxhash64(id, payload).alias("h"), F.substring(payload, 1, sample_chars).alias("s"))
+    chosen = [r.h for r in hashed.select("h").orderBy("h").limit(sample_rows).collect()]
+    sample = hashed.filter(F.col("h") <= chosen[-1]).groupBy("h").agg(F.min("s").alias("s")).orderBy("h").collect() if chosen else []
+    dictionary = train_dictionary([r.s.encode() for r in sample if r.s], dictionary_bytes)
     again = revisits(pages, id=id, payload=payload, least_bytes=least_bytes).withColumnsRenamed({"id": "__id", "digest": "__digest", "response": "__response"})
     rows = pages.select(F.col(id).alias("id"), F.col(uri).alias("uri"), body.alias("body"), F.sha1(body).alias("digest"))
     rows = rows.join(again, (F.col("id") == F.col("__id")) & (F.col("digest") == F.col("__digest")), "left").select(
