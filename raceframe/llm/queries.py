@@ -62,15 +62,17 @@ WITH l AS (
   SELECT doc_id, no - 1 AS no, trim(x, ' ' || chr(13)) AS line FROM (
     SELECT doc_id, unnest(parts) AS x, generate_subscripts(parts, 1) AS no FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))
 ), f AS (
-  SELECT line, length(line) AS n, min(ROW(doc_id, no)) AS first FROM l WHERE strlen(line) >= 24 GROUP BY line
+  SELECT line, length(line) AS n, min(ROW(doc_id, no)) AS first FROM l WHERE line <> '' GROUP BY line
+), w AS (
+  SELECT * FROM f WHERE strlen(line) >= 24
 ), k AS (
   SELECT line, n, first, i, n // 3 * i + greatest(n % 3 - (3 - i), 0) + 1 AS pos, n // 3 + CASE WHEN n % 3 >= 3 - i THEN 1 ELSE 0 END AS size
-  FROM f, (SELECT unnest([0, 1, 2]) AS i)
+  FROM w, (SELECT unnest([0, 1, 2]) AS i)
 ), g AS (
   SELECT line, n, first, n AS own, i, substr(line, pos, size) AS piece FROM k
 ), p AS (
-  SELECT f.line, f.n, f.first, k.n AS own, k.i, substr(f.line, k.pos + s, k.size) AS piece
-  FROM f JOIN (SELECT DISTINCT n, i, pos, size FROM k) k ON f.n - k.n BETWEEN 0 AND 2, (SELECT unnest([-2, -1, 0, 1, 2]) AS s) WHERE k.pos + s >= 1
+  SELECT w.line, w.n, w.first, k.n AS own, k.i, substr(w.line, k.pos + s, k.size) AS piece
+  FROM w JOIN (SELECT DISTINCT n, i, pos, size FROM k) k ON w.n - k.n BETWEEN 0 AND 2, (SELECT unnest([-2, -1, 0, 1, 2]) AS s) WHERE k.pos + s >= 1
 ), near AS (
   SELECT DISTINCT g.line AS a, p.line AS b, g.first AS fa, p.first AS fb FROM g JOIN p USING (own, i, piece) WHERE g.line <> p.line
 ), late AS (
@@ -82,8 +84,8 @@ SELECT doc_id, coalesce(count(no), 0) AS n_removed, coalesce(string_agg(CAST(no
 FROM documents LEFT JOIN gone USING (doc_id) GROUP BY doc_id
 """)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that go from every document, as repeats or near repeats of an earlier line."""
-    return lines.removed_lines(table(spark, sf_dir, "documents"))
+    """Lines that go from every document: repeats of any earlier line, and near repeats from 24 bytes on."""
+    return lines.removed_lines(table(spark, sf_dir, "documents"), exact_bytes=1)
 
 
 @query("op4_decontaminate", r"""
