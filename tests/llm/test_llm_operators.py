@@ -441,6 +441,12 @@ def test_simhash_against_all_pairs(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_segments_follow_the_cost():
+    probes = lambda count: sum(len(simhash.ball(bits, radius)) for _, bits, radius in simhash.segments(count, 4))
+    assert [len(simhash.segments(1 << k, 4)) for k in (18, 22, 24, 28)] == [3, 3, 3, 2]
+    assert probes(1 << 22) == probes(1 << 24) == 45
+
+
 @pytest.mark.parametrize("count", [10, 10**4, 10**7, 10**12])
 def test_segments_cover_every_pair(count):
     for distance in range(1, 7):
