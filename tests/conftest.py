@@ -21,3 +21,9 @@ def spark(tmp_path_factory):
     )
     s.sparkContext.setLogLevel("ERROR")
     return configure(s)
+
+
+@pytest.fixture(autouse=True, scope="module")
+def whole_plans(spark):
+    """Tests that read plans see them whole: the corpus operators shorten them for the whole session."""
+    spark.conf.unset("spark.sql.maxPlanStringLength")
