@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from raceframe.functions import constants as K
 from raceframe.functions.columns import clip, distance_band, style_score
 from raceframe.operators.grouping import with_quantiles
-from raceframe.operators.history import arr_sum, asof_totals, ratio, recent_date_strict
+from raceframe.operators.history import arr_sum, asof_totals, ratio, recent_values
 
 
 def _is(style: str, *values: str) -> Column:
@@ -75,13 +75,11 @@ def style_profile(df: DataFrame, style: str, n: int = 10) -> DataFrame:
     Equal counts go to the style that is first in the fixed order.
     """
     rel = df.withColumn("__rel", F.col("corner1") / F.col("field_size"))
-    r = recent_date_strict(rel, n, [style, "__rel"])
     known = F.filter(F.transform("recent", lambda x: x[style]), lambda s: s != K.STYLE_UNKNOWN)
-    r = r.withColumn("__styles", known).withColumn(
-        "__w", F.transform("recent", lambda x, i: F.struct(
-            x["__rel"].alias("v"),
-            F.coalesce(F.try_element_at(F.array(*[F.lit(w) for w in K.RECENCY_WEIGHTS]), i + 1), F.lit(0.2)).alias("w"))),
-    ).withColumn("__w", F.filter("__w", lambda x: x["v"].isNotNull()))
+    weighted = F.transform("recent", lambda x, i: F.struct(
+        x["__rel"].alias("v"),
+        F.coalesce(F.try_element_at(F.array(*[F.lit(w) for w in K.RECENCY_WEIGHTS]), i + 1), F.lit(0.2)).alias("w")))
+    parts = {"__styles": known, "__w": F.filter(weighted, lambda x: x["v"].isNotNull())}
 
     def count_of(name: str) -> Column:
         return F.size(F.filter("__styles", lambda v: v == name))
@@ -90,13 +88,14 @@ def style_profile(df: DataFrame, style: str, n: int = 10) -> DataFrame:
     best = F.array_max(F.array(*[F.struct(c.alias("n"), F.lit(-i).alias("i"), F.lit(s).alias("s")) for i, (c, s) in enumerate(zip(counts, K.STYLES))]))
     total = F.size("__styles")
     weight = arr_sum(F.transform("__w", lambda x: x["w"]))
-    return r.select(
-        *df.columns,
-        F.when(total > 0, best["s"]).otherwise(K.STYLE_UNKNOWN).alias("main_style"),
-        *[ratio(c, total).alias(f"share_{n}") for c, n in zip(counts, ("nige", "senkou", "sashi", "oikomi"))],
-        F.when(weight > 0, arr_sum(F.transform("__w", lambda x: x["v"] * x["w"])) / weight).alias("avg_pos_rel"),
-        F.size("recent").cast("long").alias("race_count"),
-    )
+    values = {
+        "main_style": F.when(total > 0, best["s"]),
+        **{f"share_{name}": ratio(c, total) for c, name in zip(counts, ("nige", "senkou", "sashi", "oikomi"))},
+        "avg_pos_rel": F.when(weight > 0, arr_sum(F.transform("__w", lambda x: x["v"] * x["w"])) / weight),
+        "race_count": F.size("recent").cast("long"),
+    }
+    r = recent_values(rel, n, [style, "__rel"], parts, values)
+    return r.select(*df.columns, F.coalesce("main_style", F.lit(K.STYLE_UNKNOWN)).alias("main_style"), *[c for c in values if c != "main_style"])
 
 
 def aggressiveness(df: DataFrame, style: str, key: str = "actor", min_runs: int = 20, weight: float = 0.5) -> DataFrame:

@@ -222,6 +222,22 @@ def recent_date_strict(
     return df.join(recent_days(df, keys, n, fields, valid), [*keys, "day"], "left")
 
 
+def recent_values(
+    df: DataFrame, n: int, fields: Sequence[str], parts: Mapping[str, Column], values: Mapping[str, Column],
+    keys: Sequence[str] = ("entity",), valid: Column | None = None,
+) -> DataFrame:
+    """Add ``values``, made from ``recent``, ``day`` and ``parts`` of them; NULL where a key or the day is.
+
+    They are worked out once per (keys, day), so that numbers travel back to the rows in
+    place of the runs that they come from.
+    """
+    if valid is None:
+        valid = F.col("outcome").isNotNull()
+    days = recent_days(df, keys, n, fields, valid).withColumns(dict(parts))
+    days = days.select(*keys, "day", *[c.alias(name) for name, c in values.items()])
+    return df.join(days, [*keys, "day"], "left")
+
+
 def last_runs(
     df: DataFrame, n: int, fields: Sequence[str], keys: Sequence[str] = ("entity",), left_out: Column | None = None
 ) -> DataFrame:
@@ -314,26 +330,23 @@ def first_of(field: str, array: str = "recent") -> Column:
 
 def recent_form(df: DataFrame, prefix: str = "h_") -> DataFrame:
     """Days since the last run and the means and bests of the last three and five runs."""
-    r = recent_date_strict(df, 5, ["outcome", "last3f"])
-    r = r.withColumns({"__o3": take("outcome", 3), "__l3": take("last3f", 3), "__o5": take("outcome", 5)})
     o3, l3, o5 = F.col("__o3"), F.col("__l3"), F.col("__o5")
-    return r.select(
-        *df.columns,
-        (F.col("day") - first_of("day")).alias(f"{prefix}days_since_last"),
-        arr_mean(o3).alias(f"{prefix}recent3_avg_finish"),
-        F.array_min(o3).alias(f"{prefix}recent3_best_finish"),
-        arr_mean(l3).alias(f"{prefix}recent3_avg_last3f"),
-        arr_mean(o5).alias(f"{prefix}recent5_avg_finish"),
-        ratio(arr_count(o5, lambda v: v == 1), F.size(o5)).alias(f"{prefix}recent5_win_rate"),
-        ratio(arr_count(o5, lambda v: v <= 3), F.size(o5)).alias(f"{prefix}recent5_in3_rate"),
-    )
+    values = {
+        "days_since_last": F.col("day") - first_of("day"), "recent3_avg_finish": arr_mean(o3), "recent3_best_finish": F.array_min(o3),
+        "recent3_avg_last3f": arr_mean(l3), "recent5_avg_finish": arr_mean(o5),
+        "recent5_win_rate": ratio(arr_count(o5, lambda v: v == 1), F.size(o5)),
+        "recent5_in3_rate": ratio(arr_count(o5, lambda v: v <= 3), F.size(o5)),
+    }
+    values = {f"{prefix}{name}": c for name, c in values.items()}
+    parts = {"__o3": take("outcome", 3), "__l3": take("last3f", 3), "__o5": take("outcome", 5)}
+    return recent_values(df, 5, ["outcome", "last3f"], parts, values).select(*df.columns, *values)
 
 
 def prize_form(df: DataFrame, prefix: str = "h_") -> DataFrame:
     """Prize of the last three runs and its momentum against the mean of all runs."""
     t = asof_totals(df, ["entity"], result_measures(df, ["n", "p_n", "p_sum"]))
-    r = recent_date_strict(df, 3, ["prize"]).join(t, ["entity", "day"], "left")
-    last3 = arr_sum(take("prize", 3))
+    r = recent_values(df, 3, ["prize"], {}, {"__last3": arr_sum(take("prize", 3))}).join(t, ["entity", "day"], "left")
+    last3 = F.col("__last3")
     mean = ratio("p_sum", "p_n")
     return r.select(
         *df.columns,
@@ -346,49 +359,47 @@ def weight_form(df: DataFrame, change: str, prefix: str = "h_") -> DataFrame:
     """Body weight before the event: mean, last, last change, last-three mean, spread, trend, z-score."""
     weighed = F.col("outcome").isNotNull() & F.col("weight").isNotNull()
     t = asof_totals(df, ["entity"], result_measures(df, ["w_n", "w_sum", "w_sq"]))
-    r = recent_date_strict(df, 3, ["weight", change], valid=weighed).join(t, ["entity", "day"], "left")
-    r = r.withColumn("__w", take("weight", 3))
     w = F.col("__w")
+    values = {
+        "last_body_weight": first_of("weight"), "last_body_weight_diff": first_of(change), "recent3_avg_body_weight": arr_mean(w),
+        "recent3_std_body_weight": arr_std(w), "recent3_body_weight_trend": arr_slope(w),
+    }
+    values = {f"{prefix}{name}": c for name, c in values.items()}
+    r = recent_values(df, 3, ["weight", change], {"__w": take("weight", 3)}, values, valid=weighed).join(t, ["entity", "day"], "left")
     mean, std = ratio("w_sum", "w_n"), spread("w_n", "w_sum", "w_sq")
     return r.select(
-        *df.columns,
-        mean.alias(f"{prefix}avg_body_weight"),
-        first_of("weight").alias(f"{prefix}last_body_weight"),
-        first_of(change).alias(f"{prefix}last_body_weight_diff"),
-        arr_mean(w).alias(f"{prefix}recent3_avg_body_weight"),
-        arr_std(w).alias(f"{prefix}recent3_std_body_weight"),
-        arr_slope(w).alias(f"{prefix}recent3_body_weight_trend"),
-        F.when(std > 0, (first_of("weight") - mean) / std).alias(f"{prefix}body_weight_z"),
+        *df.columns, mean.alias(f"{prefix}avg_body_weight"), *values,
+        F.when(std > 0, (F.col(f"{prefix}last_body_weight") - mean) / std).alias(f"{prefix}body_weight_z"),
     )
 
 
 def base_recent_form(df: DataFrame, n: int = 3) -> DataFrame:
     """Mean and spread of the last outcomes with defaults for an entity without history."""
-    r = recent_date_strict(df, n, ["outcome", "last3f"])
-    o, l3 = take("outcome", n), take("last3f", n)
-    return r.select(
+    parts = {"__o": take("outcome", n)}
+    values = {"__mean": arr_mean(F.col("__o")), "__std": arr_std(F.col("__o")), "__last3f": arr_mean(take("last3f", n)), "perf_recent_runs": F.size("recent").cast("long")}
+    return recent_values(df, n, ["outcome", "last3f"], parts, values).select(
         *df.columns,
-        F.coalesce(arr_mean(o), F.lit(10.0)).alias("perf_finish_mean"),
-        F.coalesce(arr_std(o), F.lit(0.0)).alias("perf_finish_std"),
-        F.coalesce(arr_mean(l3), F.lit(37.0)).alias("perf_last3f_mean"),
-        F.size("recent").cast("long").alias("perf_recent_runs"),
+        F.coalesce("__mean", F.lit(10.0)).alias("perf_finish_mean"),
+        F.coalesce("__std", F.lit(0.0)).alias("perf_finish_std"),
+        F.coalesce("__last3f", F.lit(37.0)).alias("perf_last3f_mean"),
+        "perf_recent_runs",
     )
 
 
 def speed_form(df: DataFrame, n: int) -> DataFrame:
     """Early speed from first-corner positions and late speed from section times, 0.5 without history."""
-    r = recent_date_strict(df, n, ["corner1", "field_size", "last3f"])
     runs = F.filter("recent", lambda x: x["corner1"].isNotNull() & (x["field_size"] > 1))
     early = F.transform(
         runs,
         lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - (x["corner1"] - 1).cast("double") / (x["field_size"] - 1))),
     )
-    t = take("last3f", n)
+    t = F.col("__t")
     low, high = F.array_min(t), F.array_max(t)
-    return r.select(
+    values = {"__early": arr_mean(early), "__late": F.when(high > low, 1 - (arr_mean(t) - low) / (high - low))}
+    return recent_values(df, n, ["corner1", "field_size", "last3f"], {"__t": take("last3f", n)}, values).select(
         *df.columns,
-        F.coalesce(arr_mean(early), F.lit(0.5)).alias("early_speed_index"),
-        F.when(high > low, 1 - (arr_mean(t) - low) / (high - low)).otherwise(0.5).alias("late_speed_index"),
+        F.coalesce("__early", F.lit(0.5)).alias("early_speed_index"),
+        F.coalesce("__late", F.lit(0.5)).alias("late_speed_index"),
     )
 
 
