@@ -40,3 +40,10 @@ def test_rows_without_a_key_keep_their_defaults(spark):
         assert (base[e].perf_finish_mean, base[e].perf_finish_std, base[e].perf_last3f_mean) == (10.0, 0.0, 37.0)
         assert (speed[e].early_speed_index, speed[e].late_speed_index) == (0.5, 0.5)
         assert styles[e].main_style == "不明" and styles[e].avg_pos_rel is None
+
+
+def test_last_runs_of_both_kinds_share_their_shuffles(spark):
+    from raceframe.plans import all_queries
+
+    out = all_queries().QUERIES["last_runs_clean"](spark, "/root/testdata/sf0.001")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
