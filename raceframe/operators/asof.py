@@ -13,7 +13,7 @@ from raceframe.functions.columns import availability_level, level_order
 def latest(df: DataFrame, keys: Sequence[str], at: str, fields: Sequence[str], cutoff: Column | None = None) -> DataFrame:
     """Latest observation per key, at or before the cutoff."""
     seen = df if cutoff is None else df.filter(F.col(at) <= cutoff)
-    newest = F.max_by(F.struct(at, *fields), F.struct(at, *fields)).alias("__o")
+    newest = F.max(F.struct(at, *fields)).alias("__o")
     return seen.groupBy(*keys).agg(newest).select(*keys, f"__o.{at}", *[f"__o.{f}" for f in fields])
 
 
@@ -75,9 +75,12 @@ def safe_features(long: DataFrame, events: DataFrame, level: str) -> DataFrame:
     """Latest value of every allowed feature per entry at the time of decision.
 
     ``long`` has event, entity, feature, value, seen_at; ``events`` has event, start.
+    Observations meet their event in one shuffle and are cut down where they arrive: a
+    feature has one level, which is told last.
     """
-    limit = level_order(F.lit(level))
+    of = availability_level("feature")
     cut = events.select("event", decision_time("start", level).alias("__cut"))
-    allowed = long.withColumn("level", availability_level("feature")).filter(level_order("level") <= limit)
-    seen = allowed.join(cut, "event").filter(F.col("seen_at") <= F.col("__cut"))
-    return latest(seen, ["event", "entity", "feature", "level"], "seen_at", ["value"])
+    allowed = long.filter(level_order(of) <= level_order(F.lit(level)))
+    seen = allowed.join(cut.hint("shuffle_hash"), "event").filter(F.col("seen_at") <= F.col("__cut"))
+    found = latest(seen, ["event", "entity", "feature"], "seen_at", ["value"])
+    return found.select("event", "entity", "feature", of.alias("level"), "seen_at", "value")

@@ -47,3 +47,15 @@ def test_last_runs_of_both_kinds_share_their_shuffles(spark):
 
     out = all_queries().QUERIES["last_runs_clean"](spark, "/root/testdata/sf0.001")
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def test_safe_features_meet_their_event_in_one_shuffle(spark):
+    long = spark.createDataFrame(
+        [(1, 1, f, v, f"2024-01-01 {h:02}:00:00") for f, v, h in (("horse_weight", 1.0, 9), ("horse_weight", 3.0, 10), ("horse_weight", 2.0, 10), ("horse_weight", 9.0, 15), ("finish_time", 5.0, 8))],
+        "event long, entity long, feature string, value double, seen_at string").withColumn("seen_at", F.col("seen_at").cast("timestamp"))
+    starts = spark.createDataFrame([(1, "2024-01-01 15:00:00")], "event long, start string").withColumn("start", F.col("start").cast("timestamp"))
+    out = asof.safe_features(long, starts, "paddock")
+    assert out.columns == ["event", "entity", "feature", "level", "seen_at", "value"]
+    assert [(r.feature, r.level, r.seen_at.hour, r.value) for r in out.collect()] == [("horse_weight", "paddock", 10, 3.0)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "BroadcastExchange" not in plan
