@@ -224,16 +224,17 @@ def recent_date_strict(
 
 def recent_values(
     df: DataFrame, n: int, fields: Sequence[str], parts: Mapping[str, Column], values: Mapping[str, Column],
-    keys: Sequence[str] = ("entity",), valid: Column | None = None,
+    keys: Sequence[str] = ("entity",), valid: Column | None = None, source: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``values``, made from ``recent``, ``day`` and ``parts`` of them; NULL where a key or the day is.
 
     They are worked out once per (keys, day), so that numbers travel back to the rows in
-    place of the runs that they come from.
+    place of the runs that they come from.  ``source`` is an earlier form of the same rows
+    to read the runs from.
     """
     if valid is None:
         valid = F.col("outcome").isNotNull()
-    days = recent_days(df, keys, n, fields, valid).withColumns(dict(parts))
+    days = recent_days(df if source is None else source, keys, n, fields, valid).withColumns(dict(parts))
     days = days.select(*keys, "day", *[c.alias(name) for name, c in values.items()])
     return df.join(days, [*keys, "day"], "left")
 

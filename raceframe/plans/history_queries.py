@@ -107,12 +107,13 @@ SELECT event, entity, coalesce(string_agg(CAST(run AS VARCHAR), ',' ORDER BY run
 def last_runs_clean(spark, sf_dir):
     """The last three runs of every entry, all of them and those without a late start."""
     df = entries(spark, sf_dir).select(*KEY, "day", F.when(F.col("tax") == 8, "出遅れ").alias("remarks"))
+    df = df.filter("entity IS NOT NULL")
     clean = ~F.coalesce(C.late_start("remarks"), F.lit(False))
-    days = H.recent_lists(df, ["entity"], {"every": (3, ["event"], F.lit(True)), "clean": (3, ["event"], clean)})
-    listed = lambda c: F.array_join(F.transform(c, lambda r: r.event.cast("string")), ",")
-    days = days.select("entity", "day", listed("every").alias("runs"), listed("clean").alias("clean_runs"))
-    known = df.select(*KEY, "day").filter("event IS NOT NULL AND entity IS NOT NULL")
-    told = known.join(days, ["entity", "day"], "left").select(*KEY, *[F.coalesce(c, F.lit("")).alias(c) for c in ("runs", "clean_runs")])
+    listed = F.array_join(F.transform("recent", lambda r: r.event.cast("string")), ",")
+    told = df.filter("event IS NOT NULL").select(*KEY, "day")
+    told = H.recent_values(told, 3, [], {}, {"runs": listed}, valid=F.lit(True), source=df)
+    told = H.recent_values(told, 3, [], {}, {"clean_runs": listed}, valid=clean, source=df)
+    told = told.select(*KEY, *[F.coalesce(c, F.lit("")).alias(c) for c in ("runs", "clean_runs")])
     # Entries that repeat their key have a row for each pair of them.
     pairs = told.groupBy(*KEY).agg(F.collect_list("runs").alias("every"), F.collect_list("clean_runs").alias("clean"))
     return pairs.select(*KEY, F.explode("every").alias("runs"), "clean").select(*KEY, "runs", F.explode("clean").alias("clean_runs"))

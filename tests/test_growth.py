@@ -42,11 +42,12 @@ def test_rows_without_a_key_keep_their_defaults(spark):
         assert styles[e].main_style == "不明" and styles[e].avg_pos_rel is None
 
 
-def test_last_runs_of_both_kinds_share_their_shuffles(spark):
+def test_last_runs_of_both_kinds_go_back_as_text(spark):
     from raceframe.plans import all_queries
 
     out = all_queries().QUERIES["last_runs_clean"](spark, "/root/testdata/sf0.001")
-    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2 and "recent#" not in plan.split("Join LeftOuter")[0]
 
 
 def test_safe_features_meet_their_event_in_one_shuffle(spark):
