@@ -60,3 +60,14 @@ def test_safe_features_meet_their_event_in_one_shuffle(spark):
     assert [(r.feature, r.level, r.seen_at.hour, r.value) for r in out.collect()] == [("horse_weight", "paddock", 10, 3.0)]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan and "BroadcastExchange" not in plan
+
+
+def test_importance_reads_scores_that_were_made_once(spark):
+    rng = random.Random(4)
+    df = spark.createDataFrame([(i // 8, i, rng.random(), rng.random()) for i in range(400)], "event long, entity long, good double, noise double")
+    df = df.withColumn("win", (F.col("good") > 0.8).cast("int"))
+    model = models.fit_logistic(df, ["good", "noise"], "win")
+    out = models.permutation_importance(model, df, ["good", "noise"], "win", repeats=2)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "UDF" not in plan
+    assert {r.feature: r["rank"] for r in out.collect()} == {"good": 1, "noise": 2}
