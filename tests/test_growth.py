@@ -71,3 +71,12 @@ def test_importance_reads_scores_that_were_made_once(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "UDF" not in plan
     assert {r.feature: r["rank"] for r in out.collect()} == {"good": 1, "noise": 2}
+
+
+def test_shuffles_grow_with_the_tables(spark):
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    own = FINER * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        assert int(configure(spark, 500).conf.get(name)) == PER_PART * 500
+    finally:
+        assert int(configure(spark).conf.get(name)) == own
