@@ -26,13 +26,18 @@ def _factor(table: Mapping[tuple, tuple], which: int, *keys: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), F.concat_ws("|", *keys)), F.lit(1.0))
 
 
-def with_roles(df: DataFrame, roles: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Add a flag ``is_<role>`` per name; ``roles`` has a row per (event, scenario, entity, role).
+def with_roles(entries: DataFrame, scenarios: DataFrame, roles: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Entries times the scenarios of their event, with a flag ``is_<role>`` per name.
 
-    Roles are rows rather than lists per event, so an event of any size joins by entity.
+    ``roles`` has a row per (event, scenario, entity, role): rows rather than lists per event,
+    so that an event of any size joins by entity.  An entry gets the scenarios of each of its
+    roles before it is multiplied, so that the many rows of all scenarios are never shuffled:
+    they are made where the event's entries and scenarios meet.
     """
-    flags = roles.groupBy(*KEYS, "entity").agg(*[F.max(F.col("role") == n).alias(f"is_{n}") for n in names])
-    return df.join(flags, [*KEYS, "entity"], "left").fillna(False, subset=[f"is_{n}" for n in names])
+    told = roles.groupBy("event", "entity").agg(*[F.collect_set(F.when(F.col("role") == n, F.col("scenario"))).alias(f"__{n}") for n in names])
+    df = entries.join(told, ["event", "entity"], "left").join(scenarios, "event")
+    flags = {f"is_{n}": F.coalesce(F.array_contains(f"__{n}", F.col("scenario")), F.lit(False)) for n in names}
+    return df.withColumns(flags).drop(*[f"__{n}" for n in names])
 
 
 def _by_table(c: Column, table: Mapping[str, str]) -> Column:
@@ -56,7 +61,7 @@ def scenario_adjust(entries: DataFrame, scenarios: DataFrame, roles: DataFrame,
     ``scenarios``: event, scenario, pace (S/M/H), bias (内/外/フラット).
     ``roles``: event, scenario, entity, role (front, stalker, closer, weak).
     """
-    df = with_roles(entries.join(scenarios, "event"), roles, ["front", "stalker", "closer", "weak"])
+    df = with_roles(entries, scenarios, roles, ["front", "stalker", "closer", "weak"])
     raw = F.trim(F.col("run_style"))
     known = F.coalesce(F.when(raw.isin(K.STYLES), raw), _by_table(F.upper(raw), K.STYLE_ALIASES))
     front = F.col("is_front")
@@ -128,7 +133,7 @@ def bias_adjust(entries: DataFrame, scenarios: DataFrame, roles: DataFrame) -> D
     ``scenarios``: event, scenario, pace, track_condition, lane_bias, style_bias.
     ``roles``: event, scenario, entity, role (front).
     """
-    df = with_roles(entries.join(scenarios, "event"), roles, ["front"])
+    df = with_roles(entries, scenarios, roles, ["front"])
     no, n = F.col("umaban"), F.col("field_size")
     guess = F.when(F.col("is_front"), K.STYLES[0]).when(no <= 4, K.STYLES[1]).when(no <= 10, K.STYLES[2]).otherwise(K.STYLES[3])
     df = df.withColumn("run_style", F.when(F.col("run_style").isin(K.STYLES), F.col("run_style")).otherwise(guess))

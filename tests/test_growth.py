@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from raceframe.operators import asof, event, history, models
+from raceframe.operators import asof, event, history, models, scenario
 from raceframe.session import FINER, PER_PART, configure
 
 SCHEMA = "event long, entity long, day int, outcome int, last3f double, prize long, weight int, change int, corner1 int, field_size int, style string"
@@ -80,3 +80,18 @@ def test_shuffles_grow_with_the_tables(spark):
         assert int(configure(spark, 500).conf.get(name)) == PER_PART * 500
     finally:
         assert int(configure(spark).conf.get(name)) == own
+
+
+def test_roles_meet_the_entries_before_the_scenarios_multiply_them(spark):
+    data = [(v, e) for v in (1, 2, None) for e in (1, 2, 2, None)]
+    told = [(1, "a", 1, "front"), (1, "b", 1, "weak"), (1, "a", 2, None), (2, None, 1, "front"), (2, "a", None, "front"), (2, "b", 2, "front"), (2, "b", 2, "front")]
+    named = [(v, s) for v in (1, 2, 3) for s in ("a", "b", None)] + [(2, "b")]
+    entries = spark.createDataFrame(data, "event long, entity long")
+    roles = spark.createDataFrame(told, "event long, scenario string, entity long, role string")
+    out = scenario.with_roles(entries, spark.createDataFrame(named, "event long, scenario string"), roles, ["front", "weak"])
+    holds = lambda v, s, e, r: None not in (v, s, e) and (v, s, e, r) in told
+    wanted = [(v, s, e, holds(v, s, e, "front"), holds(v, s, e, "weak")) for v, e in data for w, s in named if v == w and v is not None]
+    got = [tuple(r) for r in out.select("event", "scenario", "entity", "is_front", "is_weak").collect()]
+    assert sorted(got, key=str) == sorted(wanted, key=str)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Join " in x and "scenario#" in x]
