@@ -1,4 +1,4 @@
-"""Near copies by banded MinHash, verified by the exact Jaccard similarity of word shingles."""
+"""Near copies by SimHash with multi-index hashing and by banded MinHash, verified by the exact Jaccard similarity of word shingles."""
 
 from __future__ import annotations
 
@@ -11,11 +11,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from raceframe.llm.common import connected_components, prepare, written
-from raceframe.llm.simhash import shingle_values
+from raceframe.llm.simhash import fingerprint, shingle_values
+from raceframe.llm.simhash import links as near_prints
 
 # A pair of similarity s shares none of the bands with probability (1 - s**ROWS) ** BANDS:
 # 0.00003 at 0.8.
 BANDS, ROWS = 20, 4
+# Bits in which the fingerprints of a pair differ at most; pairs at 0.8 differ in about ten, so
+# the bands have to find most of those.
+DISTANCE = 4
 # Shingles that are permuted at a time.
 BLOCK = 1 << 13
 # Text hashes up to this number (8 bytes each) are broadcast.
@@ -44,7 +48,7 @@ def _signed(values: list[int] | np.ndarray) -> np.ndarray:
 
 
 def nodes(docs: DataFrame, id: str, text: str, width: int, seed: int) -> DataFrame:
-    """(id, t, node, n, bands): the text's hash, the hash and size of its set of shingles, and its bands."""
+    """(id, t, node, n, fp, bands): the text's hash; the hash, size, SimHash and bands of its set of shingles."""
     flips, factors = permutations(seed)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,10 +56,11 @@ def nodes(docs: DataFrame, id: str, text: str, width: int, seed: int) -> DataFra
             sets = [np.unique(shingle_values(x.as_py(), width, seed)) for x in batch.column(2)]
             node = pa.array(_signed([xxhash.xxh64_intdigest(s.tobytes()) for s in sets]))
             bands = pa.array([_signed(band_values(s, flips, factors)) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), node, pa.array([len(s) for s in sets], pa.int32()), bands], ["id", "t", "node", "n", "bands"])
+            fp = pa.array(_signed([fingerprint(s) for s in sets]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), node, pa.array([len(s) for s in sets], pa.int32()), fp, bands], ["id", "t", "node", "n", "fp", "bands"])
 
     rows = docs.select(F.col(id).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("t"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(compute, f"id {dict(docs.dtypes)[id]}, t long, node long, n int, bands array<long>")
+    return rows.mapInArrow(compute, f"id {dict(docs.dtypes)[id]}, t long, node long, n int, fp long, bands array<long>")
 
 
 def shingle_sets(texts: DataFrame, width: int, seed: int) -> DataFrame:
@@ -90,6 +95,20 @@ def verified(pairs: DataFrame, table: DataFrame, sets: DataFrame, threshold: flo
     return both.filter(F.col("shared") >= (F.col("na") + F.col("nb") - F.col("shared")) * threshold - 1e-9).select("a", "b")
 
 
+def print_pairs(table: DataFrame) -> DataFrame:
+    """(a, b): every node with the smallest of its fingerprint, and that one with the smallest of a fingerprint near it.
+
+    Fingerprints within ``DISTANCE`` bits are found by multi-index hashing.  Each is compared
+    with the least one near it: what else is near is compared with its own least one.
+    """
+    prints = written(table.groupBy("fp").agg(F.min("node").alias("least")), "prints", few=True)
+    near = near_prints(prints, DISTANCE, prints.count()).groupBy("b").agg(F.min("a").alias("a"))
+    of = lambda c: prints.select(F.col("fp").alias(c), F.col("least").alias(f"node_{c}"))
+    across = near.join(of("a"), "a").join(of("b"), "b").select(F.col("node_a").alias("x"), F.col("node_b").alias("y"))
+    within = table.join(prints, "fp").filter("node <> least").select(F.col("least").alias("x"), F.col("node").alias("y"))
+    return written(across.union(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "prints-near", few=True)
+
+
 def prefix_links(sets: DataFrame, member: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
     """(a, b): links that join all similar nodes of different classes, found by the rarest of their shingles.
 
@@ -133,11 +152,13 @@ def prefix_links(sets: DataFrame, member: DataFrame, table: DataFrame, threshold
     across = side("a").filter(light("a")).join(side("b"), "s").filter((F.col("ca") != F.col("cb")) & once & fits).select("a", "b").distinct()
     links = written(verified(inside.union(across), table, sets, threshold), "links", few=True)
 
+    if links.isEmpty():
+        return links
     # A member of one group can be similar to one of another only if it is to that one's best.
     both = links.union(links.select("b", "a"))
     of_rep = grouped.filter("node <> rep").select("rep", "node")
     more = both.join(of_rep, F.col("a") == F.col("rep")).select(F.col("node").alias("a"), "b").join(reps.select(F.col("of").alias("b")), "b", "left_semi")
-    return links.union(verified(more.filter("a <> b").distinct(), table, sets, threshold))
+    return written(links.union(verified(more.filter("a <> b").distinct(), table, sets, threshold)), "rest", few=True)
 
 
 def centrality(sets: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -158,25 +179,31 @@ def _mixed(placed: DataFrame, member: DataFrame) -> DataFrame:
 def _members(docs: DataFrame, id: str, text: str, width: int, seed: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(id, t, node) of every row, and (node, component) of every node."""
     found = written(nodes(docs, id, text, width, seed), "nodes")
-    table = written(found.groupBy("node").agg(F.min("t").alias("t"), F.min("n").alias("n"), F.first("bands").alias("bands")), "table", few=True)
+    table = written(found.groupBy("node").agg(F.min("t").alias("t"), F.min("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "table", few=True)
+    alike = print_pairs(table)
     placed = table.select("node", F.posexplode("bands").alias("k", "v"))
     crowded = placed.groupBy("k", "v").agg(F.min("node").alias("a"), F.max("node").alias("top")).filter("a < top").drop("top")
     placed = written(placed.join(crowded, ["k", "v"]), "placed", few=True)
     keys = table.select("node", "n", "t")
-    sets = set_table(placed.select("node").distinct(), keys, docs, text, width, seed)
-    star = placed.filter("a < node").select("a", F.col("node").alias("b")).distinct()
+    asked = placed.select("node").union(alike.select(F.explode(F.array("a", "b"))))
+    sets = set_table(asked.distinct(), keys, docs, text, width, seed)
+    star = alike.union(placed.filter("a < node").select("a", F.col("node").alias("b"))).distinct()
     near = written(verified(star, keys, sets, threshold), "near", few=True)
     # Copies of one text, each changed elsewhere, may all be far from the smallest but not
-    # from the text they come from, whose shingles are the most frequent.
-    mixed = _mixed(placed, connected_components(near))
+    # from the text they come from, whose shingles are the most frequent.  Nodes with the same
+    # smallest neighbour are of one class; others that are cost a pair, not a link.
+    mixed = _mixed(placed, near.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component")))
     score = written(centrality(sets, mixed), "score", few=True)
     scored = mixed.join(score, "node")
     middle = scored.groupBy("k", "v").agg(F.max(F.struct("score", F.col("node").alias("m"), F.col("c").alias("mc"))).alias("x")).select("k", "v", "x.m", "x.mc")
     star = scored.join(middle, ["k", "v"]).filter("c <> mc").select(F.least("m", "node").alias("a"), F.greatest("m", "node").alias("b")).distinct()
     near = written(near.union(verified(star, keys, sets, threshold)), "near", few=True)
-    left = _mixed(placed, connected_components(near)).select("node", "c").distinct()
+    member = written(connected_components(near), "classes", few=True)
+    left = _mixed(placed, member).select("node", "c").distinct()
     rest = prefix_links(sets, written(left, "open", few=True), keys, threshold)
-    member = connected_components(near.union(rest))
+    # Classes change only by links that the prefixes find.
+    if not rest.isEmpty():
+        member = connected_components(member.select(F.col("component").alias("a"), F.col("node").alias("b")).union(rest))
     own = table.join(member, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     return found.select("id", "t", "node"), written(own, "members", few=True)
 
@@ -186,7 +213,8 @@ def classes(docs: DataFrame, *, id: str = "doc_id", text: str = "text", width: i
 
     Documents link if the sets of their shingles (``width`` words, A-Z lower-cased; all
     words of a shorter text) have a Jaccard similarity of at least ``threshold``.  Equal
-    sets are one node, also the empty one of null, empty and blank texts.  Nodes that share
+    sets are one node, also the empty one of null, empty and blank texts.  Nodes whose SimHash
+    differs in few bits are found by multi-index hashing (``print_pairs``).  Nodes that share
     a band are compared with the band's smallest node, then with its most central one.  Nodes
     whose bands still hold several classes are joined on the rarest of their shingles (``prefix_links``), so
     neither a large class nor a passage that many documents share costs a pair per pair of

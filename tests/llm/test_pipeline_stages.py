@@ -222,3 +222,21 @@ def test_prefix_join_loses_no_similar_pair(spark):
     plain = [shingles(t) for t in texts]
     similar = [(node[i], node[j]) for i in range(len(texts)) for j in range(i) if plain[i] != plain[j] and len(plain[i] & plain[j]) >= 0.8 * len(plain[i] | plain[j])]
     assert len(similar) > 10 and joined(similar, node.values()) == joined(links, node.values())
+
+
+def test_near_dedup_asks_the_fingerprints_and_settles_classes_without_idle_rounds(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(400)]
+    texts = [" ".join([*base[:k], word(), *base[k + 1 :]]) for k in range(0, 400, 40)] + [" ".join(word() for _ in range(60)) for _ in range(8)] + ["", None]
+    found, settled, pairs, components = [], [], minhash.print_pairs, minhash.connected_components
+    monkeypatch.setattr(minhash, "print_pairs", lambda table: found.append(pairs(table)) or found[-1])
+    monkeypatch.setattr(minhash, "connected_components", lambda edges: settled.append(1) or components(edges))
+    kept = {r.doc_id for r in STAGES["near_dedup"](spark, docs(spark, texts), None).collect()}
+    assert kept == first_of_classes(texts)
+    # SimHash finds copies that differ in one word, and no pair of other texts.
+    node = {r.id: r.node for r in minhash.nodes(docs(spark, texts), "doc_id", "text", 5, 42).collect()}
+    copies = {node[k] for k in range(10)}
+    asked = {(r.a, r.b) for r in found[0].collect()}
+    assert asked and all(a < b and {a, b} <= copies for a, b in asked)
+    assert len(settled) == 1
