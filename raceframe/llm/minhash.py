@@ -183,7 +183,7 @@ def _members(docs: DataFrame, id: str, text: str, width: int, seed: int, thresho
     alike = print_pairs(table)
     placed = table.select("node", F.posexplode("bands").alias("k", "v"))
     crowded = placed.groupBy("k", "v").agg(F.min("node").alias("a"), F.max("node").alias("top")).filter("a < top").drop("top")
-    placed = written(placed.join(crowded, ["k", "v"]), "placed", few=True)
+    placed = written(placed.join(crowded.hint("merge"), ["k", "v"]), "placed", few=True)
     keys = table.select("node", "n", "t")
     asked = placed.select("node").union(alike.select(F.explode(F.array("a", "b"))))
     sets = set_table(asked.distinct(), keys, docs, text, width, seed)

@@ -108,7 +108,8 @@ def links(table: DataFrame, distance: int, count: int) -> DataFrame:
     held = table.select(F.col("fp").alias("a"), F.explode(index).alias("s")).select("a", "s.k", "s.v")
     asked = table.select(F.col("fp").alias("b"), F.explode(probes).alias("s")).select("b", "s.k", "s.v")
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
-    return held.join(asked, ["k", "v"]).filter(near).select("a", "b").distinct()
+    # Never broadcast: Spark's size of what an explode gives is that of its input.
+    return held.join(asked.hint("merge"), ["k", "v"]).filter(near).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", width: int = 4, seed: int = 42, distance: int = 4) -> DataFrame:
