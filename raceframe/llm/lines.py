@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from raceframe.llm.common import prepare, written
 
 # Key tables of at most this many rows (8 bytes each) are broadcast.
-BROADCAST_KEYS = 1 << 21
+BROADCAST_KEYS = 1 << 19
 # Letters counted in the signature, 16 four-bit counts per long.
 COUNTED = ["abcdefghijklmnop", "qrstuvwxyz .,-01"]
 
@@ -208,6 +208,11 @@ def shares_piece(a: Column, b: Column, base: Column, rest: Column, edits: int, l
     return F.exists(F.array(*[F.lit(s) for s in range(-edits, edits + 1)]), shifted)
 
 
+def sized(table: DataFrame) -> DataFrame:
+    """A written table of hashes to join: broadcast if it is small by its number of rows, else never."""
+    return F.broadcast(table) if table.count() <= BROADCAST_KEYS else table.hint("merge")
+
+
 def near_links(lines: DataFrame, edits: int, letter: int = 1) -> DataFrame:
     """(a, b): hashes of different lines within ``edits`` edits of each other, once per pair.
 
@@ -216,21 +221,36 @@ def near_links(lines: DataFrame, edits: int, letter: int = 1) -> DataFrame:
     segments and probed by substrings; letter counts cut the pairs in the join.  Pairs are
     freed of their common start and end, whose middles have to share a piece again, and
     what is left is verified by the bit-parallel distance.
+
+    Keys of different segments never meet, so one segment is done after the other and its
+    shuffle files go before the next.  Only hashes travel with the keys: the letters of the
+    lines left are read again.
     """
+    numbers = range(edits + 1)
     every = [*index_places(edits), *probe_places(edits, exact=True)]
-    placed = divided(lines.select("h", "line", *letters_of(F.col("line"), letter)), edits)
-    keyed = placed.select("h", F.explode(keys(every, letter)).alias("key"))
-    shared = written(keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low < high").select("key"), "keys", few=True)
-    small = F.broadcast(shared) if shared.count() <= BROADCAST_KEYS else shared
-    left = placed.select("h", "line", F.explode(keys(every, letter)).alias("key")).join(small, "key", "left_semi").select("h", "line").distinct()
+    placed = divided(lines.select("h", *letters_of(F.col("line"), letter)), edits)
+    known = None
+    for i in numbers:
+        keyed = placed.select("h", F.explode(keys([p for p in every if p[0] == i], letter)).alias("key"))
+        shared = written(keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low < high").select("key"), "keys", few=True)
+        found = written(keyed.join(sized(shared), "key", "left_semi").select("h").distinct(), "known", few=True)
+        known = found if known is None else known.union(found)
+    known = written(known.distinct(), "known", few=True)
+    left = lines.select("h", "line").join(sized(known), "h", "left_semi").distinct()
     left = left.select("h", *letters_of(F.col("line"), letter), *[c.alias(f"s{k}") for k, c in enumerate(signature(F.col("line")))])
     left = written(left, "left", few=True)
     marked = lambda c: [F.col("h").alias(c), F.col("n").alias(f"n{c}"), *[F.col(f"s{k}").alias(f"{c}{k}") for k in range(len(COUNTED))]]
-    held = divided(left, edits).select(*marked("a"), F.explode(keys(index_places(edits), letter)).alias("key"))
-    asked = divided(left, edits).select(*marked("b"), F.explode(keys(probe_places(edits, exact=False), letter)).alias("key"))
+    of_segment = lambda places, i: F.explode(keys([p for p in places if p[0] == i], letter)).alias("key")
     close = sum((count_distance(F.col(f"a{k}"), F.col(f"b{k}")) for k in range(len(COUNTED))), F.lit(0).cast("long")) <= 2 * edits
     different = (F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("a") < F.col("b")))
-    pairs = written(held.join(asked, "key").filter(different & close).select("a", "b").distinct(), "pairs", few=True)
+    pairs = None
+    for i in numbers:
+        held = divided(left, edits).select(*marked("a"), of_segment(index_places(edits), i))
+        asked = divided(left, edits).select(*marked("b"), of_segment(probe_places(edits, exact=False), i))
+        # Never broadcast: Spark's size of what an explode gives is that of its input.
+        found = written(held.join(asked.hint("merge"), "key").filter(different & close).select("a", "b").distinct(), "pairs", few=True)
+        pairs = found if pairs is None else pairs.union(found)
+    pairs = pairs.distinct()
     of = lambda c: left.select(F.col("h").alias(c), F.col("wide").alias(f"w{c}"), F.col("n").alias(f"n{c}"))
     full = pairs.join(of("a"), "a").join(of("b"), "b")
     full = full.withColumn("start", common(F.col("wa"), F.col("wb"), F.col("na"), F.col("nb"), letter, end=False))
@@ -281,7 +301,8 @@ def _gone(docs: DataFrame, id: str, text: str, **options) -> DataFrame:
 
 
 def _with_gone(docs: DataFrame, id: str, text: str, **options) -> DataFrame:
-    return docs.join(_gone(docs, id, text, **options), F.col(id).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text).cast("string")) == F.col("__doc")), "left")
+    gone = _gone(docs, id, text, **options)
+    return docs.withColumn("__text_hash", F.xxhash64(F.col(text).cast("string"))).join(gone, F.col(id).eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__doc")), "left")
 
 
 def removed_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
