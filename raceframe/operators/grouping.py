@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 
 # Groups above this many rows are ranked chunk by chunk.
 HOT_ROWS = 1_000_000
+# Keys are counted in buckets of their hash to find those with more rows than a task should hold
+# in all its windows at once.
+BUCKETS = 16384
+CROWDED = 100_000
 
 _MERGE = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
 _AGG = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
@@ -99,24 +103,39 @@ def prior(
     order: Sequence[Column],
     measures: Measures,
     source: DataFrame | None = None,
+    hot_rows: int = CROWDED,
 ) -> DataFrame:
     """Aggregate, for every row, over the earlier rows of its group.
 
     ``measures`` maps a result name to (``sum|count|min|max``, column).  Rows are
-    ordered by (``chunk``, ``order``).  Earlier chunks come from one total per
-    chunk, rows of the same chunk from a window over that chunk only.
+    ordered by (``chunk``, ``order``).  A window over the group serves ordinary ones.  In
+    groups whose bucket has more than ``hot_rows`` rows, and without keys, earlier chunks come
+    from one total per chunk, rows of the same chunk from a window over that chunk only.  Rows
+    of both are sent once, as the totals come to where the windows are.  ``source`` is an
+    earlier form of the same rows to take counts and totals from.
     """
     keys = list(keys)
-    totals = (df if source is None else source).groupBy(*keys, chunk).agg(
-        *[_AGG[fn](c).alias(n) for n, (fn, c) in measures.items()]
-    )
+    source = df if source is None else source
+    if keys:
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))
+        crowded = source.groupBy(bucket.alias("__bucket")).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > hot_rows).select("__bucket")
+        source = source.join(F.broadcast(crowded), bucket == F.col("__bucket"), "left_semi")
+    totals = source.groupBy(*keys, chunk).agg(*[_AGG[fn](c).alias(n) for n, (fn, c) in measures.items()])
     earlier = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(
         *keys, chunk, *[_MERGE[fn](n).over(earlier).alias(f"__c_{n}") for n, (fn, _) in measures.items()]
     )
-    inside = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = df.select("*", *[_AGG[fn](c).over(inside).alias(f"__i_{n}") for n, (fn, c) in measures.items()])
-    joined = join_null_safe(rows, carried, [*keys, chunk])
+    # Structs are equal where their fields are, also where those are NULL.
+    place = lambda at: F.struct(*keys, at.alias("__at"))
+    if keys:
+        marked = df.join(F.broadcast(crowded), bucket == F.col("__bucket"), "left")
+        rows = marked.select(*df.columns, place(F.when(F.col("__bucket").isNotNull(), F.struct(chunk))).alias("__place"))
+    else:
+        rows = df.select("*", place(F.struct(chunk)).alias("__place"))
+    carried = carried.select(place(F.struct(chunk)).alias("__place"), *[f"__c_{n}" for n in measures])
+    inside = Window.partitionBy("__place").orderBy(chunk, *order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.select("*", *[_AGG[fn](c).over(inside).alias(f"__i_{n}") for n, (fn, c) in measures.items()])
+    joined = rows.join(carried, "__place", "left")
     out = []
     for name, (fn, _) in measures.items():
         c, i = F.col(f"__c_{name}"), F.col(f"__i_{name}")
