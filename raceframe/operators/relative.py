@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection, Sequence
+from collections.abc import Callable, Collection, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,8 +13,12 @@ EVENT = ["event"]
 KEY = ("event", "entity")
 
 
-def _ranked(df: DataFrame, columns: Sequence[str], hot: bool) -> DataFrame:
-    """Average rank of the known values of each column, and their number."""
+def _ranked(df: DataFrame, columns: Sequence[str], hot: bool, store: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+    """Average rank of the known values of each column, and their number.
+
+    ``store`` writes the ranks of one column of large groups after the other and reads them
+    back, so that the shuffle files of one are gone before the next.
+    """
     known = {f"__n_{c}": F.count(c) for c in columns}
     if not hot:
         # NULLs sort last and are masked, so they move no rank of a known value
@@ -27,7 +31,8 @@ def _ranked(df: DataFrame, columns: Sequence[str], hot: bool) -> DataFrame:
     out = group_stats(df, EVENT, True, **known)
     for c in columns:
         r = group_ranks(df.filter(F.col(c).isNotNull()).select(*KEY, c), EVENT, [Rank(c, f"__r_{c}", kind="average")], True)
-        out = out.join(r.drop(c), list(KEY), "left")
+        r = store(r.drop(c), f"rank-{c}") if store else r.drop(c)
+        out = out.join(r, list(KEY), "left")
     return out
 
 
@@ -62,7 +67,7 @@ def zscores(
     return by_size(df, size, lambda rows, hot: _zscores(rows, columns, prefix, suffix, inverted, min_std, hot))
 
 
-def relative_features(df: DataFrame, columns: Sequence[str], smaller_is_better: Collection[str], size: str | None = None) -> DataFrame:
+def relative_features(df: DataFrame, columns: Sequence[str], smaller_is_better: Collection[str], size: str | None = None, store: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """Rank percentage and z-score per event for many columns, larger always better."""
     def plan(rows: DataFrame, hot: bool) -> DataFrame:
         z = _zscores(rows, columns, "rr_zscore_", "", smaller_is_better, 0.0, hot)
@@ -70,7 +75,7 @@ def relative_features(df: DataFrame, columns: Sequence[str], smaller_is_better:
         for c in columns:
             pct = F.col(f"__r_{c}") / F.col(f"__n_{c}")
             out.append((1 - pct if c in smaller_is_better else pct).alias(f"rr_rank_pct_{c}"))
-        return _ranked(z, columns, hot).select(*z.columns, *out)
+        return _ranked(z, columns, hot, store).select(*z.columns, *out)
 
     return by_size(df, size, plan)
 

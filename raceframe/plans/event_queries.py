@@ -8,7 +8,7 @@ from raceframe.functions import columns as C
 from raceframe.functions import constants as K
 from raceframe.operators import asof, event, relative
 from raceframe.operators.grouping import rank_in_group
-from raceframe.plans.base import ENTRIES, entries, r6, table
+from raceframe.plans.base import ENTRIES, entries, kept, r6, table
 from raceframe.plans.registry import ORACLES, query
 
 KEY = ["event", "entity"]
@@ -99,7 +99,7 @@ def hot_group_rank(spark, sf_dir):
 def event_relative_spread_out(spark, sf_dir):
     """The way of very large events, taken for all events."""
     cols = ["weight", "odds", "qty"]
-    out = relative.relative_features(entries(spark, sf_dir).select(*KEY, *cols), cols, {"odds"})
+    out = relative.relative_features(entries(spark, sf_dir).select(*KEY, *cols), cols, {"odds"}, store=kept)
     z = [(r6(f"rr_zscore_{c}") + 0.0).alias(f"rr_zscore_{c}") for c in cols]
     return out.select(*KEY, *[r6(f"rr_rank_pct_{c}").alias(f"rr_rank_pct_{c}") for c in cols], *z)
 
